@@ -1,0 +1,26 @@
+"""Queries of this subpackage for ``__spark_entry__``."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillgraph.llm import packing, tokens
+from quillgraph.session import cut
+from quillgraph.sources.tables import table
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode_column(table(spark, d, "documents"))
+
+
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    """The window of every document, or of its pieces, for each capacity."""
+    sizes = cut(tokens.count_tokens(table(spark, d, "documents")), "p7-sizes")
+    return packing.pack(sizes, table(spark, d, "pack_windows"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_ids": p6_ids, "p7_packing": p7_packing}
+ORACLE: dict[str, str] = {}
