@@ -6,11 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import packing, tokens
+from quillgraph.llm import neardup, packing, tokens
 from quillgraph.session import cut
 from quillgraph.sources.tables import table
 
 
+def _texts(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, str, str]]:
+    return {"notes": (table(spark, d, "notes"), "id", "raw_content"), "chunks": (table(spark, d, "chunks"), "id", "text")}
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """All near-duplicate pairs of notes and of chunks."""
+    return neardup.near_duplicate_pairs(_texts(spark, d))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Class and group of every note and chunk."""
+    return neardup.near_duplicate_groups(_texts(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_column(table(spark, d, "documents"))
@@ -22,5 +36,5 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, table(spark, d, "pack_windows"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_ids": p6_ids, "p7_packing": p7_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_packing": p7_packing}
 ORACLE: dict[str, str] = {}
