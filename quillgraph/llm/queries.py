@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import neardup, packing, tokens
+from quillgraph.llm import neardup, packing, scans, tokens
 from quillgraph.session import cut
 from quillgraph.sources.tables import table
 
@@ -15,6 +15,16 @@ def _texts(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, str, str]]
     return {"notes": (table(spark, d, "notes"), "id", "raw_content"), "chunks": (table(spark, d, "chunks"), "id", "text")}
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with which line of the scanned notes."""
+    return scans.noisy_lines(table(spark, d, "notes"))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned notes and their chunks as continuous paragraphs."""
+    return scans.repaired(table(spark, d, "notes"), table(spark, d, "chunks"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """All near-duplicate pairs of notes and of chunks."""
     return neardup.near_duplicate_pairs(_texts(spark, d))
@@ -36,5 +46,5 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, table(spark, d, "pack_windows"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_packing": p7_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_packing": p7_packing}
 ORACLE: dict[str, str] = {}
