@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from quillgraph.operators.components import connected_components
 from quillgraph.session import cut
 
-#: Bands and components of a band: a pair at a similarity of 0.6 is missed with a probability of 0.0013, at 0.7 of 2e-6.
-BANDS, ROWS = 48, 4
+#: Bands, components of a band, and bands that a candidate pair has in common.  A pair at a similarity of 0.6 is missed
+#: with a probability of 0.0015, at 0.65 of 5e-5, at 0.7 of 4e-7; one at 0.05 is a candidate with 1e-7.
+BANDS, ROWS, COMMON_BANDS = 64, 4, 2
 LEAST_SHINGLES, THRESHOLD, WORDS = 20, 0.6, 3
 #: Up to so many keys are sent to all executors for a lookup; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
@@ -160,7 +161,7 @@ def class_links(signed: DataFrame, texts: DataFrame, threshold: float = THRESHOL
     shared = keyed.withColumn("lo", F.min("fp").over(by)).withColumn("hi", F.max("fp").over(by)).where("lo <> hi").select("tbl", "band", "fp").dropDuplicates(["tbl", "band", "fp"])
     shared = cut(shared, "p4-bands")
     left, right = shared.withColumnRenamed("fp", "fp_a"), shared.withColumnRenamed("fp", "fp_b")
-    pairs = cut(left.join(right, ["tbl", "band"]).where("fp_a < fp_b").select("tbl", "fp_a", "fp_b").distinct(), "p4-pairs")
+    pairs = cut(left.join(right, ["tbl", "band"]).where("fp_a < fp_b").groupBy("tbl", "fp_a", "fp_b").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON_BANDS).drop("c"), "p4-pairs")
     wanted = pairs.select("tbl", F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
     sources = cut(signed.join(wanted, ["tbl", "fp"], "left_semi").groupBy("tbl", "fp").agg(F.min("key").alias("key")), "p4-sources")
     lookup = F.broadcast(sources) if sources.count() <= BROADCAST_KEYS else sources
