@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import neardup, packing, scans, tokens
+from quillgraph.llm import clusters, neardup, packing, scans, tokens
 from quillgraph.session import cut
 from quillgraph.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of nodes in the same similarity cluster."""
+    return clusters.cluster_pairs(clusters.cluster(table(spark, d, "nodes"))[1])
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical members of each similarity cluster."""
+    return clusters.describe(*clusters.cluster(table(spark, d, "nodes")))
+
+
 def _texts(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, str, str]]:
     return {"notes": (table(spark, d, "notes"), "id", "raw_content"), "chunks": (table(spark, d, "chunks"), "id", "text")}
 
@@ -46,5 +56,5 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, table(spark, d, "pack_windows"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_packing": p7_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_packing": p7_packing}
 ORACLE: dict[str, str] = {}
