@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import clusters, neardup, packing, scans, tokens
+from quillgraph.llm import clusters, neardup, packing, reading, scans, tokens
 from quillgraph.session import cut
 from quillgraph.sources.tables import table
 
@@ -56,5 +56,15 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, table(spark, d, "pack_windows"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_packing": p7_packing}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Reading level of every document with prose."""
+    return p8_levels(spark, d).where("level IS NOT NULL").select("doc_id", "level")
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Words of prose, score and level of every document."""
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "graded_passages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found, "p8_levels": p8_levels}
 ORACLE: dict[str, str] = {}
