@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import clusters, neardup, packing, reading, scans, tokens
+from quillgraph.llm import clusters, names, neardup, packing, reading, scans, tokens
 from quillgraph.session import cut
 from quillgraph.sources.tables import table
 
@@ -45,6 +45,16 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(_texts(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of nodes that stand for the same person or organisation."""
+    return names.variant_pairs(names.entities(table(spark, d, "nodes"), table(spark, d, "name_forms")))
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entity of every person and organisation among the nodes."""
+    return names.entities(table(spark, d, "nodes"), table(spark, d, "name_forms"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_column(table(spark, d, "documents"))
@@ -66,5 +76,5 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "graded_passages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_groups": p4_groups, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found, "p8_levels": p8_levels}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_entities": p5_entities, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found, "p8_levels": p8_levels}
 ORACLE: dict[str, str] = {}
