@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import reference_queries
+from quillgraph.plans import reference_queries, vault_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**reference_queries.QUERIES}
-ORACLE: dict[str, str] = {**reference_queries.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**reference_queries.QUERIES, **vault_queries.QUERIES}
+ORACLE: dict[str, str] = {**reference_queries.ORACLE, **vault_queries.ORACLE}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
