@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import reference_queries, vault_queries
+from quillgraph.plans import reference_queries, text_queries, vault_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**reference_queries.QUERIES, **vault_queries.QUERIES}
-ORACLE: dict[str, str] = {**reference_queries.ORACLE, **vault_queries.ORACLE}
+_MODULES = (reference_queries, vault_queries, text_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
