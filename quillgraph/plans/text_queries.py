@@ -122,7 +122,7 @@ ORACLE = {
     "sentences": "SELECT doc_id, pos, s AS sentence FROM (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+([A-Z0-9#*-])', '\\1' || chr(1) || '\\2', 'g'), chr(1) || '|\\n\\n+'), lambda s: " + _TRIM("s") + "), lambda s: s <> '') AS l FROM documents WHERE text IS NOT NULL))",
     "token_estimates": r"SELECT doc_id, greatest(1, floor(len(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda w: w <> '')) * 13 / 10)::BIGINT) AS n_tokens FROM documents WHERE text IS NOT NULL",
     "note_stats": f"WITH {VIEWS} " + r"SELECT id, len(list_filter(string_split_regex(raw_content, '[ \t\n\r\f\v]+'), lambda w: w <> '')) AS n_words, length(raw_content) AS n_chars, " + _TRIM(r"regexp_replace(substr(raw_content, 1, 240), '[ \t\n\r\f\v]+', ' ', 'g')") + " || CASE WHEN length(raw_content) > 240 THEN '...' ELSE '' END AS preview FROM note_l WHERE raw_content IS NOT NULL",
-    "front_matter": rf"WITH f AS (SELECT doc_id, regexp_extract(text, '{_FM}', 1) AS b FROM documents WHERE regexp_matches(text, '{_FM}')) SELECT doc_id, replace({_TRIM("regexp_extract(b, '(?m)^[ \\t]*title:(.*)$', 1)")}, chr(34), '') AS title, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_extract(b, '(?m)^[ \t]*tags:(.*)$', 1), '[\[\]\"'']', '', 'g'), ','), lambda s: trim(s)), lambda s: s <> ''), '|') AS tags FROM f",
+    "front_matter": rf"WITH f AS (SELECT doc_id, regexp_extract(text, '{_FM}', 1) AS b FROM documents WHERE regexp_matches(text, '{_FM}')) SELECT doc_id, replace({_TRIM("regexp_extract(b, '(?m)^[ \\t]*title:(.*)$', 1)")}, chr(34), '') AS title, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_extract(b, '(?m)^[ \t]*tags:(.*)$', 1), '[\[\]\"'']', '', 'g'), ','), lambda s: {_TRIM('s')}), lambda s: s <> ''), '|') AS tags FROM f",
     "first_headings": r"SELECT doc_id, h AS heading FROM (SELECT doc_id, " + _TRIM(r"regexp_extract(text, '(?m)^#[ \t\n\r\f\v]+(.+)$', 1)") + " AS h FROM documents) WHERE h <> ''",
     "slugs": f"WITH {VIEWS} SELECT id, CASE WHEN s = '' THEN 'note' ELSE s END AS slug, stem FROM (SELECT id, regexp_replace(lower(" + _TRIM(r"regexp_replace(title, '[^\p{L}\p{N}_ \t\n\r\f\v-]', '', 'g')") + r"), '[ \t\n\r\f\v]+', '_', 'g') AS s, regexp_replace(lower(" + _TRIM(r"regexp_replace(regexp_replace(source_file, '(?i)\.md$', ''), '[^\p{L}\p{N}_ \t\n\r\f\v-]', '', 'g')") + r"), '[ \t\n\r\f\v-]+', '_', 'g') AS stem FROM note_l WHERE title IS NOT NULL)",
     "wikilinks": r"SELECT doc_id, pos, trim(m) AS target FROM (SELECT doc_id, unnest(l) AS m, unnest(range(len(l))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\[\[([^\]\|#]+)(?:#[^\]\|]+)?(?:\|[^\]]+)?\]\]', 1) AS l FROM documents))",
