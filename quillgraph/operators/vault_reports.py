@@ -84,12 +84,12 @@ def normal_layout(nodes: DataFrame, size: float = 1000.0) -> DataFrame:
     return rows.crossJoin(F.broadcast(span)).select("id", at("layout_x", "ax", "bx").alias("x"), at("layout_y", "ay", "by").alias("y"))  # one row of bounds
 
 
-def spiral_layout(degrees: DataFrame, inner: float = 320.0, outer: float = 1000.0) -> DataFrame:
-    """``(node, x, y)``: nodes of degree under 2 on a sunflower spiral between two radii.
+def spiral_layout(degrees: DataFrame, leaf: int = 2, inner: float = 320.0, outer: float = 1000.0) -> DataFrame:
+    """``(node, x, y)``: nodes of degree under ``leaf`` on a sunflower spiral between two radii.
 
     The place of a node is its rank by node key, counted per range of keys first, so no single task sorts all nodes.
     """
-    leaves = degrees.where("degree < 2").select("node", F.pmod(F.xxhash64("node"), F.lit(256)).alias("part"))
+    leaves = degrees.where(F.col("degree") < leaf).select("node", F.pmod(F.xxhash64("node"), F.lit(256)).alias("part"))
     before = leaves.groupBy("part").agg(F.count("*").alias("c"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = before.withColumn("from", F.coalesce(F.sum("c").over(w), F.lit(0))).withColumn("all", F.sum("c").over(Window.partitionBy(F.lit(1))))

@@ -90,7 +90,7 @@ def normalize_layout(spark: SparkSession, d: str) -> DataFrame:
 
 def spiral_layout(spark: SparkSession, d: str) -> DataFrame:
     degrees = vault.graph_nodes(t(spark, d, "nodes"), _view(spark, d)).select("node").join(vault.degrees(_view(spark, d)), "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
-    return reports.spiral_layout(degrees.withColumn("degree", F.col("degree") - 3))
+    return reports.spiral_layout(degrees, leaf=5)
 
 
 def layout_neighbours(spark: SparkSession, d: str) -> DataFrame:
