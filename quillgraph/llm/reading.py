@@ -35,7 +35,12 @@ _OTHER = re.compile(
     r"|[ \t]*[\w.]+(?:\[[^\]]*\])?\s*=\s.*|\s*(?:[-*]\s*)?https?://\S+\s*|(?i:todo|fixme)\b.*|(?:from|to|cc|subject|date|title|tags):.*)$",
     re.M,
 ).sub
-_NOISE = re.compile(r"https?://\S+|`[^`\n]*`|\[\[[^\]\n]*\]\]|\[\d+\]|\S*\w[@_./]\w\S*").sub
+#: Inline references: addresses, code, links, numbers in brackets, and words joined by a sign; no alternative goes back over
+#: what it has read, so long runs without a space take linear time.
+_NOISE = re.compile(
+    r"https?://\S++|`[^`\n]*+`|\[\[[^\[\]\n]*+\]\]|\[\d++\]"
+    r"|(?<!\S)[^\s@_./]*+(?:(?:(?<!\w)[@_./]|[@_./](?!\w))[^\s@_./]*+)*+[@_./]\w\S*+"
+).sub
 _A, _B, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(64 - BITS)
 
 
