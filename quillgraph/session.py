@@ -26,6 +26,13 @@ def build_session(app: str = "quillgraph", master: str | None = None, shuffle_pa
 _LOCAL: dict[str, str] = {}
 
 
+def steady(spark: SparkSession) -> SparkSession:
+    """Turn off the reuse of a common partitioning by unions: in Spark 4.1 such a union fails ("Can't zip RDDs with
+    unequal numbers of partitions") where one side's input is a union itself.  It costs a shuffle at most."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +49,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 
     Cuts lineage, and a lost executor costs nothing: the files outlive it.
     """
+    steady(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
