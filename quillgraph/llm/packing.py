@@ -51,10 +51,10 @@ def pack(sizes: DataFrame, windows: DataFrame, group_size: int = GROUP_SIZE, see
     ``sizes`` is ``(doc_id, n_tokens)``, ``windows`` is ``(window_id, capacity_tokens)`` (a short list of settings that is
     read on the driver).  A document longer than the window is cut into full windows and a rest; any other stays whole.
     Returns ``(window_id, doc_id, piece, first_token, n_tokens, bin_id)``; a full piece has a bin of its own.  Documents
-    without tokens take no room: one row, null ``bin_id``.  Null or non-positive capacities have no rows.  Repeated rows
+    without tokens (0 or null) take no room: one row, null ``bin_id``.  Null or non-positive capacities have no rows.  Repeated rows
     of a document count once.
     """
-    sizes = sizes.groupBy("doc_id").agg(F.max("n_tokens").alias("n"))
+    sizes = sizes.groupBy("doc_id").agg(F.coalesce(F.max("n_tokens"), F.lit(0)).cast("bigint").alias("n"))
     total = sizes.count()
     groups = max(1, -(-total // group_size))
     settings = [(r.window_id, r.capacity_tokens) for r in windows.select("window_id", "capacity_tokens").distinct().sort("window_id", "capacity_tokens").collect() if r.capacity_tokens and r.capacity_tokens > 0]
