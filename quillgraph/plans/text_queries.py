@@ -104,12 +104,13 @@ def mean_pairwise_cosine(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (sentences, token_estimates, note_stats, chunk_notes, front_matter, first_headings, slugs, wikilinks, extract_entities, extract_relations, entity_merge_exact, relation_distinct, postings, doc_freq, bm25_search, vector_topk, semantic_links, vector_remove, mean_pairwise_cosine)}
 
 _TRIM = lambda c: rf"regexp_replace({c}, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')"
+_UNMARK = r"regexp_replace(m, '^(\*\*|`)|(\*\*|`)$', '', 'g')"
 _ENT = rf"""
 src AS (SELECT id AS chunk_id, coalesce(text, '') AS text, regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7F\p{{L}}\p{{N}}]', '-', 'g'), '[^\x00-\x7F]', '_', 'g') AS plain FROM chunk_l),
 marks AS (SELECT chunk_id, 1 AS pass, pos, m FROM (SELECT chunk_id, unnest(l) AS m, unnest(range(len(l))) AS pos FROM (SELECT chunk_id, regexp_extract_all(text, '\*\*([^*]+)\*\*|`([^`]+)`', 0) AS l FROM src))),
 caps AS (SELECT chunk_id, 2 AS pass, pos, m FROM (SELECT chunk_id, unnest(l) AS m, unnest(range(len(l))) AS pos FROM (SELECT chunk_id, regexp_extract_all(plain, '\b[A-Z][a-z0-9]+(?:[ \t\n\r\f\v]+[A-Z][a-z0-9]+)*\b', 0) AS l FROM src))),
 named AS (
-  SELECT chunk_id, pass, pos, {_TRIM("regexp_replace(m, '^(\*\*|`)|(\*\*|`)$', '', 'g')")} AS name, CASE WHEN m LIKE '`%' THEN 'TECHNOLOGY' ELSE 'CONCEPT' END AS type FROM marks
+  SELECT chunk_id, pass, pos, {_TRIM(_UNMARK)} AS name, CASE WHEN m LIKE '`%' THEN 'TECHNOLOGY' ELSE 'CONCEPT' END AS type FROM marks
   UNION ALL SELECT chunk_id, pass, pos, m, CASE WHEN regexp_matches(m, '^[^ \t\n\r\f\v]+[ \t\n\r\f\v]+[^ \t\n\r\f\v]+$') AND NOT regexp_matches(m, '[0-9]') THEN 'PERSON' ELSE 'CONCEPT' END FROM caps WHERE length(m) > 2 AND lower(m) NOT IN ('the', 'this', 'that', 'there', 'with', 'from', 'when')),
 kept AS (SELECT *, lower(name) AS k, row_number() OVER (PARTITION BY chunk_id, lower(name) ORDER BY pass, pos) AS f, row_number() OVER (PARTITION BY chunk_id, lower(name) ORDER BY pass, CASE WHEN pass = 1 THEN -pos ELSE pos END) AS l FROM named WHERE pass = 2 OR length(name) BETWEEN 3 AND 49),
 ent AS (SELECT a.chunk_id, row_number() OVER (PARTITION BY a.chunk_id ORDER BY a.pass, a.pos) AS ord, b.name, b.type, CASE WHEN b.pass = 1 THEN 0.8::DOUBLE ELSE 0.75::DOUBLE END AS confidence FROM kept a JOIN kept b ON a.chunk_id = b.chunk_id AND a.k = b.k WHERE a.f = 1 AND b.l = 1)
