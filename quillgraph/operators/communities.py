@@ -14,14 +14,15 @@ def weighted_pairs(view: DataFrame) -> DataFrame:
     return view.where("source <> target").groupBy(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).agg(F.sum("weight").alias("w"))
 
 
-def detect(pairs: DataFrame, rounds: int = 10, resolution: float = 1.0) -> DataFrame:
-    """``(node, community)``; communities are named by one of their nodes.
+def move_nodes(pairs: DataFrame, rounds: int = 10, resolution: float = 1.0) -> DataFrame:
+    """``(node, community)``; communities are named by one of their nodes.  Rows with ``u = v`` are weights inside a node.
 
     In every round each node weighs its neighbours' communities: w(node, c) - resolution * k(node) * k(c) / 2m.  Half of
     the nodes, chosen by a hash of node and round, may move at once, so neighbours do not swap places for ever.
     """
-    both = cut(pairs.select(F.explode(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))).alias("e")).select("e.u", "e.v", "e.w"), "cm-edges")
-    degree = cut(both.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")), "cm-degree")
+    ends = pairs.select(F.explode(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))).alias("e")).select("e.u", "e.v", "e.w")
+    both = cut(ends.where("u <> v"), "cm-edges")
+    degree = cut(ends.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")), "cm-degree")
     total = degree.agg(F.sum("k")).first()[0]
     if not total:
         return degree.select("node", F.col("node").alias("community"))
@@ -44,6 +45,21 @@ def detect(pairs: DataFrame, rounds: int = 10, resolution: float = 1.0) -> DataF
     return labels.select("node", "community")
 
 
+def detect(pairs: DataFrame, levels: int = 3, rounds: int = 10, resolution: float = 1.0) -> DataFrame:
+    """``(node, community)`` by moving nodes, then whole communities as nodes of a smaller graph, and so on."""
+    labels = cut(move_nodes(pairs, rounds, resolution), "cm-level")
+    graph = pairs
+    for _ in range(levels - 1):
+        step = labels if graph is pairs else upper
+        a, b = step.select(F.col("node").alias("u"), F.col("community").alias("cu")), step.select(F.col("node").alias("v"), F.col("community").alias("cv"))
+        graph = cut(graph.join(a, "u").join(b, "v").groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w")), "cm-graph")
+        upper = cut(move_nodes(graph, rounds, resolution), "cm-level")
+        if not upper.where("node <> community").limit(1).count():
+            break
+        labels = cut(labels.join(upper.select(F.col("node").alias("community"), F.col("community").alias("top")), "community", "left").select("node", F.coalesce("top", "community").alias("community")), "cm-level")
+    return labels
+
+
 def modularity(pairs: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
     """``(communities, modularity)`` of a partition."""
     a, b = labels.select(F.col("node").alias("u"), F.col("community").alias("cu")), labels.select(F.col("node").alias("v"), F.col("community").alias("cv"))
@@ -62,7 +78,7 @@ def split_large(pairs: DataFrame, labels: DataFrame, least: int, rounds: int = 6
     inside = labels.join(big, "community", "left_semi")
     a, b = inside.select(F.col("node").alias("u"), F.col("community").alias("cu")), inside.select(F.col("node").alias("v"), F.col("community").alias("cv"))
     inner = pairs.join(a, "u").join(b, "v").where("cu = cv").select("u", "v", "w")
-    parts = detect(inner, rounds, resolution=2.0)
+    parts = detect(inner, 2, rounds, resolution=2.0)
     return labels.join(parts.withColumnRenamed("community", "part"), "node", "left").select("node", "community", F.coalesce("part", "community").alias("part"))
 
 
@@ -71,4 +87,4 @@ def label_table(labels: DataFrame) -> DataFrame:
     return labels.groupBy("community").agg(F.count("*").alias("size"), F.array_join(F.slice(F.array_sort(F.collect_list("node")), 1, 3), ", ").alias("first"))
 
 
-__all__ = ["detect", "label_table", "modularity", "split_large", "undirected", "weighted_pairs"]
+__all__ = ["detect", "label_table", "modularity", "move_nodes", "split_large", "undirected", "weighted_pairs"]
