@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +33,28 @@ def steady(spark: SparkSession) -> SparkSession:
     """Turn off the reuse of a common partitioning by unions: in Spark 4.1 such a union fails ("Can't zip RDDs with
     unequal numbers of partitions") where one side's input is a union itself.  It costs a shuffle at most."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, unless their search path has it anyway."""
+    root = Path(__file__).resolve().parent.parent
+    here = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {Path.cwd()}
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or root in here:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-quill-")) / "quillgraph.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "quillgraph").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
