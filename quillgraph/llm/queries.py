@@ -66,6 +66,11 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, table(spark, d, "pack_windows"))
 
 
+def p7_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Windows, documents and the share of room used for each capacity."""
+    return packing.usage(p7_packing(spark, d), table(spark, d, "pack_windows"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Reading level of every document with prose."""
     return p8_levels(spark, d).where("level IS NOT NULL").select("doc_id", "level")
@@ -76,5 +81,14 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "graded_passages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_entities": p5_entities, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found, "p8_levels": p8_levels}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_entities": p5_entities, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage, "p8_found": p8_found, "p8_levels": p8_levels}
+#: All pairs of texts that share a run of three words, in SQL.
+_P4 = r"""
+WITH src AS (SELECT DISTINCT 'notes' AS tbl, id AS k, raw_content AS x FROM notes WHERE id IS NOT NULL UNION SELECT 'chunks', id, text FROM chunks WHERE id IS NOT NULL),
+words AS (SELECT tbl, k, row_number() OVER () AS d, regexp_extract_all(lower(x), '[\p{L}\p{N}]+') AS w FROM src WHERE x IS NOT NULL),
+runs AS (SELECT DISTINCT tbl, k, d, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS r FROM words),
+sizes AS (SELECT d, count(*) AS n FROM runs GROUP BY d),
+kept AS (SELECT r.*, n FROM runs r JOIN sizes USING (d) WHERE n >= 20),
+common AS (SELECT a.tbl, a.k AS ka, b.k AS kb, a.d AS da, b.d AS db, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM kept a JOIN kept b ON a.tbl = b.tbl AND a.r = b.r AND a.d < b.d AND a.k <> b.k GROUP BY a.tbl, a.k, b.k, a.d, b.d)
+SELECT DISTINCT tbl, least(ka, kb) AS key_a, greatest(ka, kb) AS key_b FROM common WHERE c >= 0.6 * (na + nb - c)"""
+ORACLE: dict[str, str] = {"p4_found": _P4}
