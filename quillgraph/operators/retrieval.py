@@ -131,7 +131,8 @@ def leading_themes(communities: DataFrame, k: int = 8) -> DataFrame:
 
 def global_insights(communities: DataFrame, snippet: int = 250) -> DataFrame:
     """``(id, insight, score)`` of the communities of level 0 with a summary (of all levels where there is none)."""
-    some = communities.where("summary IS NOT NULL").withColumn("lowest", F.min("level").over(Window.partitionBy(F.lit(1))))
+    some = communities.where("summary IS NOT NULL")
+    some = some.crossJoin(F.broadcast(some.agg(F.min("level").alias("lowest"))))  # one row
     return some.where("level = 0 OR lowest > 0").select("id", F.concat(F.col("name"), F.lit(": "), F.substring("summary", 1, snippet)).alias("insight"), F.coalesce("confidence", F.lit(1.0)).alias("score"))
 
 
