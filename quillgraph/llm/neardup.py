@@ -62,6 +62,12 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(mix(out))
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingles."""
+    value = xxhash.xxh3_64_intdigest(own.tobytes())
+    return value - (1 << 64) if value >> 63 else value
+
+
 def prob_min_hash(sets: list[np.ndarray], size: int, weights: list[np.ndarray] | None = None) -> np.ndarray:
     """One row of ``size`` components per set: the element whose arrival is the first in that component.
 
@@ -111,7 +117,7 @@ def _signed(texts: list[str | None], seen: set[int], bands: int, rows: int, leas
         _WORDS.clear()
     sets = [shingles(t) for t in texts]
     n = np.fromiter(map(len, sets), np.int64, len(sets))
-    prints = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).astype(np.int64)
+    prints = np.fromiter(map(fingerprint, sets), np.int64, len(sets))
     fresh = []
     for i, p in enumerate(prints.tolist()):
         if n[i] >= least and p not in seen:  # the map side's part in collapsing copies
@@ -140,13 +146,17 @@ def signatures(df: DataFrame, tbl: str, id_col: str, text_col: str, bands: int =
 
 
 def sets_of(df: DataFrame) -> DataFrame:
-    """``(tbl, fp, shingles)`` of rows ``(tbl, fp, text)``."""
+    """``(tbl, fp, shingles)`` of rows ``(tbl, fp, text)`` whose text's set has the fingerprint ``fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t).astype(np.int64) for t in batch.column(2).to_pylist()]
+            every = [shingles(t) for t in batch.column(2).to_pylist()]
+            wanted = batch.column(1).to_pylist()
+            own = [i for i, s in enumerate(every) if fingerprint(s) == wanted[i]]
+            sets = [every[i].astype(np.int64) for i in own]
+            part = batch.take(pa.array(own, pa.int64()))
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["tbl", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["tbl", "fp", "shingles"])
 
     return df.select("tbl", "fp", "text").mapInArrow(run, "tbl string, fp bigint, shingles array<bigint>")
 
