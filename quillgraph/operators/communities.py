@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators.analytics import undirected
 from quillgraph.session import cut, drop_cut
 
 
@@ -86,5 +85,3 @@ def label_table(labels: DataFrame) -> DataFrame:
     """``(community, size, first)``: each community's size and its first three members."""
     return labels.groupBy("community").agg(F.count("*").alias("size"), F.array_join(F.slice(F.array_sort(F.collect_list("node")), 1, 3), ", ").alias("first"))
 
-
-__all__ = ["detect", "label_table", "modularity", "move_nodes", "split_large", "undirected", "weighted_pairs"]
