@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgraph.llm import clusters, names, neardup, packing, reading, scans, tokens
 from quillgraph.session import cut
@@ -81,7 +82,13 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "graded_passages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_entities": p5_entities, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage, "p8_found": p8_found, "p8_levels": p8_levels}
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and words per source and level."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return docs.join(p8_levels(spark, d), "doc_id").groupBy("source", "level").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_entities": p5_entities, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage, "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile}
 #: All pairs of texts that share a run of three words, in SQL.
 _P4 = r"""
 WITH src AS (SELECT DISTINCT 'notes' AS tbl, id AS k, raw_content AS x FROM notes WHERE id IS NOT NULL UNION SELECT 'chunks', id, text FROM chunks WHERE id IS NOT NULL),
