@@ -124,3 +124,29 @@ def html_to_markdown(column: str | Column) -> Column:
     c = F.regexp_replace(c, r"(?is)<(em|i)\b[^>]*>(.*?)</\1>", "*$2*")
     c = F.regexp_replace(c, r"(?s)<[^>]+>", "")
     return F.array_join(F.filter(F.transform(F.split(c, "\n"), stripped), lambda x: x != ""), "\n\n")
+
+
+def filled(template: str | Column, values: str | Column) -> Column:
+    """A template with every ``{name}`` replaced by the map's value; names that the map lacks become dots."""
+    known = F.aggregate(F.map_entries(_c(values)), _c(template), lambda text, e: F.replace(text, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
+    return F.regexp_replace(known, r"\{[A-Za-z_][A-Za-z0-9_]*\}", "...")
+
+
+def replaced_once(column: str | Column, old: str | Column, new: str | Column) -> Column:
+    """The first occurrence of ``old`` replaced; null where the text does not hold it."""
+    c, o, n = _c(column), _c(old), _c(new)
+    at = F.position(o, c)
+    return F.when((at > 0) & (o != ""), F.concat(F.substring(c, F.lit(1), at - 1), n, F.substring(c, at + F.length(o), F.length(c))))
+
+
+def retagged(column: str | Column, tags: str | Column) -> Column:
+    """A note with the ``tags: [...]`` line of its front matter written anew; unchanged where there is none."""
+    return F.regexp_replace(_c(column), F.lit(r"(?m)^tags:\s*\[.*?\]"), F.concat(F.lit("tags: ["), F.array_join(_c(tags), ", "), F.lit("]")))
+
+
+def unfenced(column: str | Column) -> Column:
+    """A text without the regions between ``---`` lines and without those lines."""
+    lines = F.split(_c(column), "\n")
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("kept"))
+    step = lambda s, line: F.struct(F.when(F.trim(line) == "---", ~s["inside"]).otherwise(s["inside"]).alias("inside"), F.when((F.trim(line) == "---") | s["inside"], s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"))
+    return F.aggregate(lines, start, step, lambda s: F.array_join(s["kept"], "\n"))

@@ -26,6 +26,13 @@ def test_functions(spark):
     assert one(spark, x.tag_list, "[a, 'b', \"c\",]") == ["a", "b", "c"] and one(spark, x.tag_list, None) == []
 
 
+def test_rewriting(spark):
+    df = spark.createDataFrame([("Hi {name}, {gone} {name}", {"name": "A$1", "x": "y"}, "a b a b", "b", "C", "---\ntags: [x]\n---\nbody\n---\nin\n---\nend", ["p", "q"])], "t string, v map<string,string>, c string, o string, n string, note string, tags array<string>")
+    r = df.select(x.filled("t", "v").alias("f"), x.replaced_once("c", "o", "n").alias("r"), x.replaced_once("c", F.lit("zz"), "n").alias("none"), x.retagged("note", "tags").alias("g"), x.unfenced("note").alias("u")).first()
+    assert (r.f, r.r, r.none) == ("Hi A$1, ... A$1", "a C a b", None)
+    assert r.g.startswith("---\ntags: [p, q]\n---") and r.u == "body\nend"
+
+
 def test_html(spark):
     html = "<html><head><title>A &amp; B</title><style>x</style></head><body><h1>Top</h1><p>Some <b>bold</b> <em>text</em></p><ul><li>one</li></ul><script>bad()</script></body></html>"
     assert one(spark, x.html_title, html) == "A   B"
