@@ -9,6 +9,7 @@ from quillgraph.functions.text import ascii_words, normal_name, stripped
 
 # Capitalised words that are no names.
 NO_NAMES = ["the", "this", "that", "there", "with", "from", "when"]
+# The forms of names in texts, runs of capitalised words and marked spans.
 _CAPS = r"(?<![A-Za-z0-9_])[A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+)*(?![A-Za-z0-9_])"
 _MARKED = r"\*\*([^*]+)\*\*|`([^`]+)`"
 

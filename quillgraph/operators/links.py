@@ -1,15 +1,23 @@
-"""Links between notes: explicit links, shared entities, relations of their entities; each pair once, first stage wins."""
+"""Links between notes in five stages: explicit links, stored edges between notes, shared entities, relations of their
+entities, similar texts.  Each pair of notes is linked once, by the first stage that has it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import clean_stem, wikilinks
+from quillgraph.functions.text import clean_stem, lexical_tokens, stripped, wikilinks
+from quillgraph.operators.pairs import pairs_within
 from quillgraph.operators.references import key
 
-#: An entity in more notes than this links them to its first note only (a star), which joins the same notes with fewer links.
-STAR = 50
+#: Names of fewer characters are not looked for in texts; weight of a link by a shared entity, and of a relation without weight.
+LEAST_NAME, SHARED_WEIGHT, PLAIN_WEIGHT = 4, 0.85, 0.8
+#: Least cosine similarity of two notes that are linked by their texts.
+SIMILAR = 0.70
+#: The mark that is put around the words of a text, so that whole words are found by a plain search.
+_MARK = "\x01"
 
 
 def aliases(notes: DataFrame) -> DataFrame:
@@ -27,6 +35,13 @@ def explicit_links(notes: DataFrame) -> DataFrame:
     return found.select("a", F.coalesce("n1", "n2").alias("b")).where("b IS NOT NULL AND a <> b").distinct()
 
 
+def stored_links(view: DataFrame, notes: DataFrame) -> DataFrame:
+    """``(a, b, weight)``, ``a < b``: stored edges whose two ends are notes, with the largest weight."""
+    ids = notes.select(key("id").alias("n")).where("n IS NOT NULL").distinct()
+    met = view.where("source <> target").join(ids.withColumnRenamed("n", "source"), "source", "left_semi").join(ids.withColumnRenamed("n", "target"), "target", "left_semi")
+    return met.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.max("weight").alias("weight"))
+
+
 def entity_notes(prov: DataFrame, chunks: DataFrame, notes: DataFrame) -> DataFrame:
     """``(entity, note)``: notes from whose chunks an entity comes; a chunk that is not there still names its note."""
     of = chunks.select(key("id").alias("chunk"), key("note_id").alias("note")).dropDuplicates(["chunk"])
@@ -35,38 +50,106 @@ def entity_notes(prov: DataFrame, chunks: DataFrame, notes: DataFrame) -> DataFr
     return met.join(ids, "note", "left_semi").select("entity", "note").distinct()
 
 
+def _marked(column: str | Column) -> Column:
+    """A text in lower case with a mark on both sides of every word."""
+    return F.regexp_replace(F.lower(column), r"[\p{L}\p{N}_]+", f"{_MARK}$0{_MARK}")
+
+
+def mentions(nodes: DataFrame, notes: DataFrame) -> DataFrame:
+    """``(entity, note)``: notes in whose title or content an entity's name stands as whole words, in any case.
+
+    Names under four characters and ``untitled...`` are not looked for.  Names and notes meet by an equality join on the
+    name's rarest word, then the whole name is looked up in the text.  Null names and texts match nothing.
+    """
+    names = nodes.select(key("id").alias("entity"), stripped("name").alias("name")).where(F.length("name") >= LEAST_NAME).where(~F.lower("name").startswith("untitled"))
+    names = names.select("entity", _marked("name").alias("sought"), F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"([\p{L}\p{N}_]+)"), 1)).alias("words")).distinct()
+    texts = notes.select(key("id").alias("note"), F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("raw_content", F.lit(""))).alias("text"))
+    held = texts.select("note", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("word"))
+    asked = names.select("entity", "sought", F.explode("words").alias("word"))
+    held = held.join(asked.select("word").distinct(), "word", "left_semi")
+    counts = held.groupBy("word").agg(F.count("*").alias("n"))
+    # a name with a word that no note has is in no note
+    rare = asked.join(counts, "word", "left").groupBy("entity", "sought").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).where("r.n > 0").select("entity", "sought", "r.word")
+    pairs = rare.join(held, "word").select("entity", "sought", "note")
+    return pairs.join(texts.select("note", _marked("text").alias("text")), "note").where(F.contains("text", "sought")).select("entity", "note").distinct()
+
+
 def shared_entity_links(held: DataFrame) -> DataFrame:
-    """``(a, b, n_shared)``, ``a < b``: notes with entities in common.
+    """``(a, b, n_shared)``, ``a < b``: all pairs of notes with entities in common; hot entities are joined in blocks."""
+    return pairs_within(held, ["entity"], "note").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+
 
-    An entity in up to STAR notes links all its pairs; one in more notes links each of them to its first note.
+def shared_entity_classes(held: DataFrame) -> DataFrame:
+    """``(note, class, n_entities, n_notes)``: notes with the same entities are one class, named by its smallest note.
+
+    The links by shared entities in a form that grows with the rows of ``held``, not with the pairs: all notes of a class
+    have the same links, and two classes are linked if ``held`` has an entity for both.
     """
-    size = held.groupBy("entity").agg(F.count("*").alias("n"), F.min("note").alias("first"))
-    sized = held.join(size, "entity")
-    small = sized.where(F.col("n").between(2, STAR)).select("entity", "note")
-    pairs = small.select("entity", F.col("note").alias("a")).join(small.select("entity", F.col("note").alias("b")), "entity").where("a < b").select("a", "b")
-    stars = sized.where((F.col("n") > STAR) & (F.col("note") != F.col("first"))).select(F.col("first").alias("a"), F.col("note").alias("b"))
-    return pairs.unionByName(stars).groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+    h = lambda seed: F.sum(F.xxhash64("entity", F.lit(seed)).cast("decimal(38,0)"))
+    sets = held.groupBy("note").agg(F.count("*").alias("n_entities"), h(1).alias("h1"), h(2).alias("h2"))
+    same = sets.groupBy("n_entities", "h1", "h2").agg(F.min("note").alias("class"), F.count("*").alias("n_notes"))
+    return sets.join(same, ["n_entities", "h1", "h2"]).select("note", "class", "n_entities", "n_notes")
 
 
 def relation_links(view: DataFrame, held: DataFrame) -> DataFrame:
-    """``(a, b, weight)``: notes of an edge's source and of its target, with the edge's largest weight.
+    """``(a, b, weight)``: notes of an edge's source and of its target, with the largest weight of such an edge.
 
-    Entities in more than STAR notes are represented by their first note.
+    Edges without a stated weight count 0.8.  Parallel edges are one before they meet the notes.
     """
-    size = held.groupBy("entity").agg(F.count("*").alias("n"), F.min("note").alias("first"))
-    rep = held.join(size, "entity").select("entity", F.when(F.col("n") > STAR, F.col("first")).otherwise(F.col("note")).alias("note")).distinct()
-    a, b = rep.select(F.col("entity").alias("source"), F.col("note").alias("x")), rep.select(F.col("entity").alias("target"), F.col("note").alias("y"))
-    met = view.where("source <> target").join(a, "source").join(b, "target").where("x <> y")
+    weight = F.when(F.col("weighted"), F.col("weight")).otherwise(PLAIN_WEIGHT)
+    ends = view.where("source <> target").groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.max(weight).alias("weight"))
+    a, b = held.select(F.col("entity").alias("source"), F.col("note").alias("x")), held.select(F.col("entity").alias("target"), F.col("note").alias("y"))
+    met = ends.join(a, "source").join(b, "target").where("x <> y")
     return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.round(F.max("weight"), 2).alias("weight"))
 
 
-def note_graph(notes: DataFrame, explicit: DataFrame, shared: DataFrame, related: DataFrame) -> DataFrame:
-    """``(a, b, stage, weight)``: every linked pair once; explicit links come before shared entities, those before relations."""
-    one = explicit.select(key("a").alias("a"), key("b").alias("b"), F.lit(1).alias("stage"), F.lit(1.0).alias("weight"))
-    two = shared.select("a", "b", F.lit(2).alias("stage"), F.lit(0.85).alias("weight"))
-    three = related.select("a", "b", F.lit(3).alias("stage"), "weight")
-    every = one.unionByName(two).unionByName(three).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "stage", "weight")
-    return every.groupBy("a", "b").agg(F.min(F.struct("stage", "weight")).alias("x")).select("a", "b", F.col("x.stage").cast("bigint").alias("stage"), "x.weight")
+def term_vectors(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, term, df, w)``: unit vectors of terms weighed by frequency and rarity; terms that all texts have weigh nothing."""
+    found = texts.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(lexical_tokens(F.coalesce(text_col, F.lit("")))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    n = texts.where(F.col(id_col).isNotNull()).agg(F.countDistinct(id_col).alias("n"))
+    rated = found.join(df, "term").crossJoin(F.broadcast(n)).select("id", "term", "df", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("w")).where("w > 0")  # one row
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return rated.select("id", "term", "df", (F.col("w") / norm).alias("w"))
+
+
+def similar_pairs(vectors: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """``(a, b, similarity)``, ``a < b``: all pairs of :func:`term_vectors` whose cosine is ``least`` or more, exactly.
+
+    A vector's terms are ordered from the rarest.  Where the rest after some term is shorter than ``least``, two vectors
+    that agree only there cannot be so similar; so pairs meet by their leading terms alone and are then added up.
+    """
+    by = Window.partitionBy("id").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
+    leading = vectors.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(by))).where(F.col("rest") >= least - 1e-9).select("term", "id")
+    pairs = pairs_within(leading, ["term"], "id").select("a", "b").distinct()
+    one, two = vectors.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), vectors.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
+    added = pairs.join(one, "a").join(two, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
+    return added.where(F.col("similarity") >= least)
+
+
+def note_graph(explicit: DataFrame, stored: DataFrame, shared: DataFrame, related: DataFrame, similar: DataFrame) -> DataFrame:
+    """``(a, b, stage, weight)``: every linked pair once; of several stages the first counts, of its weights the largest."""
+    parts = [
+        explicit.select(key("a").alias("a"), key("b").alias("b"), F.lit(1).alias("stage"), F.lit(1.0).alias("weight")),
+        stored.select("a", "b", F.lit(2).alias("stage"), "weight"),
+        shared.select("a", "b", F.lit(3).alias("stage"), F.lit(SHARED_WEIGHT).alias("weight")),
+        related.select("a", "b", F.lit(4).alias("stage"), "weight"),
+        similar.select("a", "b", F.lit(5).alias("stage"), F.round("similarity", 3).alias("weight")),
+    ]
+    every = reduce(DataFrame.unionByName, parts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "stage", "weight").where("a <> b")
+    staged = every.groupBy("a", "b", "stage").agg(F.max("weight").alias("weight"))
+    return staged.groupBy("a", "b").agg(F.min(F.struct("stage", "weight")).alias("x")).select("a", "b", F.col("x.stage").cast("bigint").alias("stage"), "x.weight")
+
+
+def note_degrees(notes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(note, degree)`` of all notes, 0 for those without a link."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("note")).groupBy("note").agg(F.count("*").alias("degree"))
+    return notes.select(key("id").alias("note")).distinct().join(ends, "note", "left").select("note", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def linked_notes(notes: DataFrame, degree: DataFrame) -> DataFrame:
+    """``(id, title, degree)``: the notes that an editor lists, most linked first by their degree."""
+    return notes.select("id", "title", key("id").alias("note")).join(degree, "note").select("id", "title", "degree")
 
 
 def graph_stats(n_notes: DataFrame, links: DataFrame) -> DataFrame:

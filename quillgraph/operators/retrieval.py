@@ -16,9 +16,15 @@ RRF_K = 60
 GLOBAL_PHRASES = ["theme", "themes", "overview", "summarize", "summary", "main topics", "overall", "entire", "all notes", "high level", "big picture", "broad", "structure", "communities", "clusters", "landscape", "what do i know about everything"]
 GLOBAL_PAIR = r"\b(?:main|major|primary|key)\s+(?:themes|points|ideas|concepts|topics)\b"
 # Words that carry no content in a question.
-STOP_WORDS = (
-    "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with would"
-).split()
+STOP_WORDS = [
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before",
+    "being", "below", "between", "both", "but", "by", "can", "did", "do", "does", "doing", "don", "down", "during", "each", "few", "for", "from",
+    "further", "had", "has", "have", "having", "he", "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if", "in", "into", "is",
+    "it", "its", "itself", "just", "me", "more", "most", "my", "myself", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other",
+    "our", "ours", "ourselves", "out", "over", "own", "s", "same", "she", "should", "so", "some", "such", "t", "than", "that", "the", "their",
+    "theirs", "them", "themselves", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was",
+    "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would",
+]
 
 
 def mode(question: str | Column) -> Column:
@@ -136,16 +142,19 @@ def global_insights(communities: DataFrame, snippet: int = 250) -> DataFrame:
     return some.where("level = 0 OR lowest > 0").select("id", F.concat(F.col("name"), F.lit(": "), F.substring("summary", 1, snippet)).alias("insight"), F.coalesce("confidence", F.lit(1.0)).alias("score"))
 
 
-def answer_scores(rows: DataFrame) -> DataFrame:
+def answer_scores(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     """Context precision, faithfulness and relevance of answers by shared words.
 
-    ``rows``: ``(id, question, answer, contexts)``; nulls count as empty.
+    ``rows``: ``(id, question, answer)``, ``contexts``: ``(id, context)``; nulls count as empty.  Each context is compared
+    on its own and only counts and shared words are added up, so the contexts of an id are never gathered.
     """
     toks = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: x != ""))
-    r = rows.select("id", toks(F.col("question")).alias("q"), toks(F.col("answer")).alias("a"), F.coalesce("contexts", F.array().cast("array<string>")).alias("c"))
-    hit = F.size(F.filter("c", lambda x: F.arrays_overlap(toks(x), F.col("q"))))
-    precision = hit / F.greatest(F.size("c"), F.lit(1))
-    grounded = F.size(F.array_intersect("a", toks(F.array_join("c", " "))))
-    faith = F.least(F.lit(1.0), grounded / F.greatest(F.lit(1.0), F.size("a") * 0.7))
+    r = rows.select("id", toks(F.col("question")).alias("q"), toks(F.col("answer")).alias("a"))
+    met = contexts.select("id", toks(F.col("context")).alias("c")).join(r, "id").select("id", F.arrays_overlap("c", "q").alias("hit"), F.array_intersect("a", "c").alias("common"))
+    counts = met.groupBy("id").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    words = met.select("id", F.explode("common").alias("w")).distinct().groupBy("id").agg(F.count("*").alias("grounded"))
+    r = r.join(counts, "id", "left").join(words, "id", "left")
+    precision = F.coalesce("hits", F.lit(0)) / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))
+    faith = F.least(F.lit(1.0), F.coalesce("grounded", F.lit(0)) / F.greatest(F.lit(1.0), F.size("a") * 0.7))
     relevance = F.least(F.lit(1.0), F.size(F.array_intersect("q", "a")) / F.greatest(F.lit(1.0), F.size("q") * 0.5))
     return r.select("id", F.round(precision, 3).alias("context_precision"), F.round(faith, 3).alias("faithfulness"), F.round(relevance, 3).alias("answer_relevance"), F.round(precision * 0.3 + faith * 0.4 + relevance * 0.3, 3).alias("overall"))

@@ -6,14 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.references import key, listed_keys
+from quillgraph.session import lookup
 
 
 def latest(df: DataFrame, *columns: str, by: str = "id", at: str = "ingested_at") -> DataFrame:
-    """The columns of each id's latest row (the last write wins); combines before the shuffle.  Null ids are left out."""
+    """The columns of each id's latest row (the last write wins); combines before the shuffle.  Null ids are left out.
+
+    For columns of keys and numbers; whole texts are better served by :func:`latest_texts`.
+    """
     pick = F.max_by(F.struct(*columns), F.struct(at, *[c for c in columns if c != at]))
     return df.where(F.col(by).isNotNull()).groupBy(by).agg(pick.alias("_row")).select(by, *[F.col("_row")[c].alias(c) for c in columns if c != by])
 
 
+def latest_texts(df: DataFrame, *columns: str, by: str = "id", at: str = "ingested_at") -> DataFrame:
+    """As :func:`latest`, for wide columns: only the rows of ids that occur more than once are aggregated and shuffled.
+
+    A count per id finds those ids first and reads the ids alone; all other rows pass as they are.
+    """
+    named = df.where(F.col(by).isNotNull())
+    several = lookup(named.groupBy(by).agg(F.count("*").alias("_n")).where("_n > 1").select(by), label="several")
+    once = named.join(several, by, "left_anti").select(by, *[c for c in columns if c != by])
+    return once.unionByName(latest(named.join(several, by, "left_semi"), *columns, by=by, at=at))
+
+
 def upsert(old: DataFrame, new: DataFrame, by: str = "id") -> DataFrame:
     """``old`` with the rows of ``new`` written over those of the same key; columns that one side lacks become null."""
     return old.join(new.select(by), by, "left_anti").unionByName(new, allowMissingColumns=True)
@@ -65,9 +80,9 @@ def active_nodes(nodes: DataFrame, chunks: DataFrame, notes: DataFrame) -> DataF
 
 
 def edge_view(edges: DataFrame) -> DataFrame:
-    """Latest edges with keys as ends; a missing or zero weight or confidence reads as 1."""
+    """Latest edges with keys as ends; a missing or zero weight or confidence reads as 1 (``weighted`` says whether it was stated)."""
     one = lambda c: F.when(F.coalesce(F.col(c), F.lit(0.0)) == 0, 1.0).otherwise(F.col(c)).alias(c)
-    return latest(edges, "source", "target", "predicate", "weight", "confidence", "provenance", "ingested_at").select("id", key("source").alias("source"), key("target").alias("target"), "predicate", one("weight"), one("confidence"), "provenance", "ingested_at")
+    return latest(edges, "source", "target", "predicate", "weight", "confidence", "provenance", "ingested_at").select("id", key("source").alias("source"), key("target").alias("target"), "predicate", one("weight"), one("confidence"), "provenance", "ingested_at", (F.coalesce("weight", F.lit(0.0)) != 0).alias("weighted"))
 
 
 def active_edges(edges: DataFrame, nodes: DataFrame, chunks: DataFrame, notes: DataFrame) -> DataFrame:

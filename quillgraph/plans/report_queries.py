@@ -18,7 +18,7 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
-    return vault.latest(t(spark, d, "notes"), "title", "tags", "raw_content", "deleted_at", "ingested_at").where("deleted_at IS NULL")
+    return vault.latest_texts(t(spark, d, "notes"), "title", "tags", "raw_content", "deleted_at", "ingested_at").where("deleted_at IS NULL")
 
 
 def _view(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def gallery_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def content_keys(spark: SparkSession, d: str) -> DataFrame:
-    return reports.content_keys(vault.latest(t(spark, d, "notes"), "raw_content", "ingested_at"))
+    return reports.content_keys(vault.latest_texts(t(spark, d, "notes"), "raw_content", "ingested_at"))
 
 
 def conversation_window(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +127,7 @@ _COUNT = lambda p: f"len(regexp_extract_all(low, '{p}'))"
 def _topics_sql() -> str:
     parts = []
     for name in classify.TOPICS:
-        single, phrases = classify._topic(name)  # noqa: SLF001
+        single, phrases = classify.single_words(name), classify.phrases_of(name)
         more = f" + 2 * {_COUNT('|'.join(phrases))}" if phrases else ""
         parts.append(f"SELECT doc_id AS id, '{name}' AS topic, ({_COUNT(classify.word_pattern(single))}{more})::DOUBLE AS score FROM src")
     return f"src AS (SELECT doc_id, lower({_PLAIN}) AS low FROM documents WHERE text IS NOT NULL), raw AS ({' UNION ALL '.join(parts)}), tot AS (SELECT id, sum(score) AS total FROM raw GROUP BY id), tp AS (SELECT id, topic, score, round(score / total * 100, 1) AS percent FROM raw JOIN tot USING (id) WHERE score > 0 UNION ALL SELECT id, 'General', 1.0::DOUBLE, 100.0::DOUBLE FROM tot WHERE total = 0)"
@@ -136,7 +136,7 @@ def _topics_sql() -> str:
 _ANY = lambda ws: "(" + " OR ".join(f"contains(low, '{w}')" for w in ws) + ")"
 _TONE = f"""tn AS (SELECT doc_id AS id, len(regexp_extract_all(plain, '[A-Za-z0-9_-]*[A-Za-z0-9_][A-Za-z0-9_-]*')) AS n_words, CASE WHEN own = '' THEN 0 ELSE len(string_split(own, chr(10))) END AS n_lines, s AS sentiment_score, CASE WHEN s > 0.2 THEN 'positive' WHEN s < -0.2 THEN 'negative' ELSE 'neutral' END AS sentiment,
 CASE WHEN {_ANY(classify.URGENT)} THEN 'urgent' WHEN {_ANY(classify.HIGH)} THEN 'high' WHEN {_ANY(classify.LOW)} THEN 'low' ELSE 'medium' END AS priority
-FROM (SELECT *, round((p - n) / greatest(1, p + n)::DOUBLE, 2) AS s FROM (SELECT *, {_COUNT(classify.word_pattern(classify.POSITIVE.split()))} AS p, {_COUNT(classify.word_pattern(classify.NEGATIVE.split()))} AS n FROM (SELECT doc_id, lower({_PLAIN}) AS low, {_PLAIN} AS plain, {_TRIM("text")} AS own FROM documents WHERE text IS NOT NULL))))"""
+FROM (SELECT *, round((p - n) / greatest(1, p + n)::DOUBLE, 2) AS s FROM (SELECT *, {_COUNT(classify.word_pattern(classify.POSITIVE))} AS p, {_COUNT(classify.word_pattern(classify.NEGATIVE))} AS n FROM (SELECT doc_id, lower({_PLAIN}) AS low, {_PLAIN} AS plain, {_TRIM("text")} AS own FROM documents WHERE text IS NOT NULL))))"""
 _W = f"WITH {VIEWS}"
 _TAGS = r"list_filter(list_transform(string_split(regexp_replace(coalesce(tags, ''), '[\[\]\"'']', '', 'g'), ','), lambda s: trim(s)), lambda s: s <> '')"
 _PREVIEW = _TRIM(r"regexp_replace(substr(coalesce(raw_content, ''), 1, 240), '[ \t\n\r\f\v]+', ' ', 'g')") + " || CASE WHEN length(coalesce(raw_content, '')) > 240 THEN '...' ELSE '' END"

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators import lexical, links, retrieval, vault
+from quillgraph.operators import communities, lexical, links, retrieval, vault
 from quillgraph.operators.references import key
 from quillgraph.plans.text_queries import _POST
 from quillgraph.plans.vault_queries import _SEARCH, VIEWS
+from quillgraph.session import cut
 from quillgraph.sources.tables import table as t
 
 
@@ -20,12 +21,15 @@ def _view(spark: SparkSession, d: str) -> DataFrame:
     return vault.edge_view(t(spark, d, "edges"))
 
 
-def _notes(spark: SparkSession, d: str) -> DataFrame:
-    return vault.latest(t(spark, d, "notes"), "title", "source_file", "raw_content", "deleted_at", "ingested_at").where("deleted_at IS NULL")
+def _notes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Notes that are not removed: their latest rows' ids and the named columns."""
+    pick = vault.latest_texts if "raw_content" in columns else vault.latest
+    return pick(t(spark, d, "notes"), *columns, "deleted_at", "ingested_at").where("deleted_at IS NULL")
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return vault.latest(t(spark, d, "chunks"), "note_id", "text", "ingested_at")
+def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    pick = vault.latest_texts if "text" in columns else vault.latest
+    return pick(t(spark, d, "chunks"), *columns, "ingested_at")
 
 
 def route_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +59,7 @@ def chunk_graph_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(_chunks(spark, d), ["graph", "vector"], every=False).select(key("chunk_id").alias("chunk"), F.round("score", 6).alias("score"))
+    return lexical.bm25(_chunks(spark, d, "text"), ["graph", "vector"], every=False).select(key("chunk_id").alias("chunk"), F.round("score", 6).alias("score"))
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +67,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def local_citations(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.citations(rrf_fusion(spark, d), _chunks(spark, d), vault.latest(t(spark, d, "notes"), "title", "ingested_at"))
+    return retrieval.citations(rrf_fusion(spark, d), _chunks(spark, d, "note_id", "text"), vault.latest(t(spark, d, "notes"), "title", "ingested_at"))
 
 
 def global_insights(spark: SparkSession, d: str) -> DataFrame:
@@ -84,17 +88,37 @@ def leading_themes(spark: SparkSession, d: str) -> DataFrame:
 
 def rag_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Titles as questions, first sentences of notes as answers, the notes' chunks as contexts."""
-    notes = _notes(spark, d).select(key("id").alias("note"), "title", F.substring_index("raw_content", ".", 1).alias("answer"))
-    ctx = _chunks(spark, d).where("text IS NOT NULL").select(key("note_id").alias("note"), "text").groupBy("note").agg(F.collect_list("text").alias("contexts"))
-    return retrieval.answer_scores(notes.join(ctx, "note", "left").select(F.col("note").alias("id"), F.col("title").alias("question"), "answer", "contexts"))
+    notes = _notes(spark, d, "title", "raw_content").select(key("id").alias("id"), F.col("title").alias("question"), F.substring_index("raw_content", ".", 1).alias("answer"))
+    contexts = _chunks(spark, d, "note_id", "text").where("text IS NOT NULL").select(key("note_id").alias("id"), F.col("text").alias("context"))
+    return retrieval.answer_scores(notes, contexts)
 
 
 def _held(spark: SparkSession, d: str) -> DataFrame:
-    return links.entity_notes(vault.provenance(t(spark, d, "nodes")), _chunks(spark, d), _notes(spark, d))
+    """Notes of every entity: those its chunks come from, and those that mention its name."""
+    own = links.entity_notes(vault.provenance(t(spark, d, "nodes")), _chunks(spark, d, "note_id"), _notes(spark, d))
+    return own.unionByName(entity_mentions(spark, d)).distinct()
+
+
+def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return links.mentions(vault.latest(t(spark, d, "nodes"), "name", "ingested_at"), _notes(spark, d, "title", "raw_content"))
 
 
 def explicit_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.explicit_links(_notes(spark, d))
+    return links.explicit_links(_notes(spark, d, "title", "source_file", "raw_content"))
+
+
+def stored_note_links(spark: SparkSession, d: str) -> DataFrame:
+    return links.stored_links(_view(spark, d), _notes(spark, d))
+
+
+def shared_entity_classes(spark: SparkSession, d: str) -> DataFrame:
+    return links.shared_entity_classes(_held(spark, d))
+
+
+def similar_notes(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of notes whose texts are similar."""
+    texts = _notes(spark, d, "title", "raw_content").select(key("id").alias("id"), F.concat_ws(" ", "title", "raw_content").alias("text"))
+    return links.similar_pairs(cut(links.term_vectors(texts, "id", "text"), "note-terms")).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def shared_entity_links(spark: SparkSession, d: str) -> DataFrame:
@@ -106,15 +130,27 @@ def relation_bridge_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def auto_link_graph(spark: SparkSession, d: str) -> DataFrame:
-    held = _held(spark, d)
-    return links.note_graph(_notes(spark, d), links.explicit_links(_notes(spark, d)), links.shared_entity_links(held), links.relation_links(_view(spark, d), held))
+    held, view = cut(_held(spark, d), "held"), cut(_view(spark, d), "view")
+    return links.note_graph(explicit_links(spark, d), links.stored_links(view, _notes(spark, d)), links.shared_entity_links(held), links.relation_links(view, held), similar_notes(spark, d))
+
+
+def note_degrees(spark: SparkSession, d: str) -> DataFrame:
+    notes = _notes(spark, d, "title")
+    return links.linked_notes(notes, links.note_degrees(notes, auto_link_graph(spark, d)))
+
+
+def note_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Community of every note by the links of all stages; a note without links is one of its own."""
+    graph = auto_link_graph(spark, d).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("weight").alias("w"))
+    found = communities.detect(cut(graph, "note-graph"))
+    return _notes(spark, d).select(key("id").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
 
 
 def note_graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return links.graph_stats(_notes(spark, d), auto_link_graph(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (route_queries, query_keywords, bridges, community_rank, chunk_graph_score, rrf_fusion, local_citations, global_insights, community_internal_edges, community_summary, leading_themes, rag_metrics, explicit_links, shared_entity_links, relation_bridge_links, auto_link_graph, note_graph_stats)}
+QUERIES = {f.__name__: f for f in (route_queries, query_keywords, bridges, community_rank, chunk_graph_score, rrf_fusion, local_citations, global_insights, community_internal_edges, community_summary, leading_themes, rag_metrics, explicit_links, stored_note_links, entity_mentions, shared_entity_classes, shared_entity_links, relation_bridge_links, similar_notes, auto_link_graph, note_graph_stats, note_degrees, note_communities)}
 
 _PLAIN = r"regexp_replace(regexp_replace(title, '[^\x00-\x7F\p{L}\p{N}]', '-', 'g'), '[^\x00-\x7F]', '_', 'g')"
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
@@ -134,17 +170,20 @@ w AS (SELECT term, CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <=
 bm AS (SELECT lower(trim(chunk_id)) AS chunk, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM post JOIN w USING (term) GROUP BY chunk_id)"""
 _RRF = "rrf AS (SELECT chunk, round(sum(s), 6) AS score, sum(s) AS exact FROM (SELECT chunk, 0.5::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk)) AS s FROM bm QUALIFY row_number() OVER (ORDER BY score DESC, chunk) <= 500 UNION ALL SELECT chunk, 0.5::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk)) FROM gs QUALIFY row_number() OVER (ORDER BY score DESC, chunk) <= 500) GROUP BY chunk ORDER BY round(sum(s), 9) DESC, chunk LIMIT 50)"
 _STEM = lambda c: rf"regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({c}, '(?i)\.md$', ''), '[^\p{{L}}\p{{N}}_ \t\n\r\f\v-]', '', 'g'), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')), '[ \t\n\r\f\v-]+', '_', 'g')"
+_MARKED = lambda c: rf"regexp_replace(lower({c}), '[\p{{L}}\p{{N}}_]+', chr(1) || '\0' || chr(1), 'g')"
 _LINKS = rf"""
 live AS (SELECT * FROM note_l WHERE deleted_at IS NULL),
 al AS (SELECT alias, max(note) AS note FROM (SELECT id AS note, unnest([lower(id), {_STEM("id")}, lower(title), {_STEM("title")}, lower(f), lower(regexp_replace(f, '\.[^.]*$', '')), {_STEM("f")}]) AS alias FROM (SELECT *, regexp_extract(source_file, '([^/]*)$', 1) AS f FROM live)) WHERE alias <> '' GROUP BY alias),
 tg AS (SELECT DISTINCT a, lower(m) AS exact, {_STEM("m")} AS clean FROM (SELECT id AS a, trim(unnest(regexp_extract_all(raw_content, '\[\[([^\]\|#]+)(?:#[^\]\|]+)?(?:\|[^\]]+)?\]\]', 1))) AS m FROM live)),
 ex AS (SELECT DISTINCT a, coalesce(x.note, y.note) AS b FROM tg LEFT JOIN al x ON x.alias = exact LEFT JOIN al y ON y.alias = clean WHERE coalesce(x.note, y.note) <> a),
-held AS (SELECT DISTINCT lower(trim(p.id)) AS entity, coalesce(nullif(lower(trim(c.note_id)), ''), regexp_replace(p.chunk, '_chunk_[^_]*$', '')) AS note FROM node_p p LEFT JOIN chunk_l c ON lower(trim(c.id)) = p.chunk WHERE coalesce(nullif(lower(trim(c.note_id)), ''), regexp_replace(p.chunk, '_chunk_[^_]*$', '')) IN (SELECT lower(trim(id)) FROM live)),
-hs AS (SELECT entity, count(*) AS n, min(note) AS first FROM held GROUP BY entity),
-sh AS (SELECT a, b, count(*) AS n_shared FROM (SELECT x.note AS a, y.note AS b FROM held x JOIN held y USING (entity) JOIN hs USING (entity) WHERE x.note < y.note AND n <= 50 UNION ALL SELECT first, note FROM held JOIN hs USING (entity) WHERE n > 50 AND note <> first) GROUP BY a, b),
-rp AS (SELECT DISTINCT entity, CASE WHEN n > 50 THEN first ELSE note END AS note FROM held JOIN hs USING (entity)),
-rl AS (SELECT least(x.note, y.note) AS a, greatest(x.note, y.note) AS b, round(max(weight), 2) AS weight FROM edge_v JOIN rp x ON x.entity = source JOIN rp y ON y.entity = target WHERE source <> target AND x.note <> y.note GROUP BY 1, 2),
-ng AS (SELECT a, b, min(stage)::BIGINT AS stage, arg_min(weight, (stage, weight)) AS weight FROM (SELECT least(lower(trim(a)), lower(trim(b))) AS a, greatest(lower(trim(a)), lower(trim(b))) AS b, 1 AS stage, 1.0::DOUBLE AS weight FROM ex UNION ALL SELECT a, b, 2, 0.85::DOUBLE FROM sh UNION ALL SELECT a, b, 3, weight FROM rl) GROUP BY a, b)"""
+men AS (SELECT DISTINCT lower(trim(n.id)) AS entity, lower(trim(l.id)) AS note FROM (SELECT id, {_MARKED("trim(name)")} AS m FROM node_l WHERE length(trim(name)) >= 4 AND NOT starts_with(lower(trim(name)), 'untitled')) n JOIN (SELECT id, {_MARKED("coalesce(title, '') || ' ' || coalesce(raw_content, '')")} AS x FROM live) l ON contains(l.x, n.m)),
+held AS (SELECT DISTINCT lower(trim(p.id)) AS entity, coalesce(nullif(lower(trim(c.note_id)), ''), regexp_replace(p.chunk, '_chunk_[^_]*$', '')) AS note FROM node_p p LEFT JOIN chunk_l c ON lower(trim(c.id)) = p.chunk WHERE coalesce(nullif(lower(trim(c.note_id)), ''), regexp_replace(p.chunk, '_chunk_[^_]*$', '')) IN (SELECT lower(trim(id)) FROM live) UNION SELECT entity, note FROM men),
+sl AS (SELECT least(source, target) AS a, greatest(source, target) AS b, max(weight) AS weight FROM edge_v WHERE source <> target AND source IN (SELECT lower(trim(id)) FROM live) AND target IN (SELECT lower(trim(id)) FROM live) GROUP BY 1, 2),
+sh AS (SELECT x.note AS a, y.note AS b, count(*) AS n_shared FROM held x JOIN held y USING (entity) WHERE x.note < y.note GROUP BY a, b),
+rl AS (SELECT least(x.note, y.note) AS a, greatest(x.note, y.note) AS b, round(max(CASE WHEN weighted THEN weight ELSE 0.8::DOUBLE END), 2) AS weight FROM edge_v JOIN held x ON x.entity = source JOIN held y ON y.entity = target WHERE source <> target AND x.note <> y.note GROUP BY 1, 2),
+tv AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT id, term, tf * ln((SELECT count(DISTINCT id) FROM live) / df::DOUBLE) AS w FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM (SELECT id, term, count(*) AS tf FROM (SELECT lower(trim(id)) AS id, unnest(list_filter(string_split_regex(lower(concat_ws(' ', title, raw_content)), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS term FROM live) GROUP BY id, term))) WHERE w > 0),
+sm AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS s FROM tv x JOIN tv y USING (term) WHERE x.id < y.id GROUP BY x.id, y.id HAVING s >= 0.70::DOUBLE),
+ng AS (SELECT a, b, min(stage)::BIGINT AS stage, arg_min(weight, (stage, -weight)) AS weight FROM (SELECT least(lower(trim(a)), lower(trim(b))) AS a, greatest(lower(trim(a)), lower(trim(b))) AS b, 1 AS stage, 1.0::DOUBLE AS weight FROM ex UNION ALL SELECT a, b, 2, weight FROM sl UNION ALL SELECT a, b, 3, 0.85::DOUBLE FROM sh UNION ALL SELECT a, b, 4, weight FROM rl UNION ALL SELECT a, b, 5, round(s, 3) FROM sm) GROUP BY a, b)"""
 _TOKS = lambda c: rf"list_distinct(list_filter(string_split_regex(lower(coalesce({c}, '')), '[ \t\n\r\f\v]+'), lambda z: z <> ''))"
 _IN = "ie AS (SELECT DISTINCT a.id AS community, v.id, v.source, v.predicate, v.target FROM edge_v v JOIN member a ON a.node = v.source JOIN member b ON b.node = v.target AND b.id = a.id)"
 _W = f"WITH {VIEWS}"
@@ -162,6 +201,11 @@ ORACLE = {
     "leading_themes": "SELECT theme, count(*) AS n, arg_min(id, (id, pos)) AS first_id FROM (SELECT id, unnest(l) AS theme, unnest(range(len(l))) AS pos FROM (SELECT id, from_json(themes, '[\"VARCHAR\"]') AS l FROM communities)) GROUP BY theme ORDER BY min((id, pos)), theme LIMIT 8",
     "rag_metrics": f"{_W}, {_LINKS}, n AS (SELECT lower(trim(id)) AS id, {_TOKS('title')} AS q, {_TOKS('''split_part(raw_content, '.', 1)''')} AS a, coalesce((SELECT list(text) FROM chunk_l c WHERE lower(trim(c.note_id)) = lower(trim(live.id)) AND text IS NOT NULL), []) AS c FROM live), s AS (SELECT id, len(list_filter(c, lambda t: list_has_any({_TOKS('t')}, q))) / greatest(len(c), 1)::DOUBLE AS p, least(1.0::DOUBLE, len(list_intersect(a, {_TOKS('''array_to_string(c, ' ')''')})) / greatest(1.0::DOUBLE, len(a) * 0.7::DOUBLE)) AS f, least(1.0::DOUBLE, len(list_intersect(q, a)) / greatest(1.0::DOUBLE, len(q) * 0.5::DOUBLE)) AS r FROM n) SELECT id, round(p, 3) AS context_precision, round(f, 3) AS faithfulness, round(r, 3) AS answer_relevance, round(p * 0.3::DOUBLE + f * 0.4::DOUBLE + r * 0.3::DOUBLE, 3) AS overall FROM s",
     "explicit_links": f"{_W}, {_LINKS} SELECT * FROM ex",
+    "stored_note_links": f"{_W}, {_LINKS} SELECT * FROM sl",
+    "entity_mentions": f"{_W}, {_LINKS} SELECT * FROM men",
+    "shared_entity_classes": f"{_W}, {_LINKS}, s AS (SELECT note, string_agg(entity, '|' ORDER BY entity) AS es, count(*) AS n_entities FROM held GROUP BY note) SELECT note, min(note) OVER (PARTITION BY es) AS class, n_entities, count(*) OVER (PARTITION BY es) AS n_notes FROM s",
+    "similar_notes": f"{_W}, {_LINKS} SELECT a, b, round(s, 6) AS similarity FROM sm",
+    "note_degrees": f"{_W}, {_LINKS} SELECT id, title, coalesce(n, 0) AS degree FROM live LEFT JOIN (SELECT note, count(*) AS n FROM (SELECT a AS note FROM ng UNION ALL SELECT b FROM ng) GROUP BY note) k ON k.note = lower(trim(live.id))",
     "shared_entity_links": f"{_W}, {_LINKS} SELECT * FROM sh",
     "relation_bridge_links": f"{_W}, {_LINKS} SELECT * FROM rl",
     "auto_link_graph": f"{_W}, {_LINKS} SELECT * FROM ng",

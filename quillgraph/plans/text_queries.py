@@ -12,11 +12,11 @@ from quillgraph.sources.tables import table as t
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
-    return vault.latest(t(spark, d, "notes"), "title", "source_file", "tags", "raw_content", "ingested_at")
+    return vault.latest_texts(t(spark, d, "notes"), "raw_content", "ingested_at")
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return vault.latest(t(spark, d, "chunks"), "note_id", "text", "ingested_at")
+    return vault.latest_texts(t(spark, d, "chunks"), "text", "ingested_at")
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +46,7 @@ def first_headings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    return _notes(spark, d).where("title IS NOT NULL").select("id", x.slug("title").alias("slug"), x.clean_stem("source_file").alias("stem"))
+    return vault.latest(t(spark, d, "notes"), "title", "source_file", "ingested_at").where("title IS NOT NULL").select("id", x.slug("title").alias("slug"), x.clean_stem("source_file").alias("stem"))
 
 
 def wikilinks(spark: SparkSession, d: str) -> DataFrame:

@@ -21,7 +21,7 @@ edge_p AS (SELECT DISTINCT id, chunk FROM (SELECT id, lower(trim(unnest(string_s
 node_s AS (SELECT n.id, count(p.chunk) AS n_before, count(p.chunk) FILTER (WHERE p.chunk NOT IN (SELECT chunk FROM gone_chunk)) AS n_left FROM node_l n LEFT JOIN node_p p USING (id) GROUP BY n.id),
 edge_s AS (SELECT e.id, count(p.chunk) AS n_before, count(p.chunk) FILTER (WHERE p.chunk NOT IN (SELECT chunk FROM gone_chunk)) AS n_left FROM edge_l e LEFT JOIN edge_p p USING (id) GROUP BY e.id),
 node_a AS (SELECT * FROM node_s WHERE n_before = 0 OR n_left > 0),
-edge_v AS (SELECT id, nullif(lower(trim(source)), '') AS source, nullif(lower(trim(target)), '') AS target, predicate, CASE WHEN coalesce(weight, 0) = 0 THEN 1.0::DOUBLE ELSE weight END AS weight, CASE WHEN coalesce(confidence, 0) = 0 THEN 1.0::DOUBLE ELSE confidence END AS confidence FROM edge_l),
+edge_v AS (SELECT id, nullif(lower(trim(source)), '') AS source, nullif(lower(trim(target)), '') AS target, predicate, CASE WHEN coalesce(weight, 0) = 0 THEN 1.0::DOUBLE ELSE weight END AS weight, CASE WHEN coalesce(confidence, 0) = 0 THEN 1.0::DOUBLE ELSE confidence END AS confidence, coalesce(weight, 0) <> 0 AS weighted FROM edge_l),
 edge_a AS (SELECT v.id, v.source, v.target, v.predicate, v.weight, v.confidence, s.n_left FROM edge_v v JOIN edge_s s USING (id) WHERE (s.n_before = 0 OR s.n_left > 0) AND v.source IN (SELECT lower(trim(id)) FROM node_a) AND v.target IN (SELECT lower(trim(id)) FROM node_a)),
 member AS (SELECT id, level, parent_id, lower(trim(unnest(from_json(node_ids, '["VARCHAR"]')))) AS node, unnest(range(len(from_json(node_ids, '["VARCHAR"]')))) AS pos FROM communities),
 community_a AS (SELECT id, level, count(*) AS n_members, count(*) FILTER (WHERE node IN (SELECT lower(trim(id)) FROM node_a)) AS n_active FROM member GROUP BY id, level HAVING n_active > 0)

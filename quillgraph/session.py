@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "quillgraph", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -27,6 +28,8 @@ def build_session(app: str = "quillgraph", master: str | None = None, shuffle_pa
 
 
 _LOCAL: dict[str, str] = {}
+#: Up to so many rows of keys are sent to all executors for a lookup; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def steady(spark: SparkSession) -> SparkSession:
@@ -56,10 +59,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, one of our own, but only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="spark-quill-")
         base = f"file://{_LOCAL[app]}"
@@ -79,10 +84,24 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return out
 
 
+def lookup(df: DataFrame, most: int = BROADCAST_KEYS, label: str = "lookup") -> DataFrame:
+    """``df`` as a cut table of keys, to be sent to all executors if it has ``most`` rows at most."""
+    keys = cut(df, label)
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete all tables that this application has cut; for use once the results built on them have been read."""
+    _delete(spark, shared_dir(spark))
+
+
 def drop_cut(df: DataFrame | None) -> None:
     """Delete a table made by :func:`cut` that nothing reads any more."""
     path = getattr(df, "_quill_path", None)
     if path:
-        spark = df.sparkSession
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)  # noqa: SLF001
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)  # noqa: SLF001

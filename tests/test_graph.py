@@ -5,8 +5,9 @@ from datetime import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import analytics, communities, components, links, retrieval, vectors
+from quillgraph.operators import analytics, communities, components, links, pairs, retrieval, vectors
 from quillgraph.plans import catalogue
+from quillgraph.session import cut
 
 
 def view(spark, edges):
@@ -121,12 +122,49 @@ def test_communities_find_planted_groups(spark):
     assert labels.count() == pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct().count()
 
 
-def test_links_star(spark, monkeypatch):
-    held = spark.createDataFrame([("x", f"n{i}") for i in range(5)] + [("y", "n1"), ("y", "n2")], "entity string, note string")
-    assert links.shared_entity_links(held).count() == 10
-    monkeypatch.setattr(links, "STAR", 3)
-    got = {(r.a, r.b): r.n_shared for r in links.shared_entity_links(held).collect()}
-    assert got == {("n0", f"n{i}"): 1 for i in range(1, 5)} | {("n1", "n2"): 1}
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_pairs_within_groups(spark, block):
+    held = spark.createDataFrame([("x", f"n{i}") for i in range(12)] + [("y", "n1"), ("y", "n2"), ("z", "n3"), (None, "n4")], "entity string, note string")
+    got = [tuple(r) for r in pairs.pairs_within(held, ["entity"], "note", block).collect()]
+    names = sorted(f"n{i}" for i in range(12))
+    want = {("x", a, b) for i, a in enumerate(names) for b in names[i + 1 :]} | {("y", "n1", "n2")}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_links_of_all_stages(spark):
+    text = "zebra quartz marmalade saxophone"
+    notes = spark.createDataFrame(
+        [("a", "Alpha", "v/alpha.md", "see [[Beta Two|b]] and [[nowhere]]"), ("b", "Beta Two", "v/beta.md", "on graph-theory, briefly"), ("c", "Gamma", "v/c.md", text), ("d", "Gamma", "v/d.md", text + " zebra"), ("e", "Eps", None, "Graph Theory!"), ("f", None, "v/f.md", None)],
+        "id string, title string, source_file string, raw_content string",
+    )
+    assert {tuple(r) for r in links.explicit_links(notes).collect()} == {("a", "b")}
+    nodes = spark.createDataFrame([("N1", "graph theory"), ("N2", "Saxo"), ("N3", "see"), ("N4", None), ("N5", "untitled 3"), ("N6", "marmalade")], "id string, name string")
+    assert {tuple(r) for r in links.mentions(nodes, notes).collect()} == {("n1", "e"), ("n6", "c"), ("n6", "d")}
+    edges = spark.createDataFrame([("n1", "n6", 1.0, False), ("A", "c", 2.0, True), ("c", "a", 3.0, True)], "source string, target string, weight double, weighted boolean").select(F.lower("source").alias("source"), "target", "weight", "weighted")
+    stored = links.stored_links(edges, notes)
+    assert [tuple(r) for r in stored.collect()] == [("a", "c", 3.0)]
+    held = links.mentions(nodes, notes)
+    related = links.relation_links(edges, held)
+    assert {tuple(r) for r in related.collect()} == {("c", "e", 0.8), ("d", "e", 0.8)}
+    similar = links.similar_pairs(links.term_vectors(notes.select("id", F.concat_ws(" ", "title", "raw_content").alias("text")), "id", "text"))
+    assert [(r.a, r.b) for r in similar.collect()] == [("c", "d")]
+    graph = links.note_graph(links.explicit_links(notes), stored, links.shared_entity_links(held), related, similar)
+    assert {(r.a, r.b): r.stage for r in graph.collect()} == {("a", "b"): 1, ("a", "c"): 2, ("c", "d"): 3, ("c", "e"): 4, ("d", "e"): 4}
+    assert {r.note: r.degree for r in links.note_degrees(notes, graph).collect()} == {"a": 2, "b": 1, "c": 3, "d": 2, "e": 2, "f": 0}
+    assert {(r.note, r["class"]) for r in links.shared_entity_classes(held).collect()} == {("c", "c"), ("d", "c"), ("e", "e")}
+
+
+def test_similar_pairs_are_exact(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(60)]
+    texts += [t + " " + rng.choice(words) for t in texts[:30]]
+    rows = cut(links.term_vectors(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text"))
+    vectors = defaultdict(dict)
+    for r in rows.collect():
+        vectors[r.id][r.term] = r.w
+    want = {(a, b) for a in vectors for b in vectors if a < b and sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items()) >= 0.7}
+    assert {(r.a, r.b) for r in links.similar_pairs(rows).collect()} == want and len(want) > 20
 
 
 def test_rank_fusion(spark):
@@ -139,8 +177,9 @@ def test_modes_and_scores(spark):
     df = spark.createDataFrame([(1, "Give an overview of it"), (2, "What are the main themes?"), (3, "Who is Alice?"), (4, None)], "i int, q string")
     assert [r.m for r in df.select("i", retrieval.mode("q").alias("m")).orderBy("i").collect()] == ["global", "global", "local", "local"]
     assert df.where("i = 3").select(retrieval.keyword_grams("q").alias("g")).first().g == ["Alice"]
-    rows = spark.createDataFrame([(1, "what is spark sql", "spark sql is a module", ["spark sql module", "unrelated text here"])], "id int, question string, answer string, contexts array<string>")
-    r = retrieval.answer_scores(rows).first()
+    rows = spark.createDataFrame([(1, "what is spark sql", "spark sql is a module")], "id int, question string, answer string")
+    contexts = spark.createDataFrame([(1, "spark sql module"), (1, "unrelated text here")], "id int, context string")
+    r = retrieval.answer_scores(rows, contexts).first()
     assert (r.context_precision, r.faithfulness, r.answer_relevance, r.overall) == (0.5, 0.857, 1.0, 0.793)
 
 
