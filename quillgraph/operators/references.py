@@ -1,8 +1,9 @@
 """References to records that do not exist (problem 3).
 
-Every table contributes signed deltas per key: references count up, records count existence up, removals count it down
-again.  One aggregation of the deltas gives each key's state; keys with positive references and no existence are orphans.
-The reports are the references whose key is in a bad state.
+Every row of a table contributes signed deltas: a row that comes counts up, a row that goes (removed, retracted, moved to
+another key, or written anew) counts the same down again.  Deltas add up to two states: existence per key and arrival, and
+references per record, key and arrival.  Keys with positive references and no existence are orphans, whatever the order in
+which the changes came.  A state is kept up by adding the deltas of a change set, without reading old tables again.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from quillgraph.session import cut
 
 #: A key is hot if it has more than this share of all references, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
+#: The columns that name a delta of existence, and one of a reference; both have a signed count ``n`` beside them.
+RECORD = ["tbl", "key", "note", "at", "gone"]
+REFERENCE = ["tbl", "field", "record_id", "target_tbl", "ref_key", "at"]
 
 
 def key(column: str | Column) -> Column:
@@ -30,69 +34,81 @@ def listed_keys(column: str | Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(bare, r"[,;]"), key), lambda x: x.isNotNull() & (x != "null") & (x != "none")))
 
 
-def references(chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(tbl, field, record_id, target_tbl, ref_key, seen)``: each reference of each record once.
+def record_deltas(notes: DataFrame, chunks: DataFrame, nodes: DataFrame, sign: int = 1) -> DataFrame:
+    """:data:`RECORD` and ``n``: each row's existence under its key, with the note that a chunk belongs to."""
 
-    ``seen`` is the first arrival of any row of the record.
-    """
+    def records(df: DataFrame, tbl: str, note: Column, gone: Column) -> DataFrame:
+        return df.select(F.lit(tbl).alias("tbl"), key("id").alias("key"), note.cast("string").alias("note"), F.col("ingested_at").alias("at"), gone.alias("gone"), F.lit(sign).cast("bigint").alias("n")).where("key IS NOT NULL")
 
-    def first(df: DataFrame, *fields: str) -> DataFrame:
-        rows = df.where("id IS NOT NULL").groupBy(F.col("id").alias("record_id"), *fields).agg(F.min("ingested_at").alias("seen"))
-        return rows.withColumn("seen", F.min("seen").over(Window.partitionBy("record_id")))
+    none, no = F.lit(None), F.lit(False)
+    return reduce(DataFrame.unionByName, [records(notes, "notes", none, F.col("deleted_at").isNotNull()), records(chunks, "chunks", key("note_id"), no), records(nodes, "nodes", none, no)])
 
-    def out(df: DataFrame, tbl: str, field: Column, target: str, ref: Column) -> DataFrame:
-        return df.select(F.lit(tbl).alias("tbl"), field.alias("field"), "record_id", F.lit(target).alias("target_tbl"), ref.alias("ref_key"), "seen").where("ref_key IS NOT NULL")
 
-    ends = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), key(f).alias("ref_key")) for f in ("source", "target")])).alias("r")
-    parts = [
-        out(first(chunks, "note_id"), "chunks", F.lit("note_id"), "notes", key("note_id")),
-        out(first(nodes, "provenance").withColumn("k", F.explode(listed_keys("provenance"))), "nodes", F.lit("provenance"), "chunks", F.col("k")),
-        out(first(edges, "source", "target").select("record_id", "seen", ends), "edges", F.col("r.field"), "nodes", F.col("r.ref_key")),
-    ]
-    # the rows of a record lie together already, so this needs no further shuffle
-    return reduce(DataFrame.unionByName, [p.dropDuplicates(["tbl", "field", "record_id", "ref_key"]) for p in parts])
+def reference_deltas(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, sign: int = 1) -> DataFrame:
+    """:data:`REFERENCE` and ``n``: each row's references, each once; a row without any has one with a null key, as its
+    arrival counts for its record."""
 
+    def out(df: DataFrame, tbl: str, target: str, refs: Column) -> DataFrame:
+        held = df.where("id IS NOT NULL").select(F.col("id").alias("record_id"), F.col("ingested_at").alias("at"), F.explode(refs).alias("r"))
+        return held.select(F.lit(tbl).alias("tbl"), F.col("r.field").alias("field"), "record_id", F.lit(target).alias("target_tbl"), F.col("r.key").alias("ref_key"), "at", F.lit(sign).cast("bigint").alias("n"))
 
-def deltas(notes: DataFrame, chunks: DataFrame, nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """``(tbl, key, exist, gone, refs, at)``: signed change deltas of existence, removal and references per key."""
+    one = lambda field, k: F.struct(F.lit(field).alias("field"), k.alias("key"))
+    listed = F.coalesce(listed_keys("provenance"), F.array().cast("array<string>"))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            out(chunks, "chunks", "notes", F.array(one("note_id", key("note_id")))),
+            out(nodes, "nodes", "chunks", F.transform(F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit(None).cast("string"))), lambda k: one("provenance", k))),
+            out(edges, "edges", "nodes", F.array(one("source", key("source")), one("target", key("target")))),
+        ],
+    )
 
-    def records(df: DataFrame, tbl: str, gone: Column) -> DataFrame:
-        return df.select(F.lit(tbl).alias("tbl"), key("id").alias("key"), F.lit(1).alias("exist"), gone.cast("int").alias("gone"), F.lit(0).alias("refs"), F.col("ingested_at").alias("at")).where("key IS NOT NULL")
 
-    no = F.lit(0)
-    return (
-        records(notes, "notes", F.col("deleted_at").isNotNull())
-        .unionByName(records(chunks, "chunks", no))
-        .unionByName(records(nodes, "nodes", no))
-        .unionByName(refs.select(F.col("target_tbl").alias("tbl"), F.col("ref_key").alias("key"), F.lit(0).alias("exist"), no.alias("gone"), F.lit(1).alias("refs"), F.lit(None).cast("timestamp_ntz").alias("at")))
-    )
+def added_up(deltas: DataFrame) -> DataFrame:
+    """A state: equal deltas as one with their sum; what has come and gone leaves nothing.
 
+    Deltas of a record lie together, so what is later asked per record needs no further shuffle.
+    """
+    columns = [c for c in deltas.columns if c != "n"]
+    by = ["tbl", "record_id"] if "record_id" in columns else ["tbl", "key"]
+    return deltas.repartition(*by).groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0")
 
-def key_states(all_deltas: DataFrame) -> DataFrame:
-    """``(tbl, key, exist, gone, refs, at)`` added up per key; ``at`` is the first arrival of the key's record."""
-    return all_deltas.groupBy("tbl", "key").agg(F.sum("exist").alias("exist"), F.sum("gone").alias("gone"), F.sum("refs").alias("refs"), F.min("at").alias("at"))
 
+def changed(state: DataFrame, change: DataFrame) -> DataFrame:
+    """A state after further deltas."""
+    return added_up(state.unionByName(change))
 
-def merge_states(state: DataFrame, change: DataFrame) -> DataFrame:
-    """Key states after further deltas, so that the report is kept up without reading old tables again."""
-    return key_states(state.unionByName(change))
 
+def live_references(state: DataFrame) -> DataFrame:
+    """``(tbl, field, record_id, target_tbl, ref_key, seen)``: each reference of each record once.
 
-def orphans(notes: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(tbl, field, record_id, ref_id, kind, period)``: references to missing, deleted or later records.
+    ``seen`` is the first arrival of any row of the record that is still there.
+    """
+    rows = state.where("n > 0").withColumn("seen", F.min("at").over(Window.partitionBy("tbl", "record_id")))
+    return rows.where("ref_key IS NOT NULL").groupBy("tbl", "record_id", "field", "target_tbl", "ref_key").agg(F.min("seen").alias("seen")).select("tbl", "field", "record_id", "target_tbl", "ref_key", "seen")
 
-    Null and blank references and null ids do not count; a reference repeated in a list, and repeated rows of a record,
-    count once; the record's and the target's arrival are those of their earliest rows.  Empty tables give no references
-    (all references to an empty table are missing).  Only the named columns are read.  ``period`` is null where no row of
-    the record has an arrival.
+
+def key_states(records: DataFrame, refs: DataFrame) -> DataFrame:
+    """``(tbl, key, exist, gone, refs, at)`` of all keys that are referred to; ``at`` is the first arrival of the key's record."""
+    own = records.select("tbl", "key", F.col("n").alias("exist"), F.when(F.col("gone"), F.col("n")).otherwise(0).alias("gone"), F.lit(0).cast("bigint").alias("refs"), F.when(F.col("n") > 0, F.col("at")).alias("at"))
+    asked = refs.groupBy("target_tbl", "ref_key").agg(F.count("*").alias("refs")).select(F.col("target_tbl").alias("tbl"), F.col("ref_key").alias("key"), F.lit(0).cast("bigint").alias("exist"), F.lit(0).cast("bigint").alias("gone"), "refs", F.lit(None).cast(records.schema["at"].dataType).alias("at"))
+    sums = own.unionByName(asked).groupBy("tbl", "key").agg(F.sum("exist").alias("exist"), F.sum("gone").alias("gone"), F.sum("refs").alias("refs"), F.min("at").alias("at"))
+    return sums.where("refs > 0")
+
+
+def orphans_of(records: DataFrame, references: DataFrame) -> DataFrame:
+    """``(tbl, field, record_id, ref_id, kind, period)`` of the two states of :func:`record_deltas` and :func:`reference_deltas`.
+
+    ``missing``: positive references and no existence; ``deleted``: the note, or the chunk's note, is removed; ``late``: the
+    record that is referred to came after the referring one.
     """
-    refs = references(chunks, nodes, edges)
-    states = key_states(deltas(notes, chunks, nodes, refs)).where("refs > 0")
+    refs = cut(live_references(references), "p3-refs")
+    records = cut(records, "p3-records")
     # a chunk counts as deleted if its note is
-    gone_notes = notes.where("deleted_at IS NOT NULL").select(key("id").alias("note")).where("note IS NOT NULL").distinct()
-    gone_chunks = chunks.select(key("id").alias("key"), key("note_id").alias("note")).join(gone_notes, "note", "left_semi").select(F.lit("chunks").alias("tbl"), "key", F.lit(1).alias("by_note")).distinct()
+    gone_notes = records.where("tbl = 'notes' AND gone AND n > 0").select(F.col("key").alias("note")).distinct()
+    gone_chunks = records.where("tbl = 'chunks' AND n > 0").join(gone_notes, "note", "left_semi").select("tbl", "key", F.lit(1).alias("by_note")).distinct()
     states = cut(
-        states.join(gone_chunks, ["tbl", "key"], "left").select(
+        key_states(records, refs).join(gone_chunks, ["tbl", "key"], "left").select(
             F.col("tbl").alias("target_tbl"), F.col("key").alias("ref_key"), "refs", F.col("at").alias("target_at"),
             F.when(F.col("exist") <= 0, "missing").when((F.col("gone") > 0) | F.col("by_note").isNotNull(), "deleted").alias("state"),
         ),
@@ -108,6 +124,17 @@ def orphans(notes: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFr
     return met.withColumn("kind", kind).where("kind IS NOT NULL").select("tbl", "field", "record_id", F.col("ref_key").alias("ref_id"), "kind", F.date_format("seen", "yyyy-MM").alias("period"))
 
 
+def orphans(notes: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(tbl, field, record_id, ref_id, kind, period)``: references to missing, deleted or later records.
+
+    Null and blank references and null ids do not count; a reference repeated in a list, and repeated rows of a record,
+    count once; the record's and the target's arrival are those of their earliest rows.  Empty tables give no references
+    (all references to an empty table are missing).  Only the named columns are read.  ``period`` is null where no row of
+    the record has an arrival.
+    """
+    return orphans_of(added_up(record_deltas(notes, chunks, nodes)), added_up(reference_deltas(chunks, nodes, edges)))
+
+
 def orphan_report(found: DataFrame) -> DataFrame:
     """``(tbl, field, period, kind, n_refs, n_keys)``: broken references per table and month."""
     return found.groupBy("tbl", "field", "period", "kind").agg(F.count("*").alias("n_refs"), F.countDistinct("ref_id").alias("n_keys"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgraph.operators import references
+from quillgraph.session import cut
 from quillgraph.sources.tables import table
 
 
@@ -18,6 +20,24 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(p3_found(spark, d))
 
 
+def p3_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Every broken reference, kept up by changes: a state of the rows that landed in the first half of the time, then the
+    deltas of what came later and of the notes that were removed later (their former rows go, their removed rows come)."""
+    notes, chunks, nodes, edges = (table(spark, d, t) for t in ("notes", "chunks", "nodes", "edges"))
+    ends = notes.agg(F.min("ingested_at"), F.max("ingested_at")).first()
+    half = F.lit(None if ends[0] is None else ends[0] + (ends[1] - ends[0]) / 2).cast("timestamp_ntz")
+    then = lambda df: df.where(F.coalesce(F.col("ingested_at") <= half, F.lit(False)))
+    later = lambda df: df.where(~F.coalesce(F.col("ingested_at") <= half, F.lit(False)))
+    removed = then(notes).where(F.col("deleted_at") > half)
+    former = removed.withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
+    before = then(notes).where(F.col("deleted_at").isNull() | (F.col("deleted_at") <= half)).unionByName(former)
+    records = cut(references.added_up(references.record_deltas(before, then(chunks), then(nodes))), "p3-stored")
+    refs = cut(references.added_up(references.reference_deltas(then(chunks), then(nodes), then(edges))), "p3-stored")
+    none = chunks.limit(0), nodes.limit(0)
+    change = references.record_deltas(later(notes).unionByName(removed), later(chunks), later(nodes)).unionByName(references.record_deltas(former, *none, sign=-1))
+    return references.orphans_of(references.changed(records, change), references.changed(refs, references.reference_deltas(later(chunks), later(nodes), later(edges))))
+
+
 _FOUND = r"""
 WITH note AS (SELECT lower(trim(id)) AS k, min(ingested_at) AS at, bool_or(deleted_at IS NOT NULL) AS gone FROM notes GROUP BY 1),
 chunk AS (SELECT lower(trim(c.id)) AS k, min(c.ingested_at) AS at, bool_or(coalesce(n.gone, false)) AS gone FROM chunks c LEFT JOIN note n ON lower(trim(c.note_id)) = n.k GROUP BY 1),
@@ -39,8 +59,9 @@ found AS (
   WHERE r.ref_id <> '')
 """
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report}
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_incremental": p3_incremental}
 ORACLE = {
     "p3_found": _FOUND + "SELECT * FROM found WHERE kind IS NOT NULL",
+    "p3_incremental": _FOUND + "SELECT * FROM found WHERE kind IS NOT NULL",
     "p3_report": _FOUND + "SELECT tbl, field, period, kind, count(*) AS n_refs, count(DISTINCT ref_id) AS n_keys FROM found WHERE kind IS NOT NULL GROUP BY ALL",
 }

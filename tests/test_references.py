@@ -44,9 +44,28 @@ def test_all_missing_when_target_is_empty(tables, spark):
     assert {r.kind for r in got} == {"missing"} and len(got) == 5
 
 
-def test_states_add_up(tables):
+def test_changes_equal_a_full_run(tables, spark):
+    """Rows that come, go, are retracted or move to another key: the state after the deltas is that of the end tables."""
     notes, chunks, nodes, edges = tables
-    refs = references.references(chunks, nodes, edges)
-    whole = references.key_states(references.deltas(notes, chunks, nodes, refs))
-    parts = references.merge_states(references.key_states(references.deltas(notes, chunks.limit(0), nodes.limit(0), refs.limit(0))), references.key_states(references.deltas(notes.limit(0), chunks, nodes, refs)))
-    assert whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
+    old = (
+        notes.where("id <> 'b' OR id IS NULL").unionByName(spark.createDataFrame([("b", None, J, "x", "y"), ("gone", None, J, None, None)], NOTE)),
+        chunks.where("id <> 'c1' OR id IS NULL").unionByName(spark.createDataFrame([("c1", "gone", J, 1, "t"), ("c9", "a", F, 1, "t")], CHUNK)),
+        nodes.where("id <> 'n1'").unionByName(spark.createDataFrame([("n1", "[c1]", F, "x"), ("n9", None, J, "x")], NODE)),
+        edges.where("id <> 'E1'").unionByName(spark.createDataFrame([("E1", "n1", "n5", J, "x"), ("E1", "n7", "n5", J, "x")], EDGE)),
+    )
+    went = [o.exceptAll(n) for o, n in zip(old, tables)]
+    came = [n.exceptAll(o) for o, n in zip(old, tables)]
+    records = references.added_up(references.record_deltas(*old[:3]))
+    refs = references.added_up(references.reference_deltas(*old[1:]))
+    records = references.changed(records, references.record_deltas(*went[:3], sign=-1).unionByName(references.record_deltas(*came[:3])))
+    refs = references.changed(refs, references.reference_deltas(*went[1:], sign=-1).unionByName(references.reference_deltas(*came[1:])))
+    want = references.added_up(references.record_deltas(*tables[:3]))
+    assert want.exceptAll(records).count() == 0 and records.exceptAll(want).count() == 0
+    got, full = references.orphans_of(records, refs), references.orphans(*tables)
+    assert got.exceptAll(full).count() == 0 and full.exceptAll(got).count() == 0
+    assert references.orphans(*old).exceptAll(full).count() > 0
+
+
+def test_all_goes(tables):
+    records = references.record_deltas(*tables[:3]).unionByName(references.record_deltas(*tables[:3], sign=-1))
+    assert references.added_up(records).count() == 0
