@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators.components import connected_components
+from quillgraph.operators.pairs import pairs_within
 from quillgraph.session import cut
 
 #: Bands, components of a band, and bands that a candidate pair has in common.  A pair at a similarity of 0.6 is missed
@@ -170,8 +171,9 @@ def class_links(signed: DataFrame, texts: DataFrame, threshold: float = THRESHOL
     by = Window.partitionBy("tbl", "band")
     shared = keyed.withColumn("lo", F.min("fp").over(by)).withColumn("hi", F.max("fp").over(by)).where("lo <> hi").select("tbl", "band", "fp").dropDuplicates(["tbl", "band", "fp"])
     shared = cut(shared, "p4-bands")
-    left, right = shared.withColumnRenamed("fp", "fp_a"), shared.withColumnRenamed("fp", "fp_b")
-    pairs = cut(left.join(right, ["tbl", "band"]).where("fp_a < fp_b").groupBy("tbl", "fp_a", "fp_b").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON_BANDS).drop("c"), "p4-pairs")
+    # hot bands (a text in very many edits) are joined in blocks
+    met = pairs_within(shared, ["tbl", "band"], "fp").select("tbl", F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    pairs = cut(met.groupBy("tbl", "fp_a", "fp_b").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON_BANDS).drop("c"), "p4-pairs")
     wanted = pairs.select("tbl", F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
     sources = cut(signed.join(wanted, ["tbl", "fp"], "left_semi").groupBy("tbl", "fp").agg(F.min("key").alias("key")), "p4-sources")
     lookup = F.broadcast(sources) if sources.count() <= BROADCAST_KEYS else sources
@@ -201,8 +203,8 @@ def near_duplicate_pairs(tables: dict[str, tuple[DataFrame, str, str]], threshol
     members = signed.where(F.col("n") >= LEAST_SHINGLES).select("tbl", "key", "fp").distinct()
     ma, mb = members.select("tbl", F.col("key").alias("a"), F.col("fp").alias("fp_a")), members.select("tbl", F.col("key").alias("b"), F.col("fp").alias("fp_b"))
     across = links.join(ma, ["tbl", "fp_a"]).join(mb, ["tbl", "fp_b"]).select("tbl", "a", "b").where("a <> b")
-    copies = members.groupBy("tbl", "fp").agg(F.count("*").alias("c")).where("c > 1")
-    same = ma.join(copies.withColumnRenamed("fp", "fp_a"), ["tbl", "fp_a"], "left_semi").join(mb.withColumnRenamed("fp_b", "fp_a"), ["tbl", "fp_a"]).select("tbl", "a", "b").where("a < b")
+    copies = members.groupBy("tbl", "fp").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    same = pairs_within(members.join(copies, ["tbl", "fp"], "left_semi"), ["tbl", "fp"], "key").select("tbl", "a", "b")
     return across.unionByName(same).select("tbl", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
 
 
