@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-from quillgraph.session import cut
+from quillgraph.session import cut, lookup
 
 # Characters that stand for a letter after a misreading, and groups of letters that scanners confuse
 # (what is read, what is printed).
@@ -35,8 +35,16 @@ CONFUSIONS = [
 ]
 _SAME_SHAPE = [("rn", "m"), ("ln", "m"), ("nn", "m"), ("rl", "n"), ("cl", "d"), ("vv", "w"), ("ll", "u"), ("c", "e"), ("f", "t")]
 HYPHENS = "-‐‑­¬⁃−"
-#: Costs of a confusion and of any other edit, and the cost below which a word is taken for a repair.
-CONFUSED, OTHER, LIMIT = 0.3, 1.0, 1.0
+#: Costs of a known confusion, of one learned from the corpus and of any other edit, and the cost below which a word is
+#: taken for a repair.
+CONFUSED, LEARNED, OTHER, LIMIT = 0.3, 0.45, 1.0, 1.0
+#: A confusion is learned if it explains so many different words of scanned pages, this share of all that one confusion
+#: explains (so at most 1 / LEARNED_SHARE are), and so many times the share that it has among the rare words of clean notes.
+LEARNED_WORDS, LEARNED_SHARE, LEARNED_RATIO = 5, 0.002, 4
+#: Letters on either side of a confusion, and words of clean notes that it is taken to explain beside those it does.
+CONFUSION_LETTERS, PRIOR_WORDS = 3, 0.5
+#: Words of fewer letters are not repaired.
+LEAST_LETTERS = 2
 #: A word that clean notes have so often is never suspected.
 KNOWN = 3
 #: A repair must be so many times as frequent as the word it replaces.
@@ -115,17 +123,17 @@ def line_kinds(raw: str) -> list[tuple[str, str]]:
                 pages[page].append(i)
     edges: dict[int, list[tuple[int, int]]] = {}
     for p, at in pages.items():
-        edges[p] = [(i, min(k, len(at) - 1 - k)) for k, i in enumerate(at) if k < 3 or k >= len(at) - 3]
+        edges[p] = [(i, min(k, len(at) - 1 - k)) for k, i in enumerate(at)]
     for p, at in edges.items():
         for i, depth in at:
             line = lines[i].strip()
-            if len(line) <= 24 and _PAGENO.match(line) and (_HAS_DIGIT.search(line) or _ROMAN.match(line)) and depth <= 1:
+            if _PAGENO.match(line) and (_HAS_DIGIT.search(line) or _ROMAN.match(line)) and depth <= 1:
                 kinds[i] = "pageno"
     found: list[tuple[str, np.ndarray, set[int], list[int]]] = []
     for p, at in edges.items():
         for i, depth in at:
             line = lines[i].strip()
-            if kinds[i] != "text" or depth > 1 or len(line) > 80:
+            if kinds[i] != "text" or depth > 1:
                 continue
             key = _header_key(line)
             if len(key) < 3:
@@ -193,6 +201,8 @@ def laid_out(raw: str) -> list[dict]:
     return rows
 
 
+#: Marks the text of a chunk that is repaired by itself.
+_ALONE = "\x00chunk "
 LINE = "note_id string, line_no bigint, kind string, start bigint, text string, opens boolean, tokens array<struct<idx:int,raw:string,word:string,head:string,tail:string,line2:bigint>>"
 
 
@@ -203,7 +213,11 @@ def is_scanned(column: str = "raw_content") -> Column:
 
 def scanned_lines(notes: DataFrame) -> DataFrame:
     """The lines of all scanned notes (the earliest row of each id), as :data:`LINE`."""
-    one = notes.where(F.col("id").isNotNull() & is_scanned()).groupBy("id").agg(F.min_by("raw_content", F.struct("ingested_at", "raw_content")).alias("raw_content"))
+    rows = notes.where("id IS NOT NULL").select("id", "raw_content", "ingested_at")
+    # only the texts of ids that occur more than once are aggregated and shuffled
+    several = lookup(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), label="p1-several")
+    repeated = rows.join(several, "id", "left_semi").where(is_scanned()).groupBy("id").agg(F.min_by("raw_content", F.struct("ingested_at", "raw_content")).alias("raw_content"))
+    one = rows.join(several, "id", "left_anti").where(is_scanned()).select("id", "raw_content").unionByName(repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _line_schema()
@@ -256,12 +270,37 @@ def deletes(word: str) -> list[str]:
     return sorted(out)
 
 
-_PAIRS: dict[str, list[tuple[str, str]]] = defaultdict(list)
-for _wrong, _right in [*CONFUSIONS, *LOOKALIKES.items()]:
-    _PAIRS[_wrong[-1]].append((_wrong, _right))
+Pairs = dict[str, list[tuple[str, str, float]]]
 
 
-def weighted_distance(read: str, word: str, limit: float = LIMIT) -> float:
+def confusion_pairs(learned: list[tuple[str, str]] = ()) -> Pairs:
+    """What is read, what is printed and the cost of each confusion, by the last letter read."""
+    out: Pairs = defaultdict(list)
+    known = {*CONFUSIONS, *LOOKALIKES.items()}
+    for read, printed in known:
+        out[read[-1]].append((read, printed, CONFUSED))
+    for read, printed in learned:
+        if (read, printed) not in known:
+            out[read[-1]].append((read, printed, LEARNED))
+    return out
+
+
+_PAIRS = confusion_pairs()
+
+
+def confusion(read: str, word: str) -> str | None:
+    """The letters read and those printed in the one place in which two words differ, as ``read>printed``."""
+    at = 0
+    while at < min(len(read), len(word)) and read[at] == word[at]:
+        at += 1
+    end = 0
+    while end < min(len(read), len(word)) - at and read[len(read) - 1 - end] == word[len(word) - 1 - end]:
+        end += 1
+    a, b = read[at : len(read) - end], word[at : len(word) - end]
+    return f"{a}>{b}" if 0 < len(a) <= CONFUSION_LETTERS and 0 < len(b) <= CONFUSION_LETTERS else None
+
+
+def weighted_distance(read: str, word: str, limit: float = LIMIT, confusions: Pairs = _PAIRS) -> float:
     """Edit distance from what is read to a word, confusions being cheap."""
     n, m = len(read), len(word)
     cost = [[0.0] * (m + 1) for _ in range(n + 1)]
@@ -270,14 +309,14 @@ def weighted_distance(read: str, word: str, limit: float = LIMIT) -> float:
     for i in range(1, n + 1):
         cost[i][0] = i * OTHER
         x = read[i - 1]
-        pairs = _PAIRS.get(x, ())
+        pairs = confusions.get(x, ())
         for j in range(1, m + 1):
             best = cost[i - 1][j - 1] + (0.0 if x == word[j - 1] else OTHER)
             best = min(best, cost[i - 1][j] + OTHER, cost[i][j - 1] + OTHER)
-            for wrong, right in pairs:
+            for wrong, right, price in pairs:
                 a, b = len(wrong), len(right)
                 if a <= i and b <= j and (a == 1 or read[i - a : i] == wrong) and word[j - b : j] == right:
-                    best = min(best, cost[i - a][j - b] + CONFUSED)
+                    best = min(best, cost[i - a][j - b] + price)
             cost[i][j] = best
         if min(cost[i]) > limit + CONFUSED:
             return limit + OTHER
@@ -296,10 +335,25 @@ def folded(words: pd.Series) -> pd.Series:
     return words.map(fold)
 
 
-@pandas_udf(DoubleType())
-def distance_of(read: pd.Series, word: pd.Series) -> pd.Series:
-    """See :func:`weighted_distance`."""
-    return pd.Series([weighted_distance(a, b) for a, b in zip(read, word)], dtype=float)
+@pandas_udf(StringType())
+def confusion_of(read: pd.Series, word: pd.Series) -> pd.Series:
+    """See :func:`confusion`."""
+    return pd.Series([confusion(a, b) for a, b in zip(read, word)], dtype=object)
+
+
+def learned_confusions(met: DataFrame) -> list[tuple[str, str]]:
+    """Confusions that the corpus shows: they turn many words that only scanned pages have into frequent ones, far more
+    often than they do with the rare words of clean notes, whose likeness to frequent words is no misreading.
+
+    ``met``: ``(word, repair, n_clean)``.  At most 1 / LEARNED_SHARE pairs.
+    """
+    seen = met.select("word", confusion_of("word", "repair").alias("c"), (F.col("n_clean") > 0).alias("clean")).where("c IS NOT NULL").distinct()
+    counts = seen.groupBy("c").agg(F.count_if(~F.col("clean")).alias("n_read"), F.count_if("clean").alias("n_clean"))
+    total = seen.agg(F.count_if(~F.col("clean")).alias("all_read"), F.count_if("clean").alias("all_clean"))
+    share = F.col("n_read") / F.col("all_read")
+    natural = (F.col("n_clean") + PRIOR_WORDS) / (F.col("all_clean") + PRIOR_WORDS / LEARNED_SHARE)
+    told = counts.crossJoin(F.broadcast(total)).where((F.col("n_read") >= LEARNED_WORDS) & (share >= LEARNED_SHARE) & (share >= LEARNED_RATIO * natural))  # one row
+    return sorted(tuple(r.c.split(">", 1)) for r in told.select("c").collect())
 
 
 def candidates(lex: DataFrame, lines: DataFrame) -> DataFrame:
@@ -307,29 +361,35 @@ def candidates(lex: DataFrame, lines: DataFrame) -> DataFrame:
 
     Both sides are put under all their delete keys, so words within two edits meet by an equality join.
     """
+    partitions = int(lex.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     broken = lines.select(F.explode("tokens").alias("t")).where("t.line2 IS NOT NULL").select(F.col("t.word").alias("word")).distinct()
-    rare = broken.join(lex, "word", "left").unionByName(lex).groupBy("word").agg(F.max("n_clean").alias("n_clean"), F.max("n_all").alias("n_all")).where(f"coalesce(n_clean, 0) < {KNOWN} AND length(word) >= 3")
+    rare = broken.join(lex, "word", "left").unionByName(lex).groupBy("word").agg(F.max("n_clean").alias("n_clean"), F.max("n_all").alias("n_all")).where(f"coalesce(n_clean, 0) < {KNOWN} AND length(word) >= {LEAST_LETTERS}")
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))
-    asked = rare.where(letters * 2 >= F.length("word")).select("word", F.coalesce("n_all", F.lit(0)).alias("n_word"), folded("word").alias("q"))
-    known = lex.where(f"(n_clean >= {KNOWN} OR n_all >= {2 * KNOWN}) AND length(word) >= 3").where(F.col("word").rlike(r"^\p{L}[\p{L}'’-]*$")).select(F.col("word").alias("repair"), "n_all")
+    asked = rare.where(letters * 2 >= F.length("word")).select("word", F.coalesce("n_all", F.lit(0)).alias("n_word"), F.coalesce("n_clean", F.lit(0)).alias("n_clean"), folded("word").alias("q"))
+    known = lex.where(f"(n_clean >= {KNOWN} OR n_all >= {2 * KNOWN}) AND length(word) >= {LEAST_LETTERS}").where(F.col("word").rlike(r"^\p{L}[\p{L}'’-]*$")).select(F.col("word").alias("repair"), "n_all")
     left = asked.select("*", F.explode(deletes_of("q")).alias("k"))
     right = known.select("*", F.explode(deletes_of("repair")).alias("k"))
-    met = left.join(right, "k").where("word <> repair AND n_all >= %d * n_word" % RATIO).where(F.expr("levenshtein(q, repair, 2) >= 0")).select("word", "repair", "n_all").distinct()
-    return met.withColumn("cost", distance_of("word", "repair")).where(F.col("cost") < LIMIT)
+    met = left.join(right, "k").where("word <> repair AND n_all >= %d * n_word" % RATIO).where(F.expr("levenshtein(q, repair, 2) >= 0")).select("word", "repair", "n_all", "n_clean").distinct()
+    met = cut(met.repartition(partitions, "word"), "p1-met")
+    confusions = confusion_pairs(learned_confusions(met))
+
+    @pandas_udf(DoubleType())
+    def distance_of(read: pd.Series, word: pd.Series) -> pd.Series:
+        return pd.Series([weighted_distance(a, b, LIMIT, confusions) for a, b in zip(read, word)], dtype=float)
+
+    # a number of partitions that is not coalesced: the distances are few rows, but much work
+    return met.repartition(partitions).select("word", "repair", distance_of("word", "repair").alias("cost"), "n_all").where(F.col("cost") < LIMIT)
 
 
 def neighbour_counts(notes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(a, b, n)``: how often word b follows word a in all notes, where one of them is wanted (column ``w``).
 
-    The wanted words are sent to the tasks if they are few; more are met by joins.
+    The same words are counted in the same way however many are wanted: up to MOST_WANTED of them are sent to the tasks,
+    so that other pairs need not leave them; more are met by joins.
     """
     texts = notes.where("raw_content IS NOT NULL").select("raw_content")
-    if wanted.count() > MOST_WANTED:
-        toks = F.filter(F.split(F.lower("raw_content"), r"[^\p{L}\p{N}'’-]+"), lambda x: x != "")
-        runs = texts.select(toks.alias("t")).where("size(t) > 1").select(F.explode(F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - 1).alias("a"), F.slice("t", F.lit(2), F.size("t") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
-        marked = runs.join(wanted.select(F.col("w").alias("a"), F.lit(1).alias("wa")), "a", "left").join(wanted.select(F.col("w").alias("b"), F.lit(1).alias("wb")), "b", "left")
-        return marked.where("wa = 1 OR wb = 1").groupBy("a", "b").agg(F.count("*").alias("n"))
-    words = notes.sparkSession.sparkContext.broadcast({r.w for r in wanted.collect()})
+    few = wanted.count() <= MOST_WANTED
+    words = notes.sparkSession.sparkContext.broadcast({r.w for r in wanted.collect()} if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
@@ -341,12 +401,16 @@ def neighbour_counts(notes: DataFrame, wanted: DataFrame) -> DataFrame:
                     if t not in known:
                         known[t] = core(t)
                 plain = [known[t] for t in tokens]
-                tally.update(p for p in zip(plain, plain[1:]) if p[0] in words.value or p[1] in words.value)
+                runs = zip(plain, plain[1:])
+                tally.update(runs if words.value is None else (p for p in runs if p[0] in words.value or p[1] in words.value))
             if len(known) > 1_000_000:
                 known.clear()
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in tally], pa.string()), pa.array([b for _, b in tally], pa.string()), pa.array(list(tally.values()), pa.int64())], names=["a", "b", "n"])
 
-    return texts.mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(run, "a string, b string, n bigint")
+    if not few:
+        counts = counts.join(wanted.select(F.col("w").alias("a"), F.lit(1).alias("wa")), "a", "left").join(wanted.select(F.col("w").alias("b"), F.lit(1).alias("wb")), "b", "left").where("wa = 1 OR wb = 1")
+    return counts.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def repairs(notes: DataFrame, lines: DataFrame, lex: DataFrame) -> DataFrame:
@@ -413,9 +477,16 @@ def noisy_lines(notes: DataFrame) -> DataFrame:
 def repaired(notes: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(tbl, id, text)``: scanned notes, and the chunks cut from them, as continuous paragraphs divided by blank lines.
 
-    A chunk is made of the lines that begin within its slice of the note.
+    A chunk is made of the lines that begin within its slice of the note.  Its note is the one of its note_id, or where
+    that is no scanned note the one that its own id names.  A chunk without such a note, or without a slice, is repaired
+    by itself if its text has page headings, and has no row else.
     """
-    lines, fixes, broken = scan_noise(notes)
+    held = chunks.where("id IS NOT NULL").select("id", "text", "ingested_at" if "ingested_at" in chunks.columns else F.lit(None).cast("timestamp_ntz").alias("ingested_at"), F.lower(F.trim("note_id")).alias("n1"), F.regexp_extract("id", r"^(.*)_chunk_[0-9]+$", 1).alias("n2"), "start_char", "end_char")
+    known = notes.where(F.col("id").isNotNull() & is_scanned()).select("id").distinct()
+    held = held.join(known.select(F.col("id").alias("n1"), F.lit(1).alias("k1")), "n1", "left").join(known.select(F.col("id").alias("n2"), F.lit(1).alias("k2")), "n2", "left")
+    held = held.withColumn("note", F.when((F.col("start_char") >= 0) & (F.col("end_char") >= 0), F.when(F.col("k1") == 1, F.col("n1")).when(F.col("k2") == 1, F.col("n2"))))
+    alone = held.where("note IS NULL").where(is_scanned("text")).select(F.concat(F.lit(_ALONE), "id").alias("id"), F.col("text").alias("raw_content"), "ingested_at")
+    lines, fixes, broken = scan_noise(notes.select("id", "raw_content", "ingested_at").unionByName(alone))
     words = lines.where("kind = 'text'").select("note_id", "line_no", "start", "opens", F.posexplode("tokens").alias("k", "t")).select("note_id", "line_no", "start", "k", (F.col("opens") & (F.col("k") == 0)).alias("opens"), "t.idx", "t.raw", "t.word")
     words = words.join(fixes.select("note_id", "line_no", "idx", "repair"), ["note_id", "line_no", "idx"], "left").join(broken.select("note_id", "line_no", "idx", "head", "tail", "joined"), ["note_id", "line_no", "idx"], "left")
     capital = F.expr("CASE WHEN raw RLIKE '^[^\\\\p{L}]*\\\\p{Lu}' THEN concat(upper(substr(repair, 1, 1)), substr(repair, 2)) ELSE repair END")
@@ -429,7 +500,8 @@ def repaired(notes: DataFrame, chunks: DataFrame) -> DataFrame:
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "w"))), lambda x: x["w"]), "")
         return df.groupBy(*keys).agg(F.trim(F.regexp_replace(joined, r"^\s+", "")).alias("text"))
 
-    cuts = chunks.where("id IS NOT NULL").select(F.col("id").alias("chunk_id"), F.lower(F.trim("note_id")).alias("note_id"), "start_char", "end_char").distinct()
-    own = text(by_line, "note_id").select(F.lit("notes").alias("tbl"), F.col("note_id").alias("id"), "text")
+    cuts = held.where("note IS NOT NULL").select(F.col("id").alias("chunk_id"), F.col("note").alias("note_id"), "start_char", "end_char").distinct()
+    single = F.col("note_id").startswith(_ALONE)
+    own = text(by_line, "note_id").select(F.when(single, "chunks").otherwise("notes").alias("tbl"), F.when(single, F.substr("note_id", F.lit(len(_ALONE) + 1))).otherwise(F.col("note_id")).alias("id"), "text")
     parts = text(by_line.join(cuts, "note_id").where("start >= start_char AND start < end_char"), "chunk_id").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("id"), "text")
     return own.unionByName(parts)

@@ -20,7 +20,8 @@ def data(spark):
     rows = clean + [("s1", page, None, "x", "y"), ("s1", page, None, "x", "y"), ("n1", None, None, "x", "y"), ("n2", "", None, "x", "y"), (None, page, None, "x", "y"), ("p0", "## Page 1\n", None, "x", "y"), ("big", "## Page 1\n" + "x" * 100000 + "\n# " + "y " * 50000, None, "x", "y")]
     notes = spark.createDataFrame(rows, SCHEMA)
     start = page.index("corpus")
-    chunks = spark.createDataFrame([("s1_chunk_0", " S1 ", start, len(page), "t", "x"), ("k", None, 0, 5, None, None), (None, "s1", 0, 9, "t", "x"), ("s1_chunk_1", "s1", None, None, "t", "x")], CHUNK)
+    alone = "## Page 4\npipeline retrieval impor-\nter background threshoId"
+    chunks = spark.createDataFrame([("s1_chunk_7", None, start, len(page), "t", "x"), ("lost", "nowhere", 0, 60, alone, "x"), ("s1_chunk_0", " S1 ", start, len(page), "t", "x"), ("k", None, 0, 5, None, None), (None, "s1", 0, 9, "t", "x"), ("s1_chunk_1", "s1", None, None, "t", "x")], CHUNK)
     return notes, chunks
 
 
@@ -36,6 +37,29 @@ def test_repaired(data):
     assert text.split("\n\n")[1] == "New paragraph question response."
     assert got["chunks", "s1_chunk_0"].startswith("corpus evaluated k8s interface semantic cluster")
     assert ("chunks", "s1_chunk_1") not in got
+    assert got["chunks", "s1_chunk_7"] == got["chunks", "s1_chunk_0"]
+    assert got["chunks", "lost"] == "pipeline retrieval importer background threshold"
+    assert set(got) == {("notes", "s1"), ("notes", "big"), ("chunks", "s1_chunk_0"), ("chunks", "s1_chunk_7"), ("chunks", "lost")}
+
+
+def test_neighbours_are_counted_alike_at_any_size(data, spark, monkeypatch):
+    notes = spark.createDataFrame([("a", "Modern- art, and (modern) ART. well-known cat!\nDog can't art"), ("b", None), ("c", "")], "id string, raw_content string")
+    wanted = spark.createDataFrame([("art",), ("cat",)], "w string")
+    few = {tuple(r) for r in scans.neighbour_counts(notes, wanted).collect()}
+    monkeypatch.setattr(scans, "MOST_WANTED", 1)
+    assert {tuple(r) for r in scans.neighbour_counts(notes, wanted).collect()} == few
+    assert ("modern", "art", 2) in few and ("well-known", "cat", 1) in few
+
+
+def test_confusions_are_learned(spark):
+    """A confusion that no list has: k is read for w in scanned pages; clean notes have rare words that end in s."""
+    assert scans.confusion("tliat", "that") == "li>h" and scans.confusion("modem", "modern") == "m>rn" and scans.confusion("cats", "cat") is None
+    words = ["window", "willow", "shadow", "yellow", "narrow", "wisdom", "weather", "between", "always", "network"]
+    met = [(w.replace("w", "k", 1), w, 0) for w in words] + [(w[:-1] + c, w, k) for w in words for c, k in (("q", 1), ("j", 2))]
+    got = scans.learned_confusions(spark.createDataFrame(met, "word string, repair string, n_clean bigint"))
+    assert got == [("k", "w")]
+    costs = scans.confusion_pairs(got)
+    assert scans.weighted_distance("kindow", "window", scans.LIMIT, costs) == pytest.approx(scans.LEARNED) and scans.weighted_distance("kindow", "window") >= 1
 
 
 def test_empty(spark):
