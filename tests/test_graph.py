@@ -1,3 +1,4 @@
+import heapq
 import random
 from collections import defaultdict, deque
 from datetime import datetime as dt
@@ -22,44 +23,60 @@ def nodes(spark, names):
 
 
 def test_pagerank(spark):
-    got = {r.node: r["rank"] for r in analytics.pagerank(nodes(spark, "ABCDE"), analytics.simple_digraph(view(spark, B1)), 60).collect()}
+    got = {r.node: r["rank"] for r in analytics.pagerank(nodes(spark, "ABCDE"), analytics.simple_digraph(view(spark, B1)), 1e-9).collect()}
     want = {"A": 0.124507, "B": 0.159784, "C": 0.159784, "D": 0.159784, "E": 0.396140}
     assert got == pytest.approx(want, abs=1e-5)
-    assert analytics.pagerank(nodes(spark, "").where("false"), view(spark, B1), 3).count() == 0
+    assert analytics.pagerank(nodes(spark, "").where("false"), view(spark, B1)).count() == 0
 
 
-def brandes(edges, sources):
-    out, c = defaultdict(set), defaultdict(float)
-    for a, b in edges:
+def brandes(edges, sources, n):
+    """Centrality by the ways from the sources, one after the other."""
+    out, c = defaultdict(dict), defaultdict(float)
+    for a, b, w in edges:
         if a != b:
-            out[a].add(b)
+            out[a][b] = min(w, out[a].get(b, w))
     for s in sources:
-        order, dist, sigma, preds, q = [], {s: 0}, defaultdict(float, {s: 1.0}), defaultdict(list), deque([s])
-        while q:
-            v = q.popleft()
+        dist, sigma, preds, order, heap, done = {s: 0}, defaultdict(float, {s: 1.0}), defaultdict(list), [], [(0, s)], set()
+        while heap:
+            d, v = heapq.heappop(heap)
+            if v in done:
+                continue
+            done.add(v)
             order.append(v)
-            for w in out[v]:
-                if w not in dist:
-                    dist[w] = dist[v] + 1
-                    q.append(w)
-                if dist[w] == dist[v] + 1:
-                    sigma[w] += sigma[v]
-                    preds[w].append(v)
+            for x, w in out[v].items():
+                if x not in dist or d + w < dist[x]:
+                    dist[x], sigma[x], preds[x] = d + w, sigma[v], [v]
+                    heapq.heappush(heap, (d + w, x))
+                elif d + w == dist[x]:
+                    sigma[x] += sigma[v]
+                    preds[x].append(v)
         delta = defaultdict(float)
-        for w in reversed(order):
-            for v in preds[w]:
-                delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-            if w != s:
-                c[w] += delta[w]
-    return {k: v for k, v in c.items() if v}
+        for x in reversed(order):
+            for v in preds[x]:
+                delta[v] += sigma[v] / sigma[x] * (1 + delta[x])
+            if x != s:
+                c[x] += delta[x]
+    return {k: v * n / len(sources) / ((n - 1) * (n - 2)) for k, v in c.items() if v}
 
 
-def test_betweenness_and_distances(spark):
+def test_betweenness_of_all_and_of_a_sample(spark):
+    rng = random.Random(1)
+    edges = [(f"n{rng.randrange(25):02}", f"n{rng.randrange(25):02}", rng.choice([1, 2, 3])) for _ in range(70)]
+    names = sorted({x for e in edges for x in e[:2]})
+    table = spark.createDataFrame([(a, b, float(w)) for a, b, w in edges], "source string, target string, weight double")
+    every = nodes(spark, names)
+    for sources in (every, analytics.pivots(every, 7)):
+        own = [r.node for r in sources.collect()]
+        got = {r.node: r.centrality for r in analytics.betweenness(table, sources, len(names)).collect()}
+        assert got == pytest.approx(brandes(edges, own, len(names)))
+    b1 = {r.node: round(r.centrality, 6) for r in analytics.betweenness(analytics.simple_digraph(view(spark, B1)), nodes(spark, "ABCDE"), 5).collect()}
+    assert b1 == {"B": 0.041667, "D": 0.041667}
+
+
+def test_distances(spark):
     rng = random.Random(1)
     edges = [(f"n{rng.randrange(25):02}", f"n{rng.randrange(25):02}") for _ in range(60)]
     names = sorted({x for e in edges for x in e})
-    got = {r.node: r.centrality for r in analytics.betweenness(view(spark, edges), nodes(spark, names)).where("centrality > 0").collect()}
-    assert got == pytest.approx(brandes(edges, names))
     near = defaultdict(set)
     for a, b in edges:
         near[a].add(b)
@@ -71,7 +88,7 @@ def test_betweenness_and_distances(spark):
             if w not in dist:
                 dist[w] = dist[v] + 1
                 q.append(w)
-    got = {r.node: r.hops for r in analytics.distances(view(spark, edges), nodes(spark, names[:1]), 25).collect()}
+    got = {r.node: r.hops for r in analytics.distances(view(spark, edges), nodes(spark, names[:1])).collect()}
     assert got == dist
 
 
@@ -79,12 +96,17 @@ def test_path_ego_hubs(spark):
     v = view(spark, B1)
     assert analytics.shortest_path(v, "B", "C") == ["B", "A", "C"]
     assert analytics.shortest_path(v, "B", "nowhere") == []
+    called = spark.createDataFrame([(n, f"Node {n}") for n in "ABCDE"], "node string, name string")
+    assert analytics.resolve_node(called, " node b ") == "B" and analytics.resolve_node(called, "d") == "A" and analytics.resolve_node(called, "xyz") is None
+    told = analytics.path_narrative(v, called, "Node B", "Node C").first()
+    assert (told.found, told.hops, told.narrative) == (True, 2, "Node B --[R]--> Node A --[R]--> Node C")
+    assert not analytics.path_narrative(v, called, "xyz", "Node C").first().found
     inside, among = analytics.ego_graph(v, nodes(spark, "A"), 1)
     assert {r.node for r in inside.collect()} == set("ABCD") and among.count() == 3
     assert analytics.density(nodes(spark, "ABCDE"), v).first().density == 0.25
     degree = spark.createDataFrame([("A", 3), ("B", 2), ("C", 1), ("D", 2), ("E", 2)], "node string, degree int")
     central = spark.createDataFrame([("B", 0.5), ("D", 0.5)], "node string, centrality double")
-    ranked = analytics.hub_scores(analytics.pagerank(nodes(spark, "ABCDE"), v, 60), degree, central).collect()
+    ranked = analytics.hub_scores(analytics.pagerank(nodes(spark, "ABCDE"), v, 1e-9), degree, central).collect()
     assert [(r.node, r.score) for r in ranked] == [("B", 0.645), ("D", 0.645), ("E", 0.633), ("A", 0.476), ("C", 0.278)]
 
 
