@@ -45,6 +45,28 @@ def merged_entities(entities: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min_by("name", F.struct("chunk_id", "ord")).alias("name"), F.min_by("type", F.struct("chunk_id", "ord")).alias("type"), F.countDistinct("chunk_id").alias("n_chunks"), F.count("*").alias("n_mentions"), F.max("confidence").alias("confidence"))
 
 
+def merged_nodes(nodes: DataFrame) -> DataFrame:
+    """``(key, name, type, description, degree, n)`` per normalised name: name and type are those of the first id, the
+    description is the longest (of equally long ones that of the first id), the degree the highest."""
+    keyed = nodes.withColumn("key", normal_name("name")).where("key <> ''")
+    size = F.when(F.col("description").isNotNull(), F.length("description"))
+    longest = F.min_by("description", F.when(size.isNotNull(), F.struct((-size).alias("size"), "id")))
+    return keyed.groupBy("key").agg(F.min_by("name", "id").alias("name"), F.min_by("type", "id").alias("type"), longest.alias("description"), F.coalesce(F.max("degree"), F.lit(0)).cast("bigint").alias("degree"), F.count("*").alias("n"))
+
+
+def canonical_relations(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """``(subject, predicate, object, n)``: relations with their ends' names rewritten to those of the merged entities,
+    without loops, equal ones once (the first by chunk and place).
+
+    An end that no entity has keeps its own spelling, trimmed.  Relations: ``(chunk_id, ord, subject, predicate, object)``.
+    """
+    names = merged_entities(entities).select("key", "name")
+    ends = relations.withColumns({"ks": normal_name("subject"), "ko": normal_name("object")})
+    ends = ends.join(names.select(F.col("key").alias("ks"), F.col("name").alias("s")), "ks", "left").join(names.select(F.col("key").alias("ko"), F.col("name").alias("o")), "ko", "left")
+    rewritten = ends.select("chunk_id", "ord", F.coalesce("s", stripped("subject")).alias("subject"), F.upper("predicate").alias("predicate"), F.coalesce("o", stripped("object")).alias("object"))
+    return distinct_relations(rewritten, "subject", "predicate", "object", ["chunk_id", "ord"])
+
+
 def distinct_relations(relations: DataFrame, subject: str, predicate: str, obj: str, order: list[str]) -> DataFrame:
     """The first of all relations that are equal in any case, without loops."""
     keyed = relations.where(F.lower(subject) != F.lower(obj)).withColumns({"_s": F.lower(subject), "_p": F.upper(predicate), "_o": F.lower(obj)})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,31 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(value <= 0, 1e-6).otherwise(value)
 
 
+def length_of_counts(tokens: str | Column) -> Column:
+    """The Euclidean length of a text's vector of term counts, from its list of tokens."""
+    start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    step = lambda s, x: F.struct(x.alias("term"), F.when(s["term"] == x, s["run"] + 1).otherwise(1.0).alias("run"), F.when(s["term"] == x, s["sum"]).otherwise(s["sum"] + s["run"] * s["run"]).alias("sum"))
+    return F.aggregate(F.array_sort(tokens), start, step, lambda s: F.sqrt(s["sum"] + s["run"] * s["run"]))
+
+
+def question_counts(question: str) -> dict[str, int]:
+    """The terms of a question and how often it has each."""
+    return dict(Counter(re.findall(r"[^\W_]+", question.lower())))
+
+
+def cosine(question: str, text: str | Column) -> Column:
+    """The cosine of the vectors of term counts of a question and of a text; 0 where either has no terms.
+
+    Computed within the row: only the question's terms are counted, nothing is shuffled.
+    """
+    asked = question_counts(question)
+    tokens = lexical_tokens(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    times = lambda term: F.size(F.filter(tokens, lambda x: x == term))
+    dot = sum((times(t) * F.lit(float(n)) for t, n in asked.items()), F.lit(0.0))
+    length = length_of_counts(tokens) * (sum(n * n for n in asked.values()) ** 0.5)
+    return F.when(length > 0, dot / length).otherwise(0.0)
+
+
 def _occurrences(term: str) -> Column:
     return F.size(F.filter("toks", lambda x: x == term))
 

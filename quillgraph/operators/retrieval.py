@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import ascii_words
+from quillgraph.operators.lexical import cosine
 from quillgraph.operators.references import key, listed_keys
 from quillgraph.operators.vault import community_members, provenance
 
@@ -73,12 +74,39 @@ def chunk_scores(matched: DataFrame, near: DataFrame, top: DataFrame, bridges: D
     return reduce(DataFrame.unionByName, parts).groupBy("chunk").agg(F.sum("s").alias("score"))
 
 
-def community_scores(communities: DataFrame, high: list[str], low: list[str]) -> DataFrame:
-    """``(id, score)``: 2 for every high-level and 0.5 for every low-level keyword in name, summary and themes."""
+def named_nodes(nodes_latest: DataFrame, keywords: list[str], question: str, k: int) -> DataFrame:
+    """``(id, name, type, description, degree, place)`` of at most ``k`` nodes that a question means.
+
+    First, for each keyword in turn, the ``k`` nodes of highest degree whose name or description holds it; then nodes by id
+    whose name stands in the question, or whose name holds a keyword.
+    """
+    rows = nodes_latest.select("id", "name", "type", "description", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
+    name = F.lower("name")
+    both = F.lower(F.concat_ws("\n", "name", "description"))
+    hits = F.array_compact(F.array(*[F.when(both.contains(w.lower()), i) for i, w in enumerate(keywords)])) if keywords else F.array().cast("array<int>")
+    found = rows.select("*", F.explode(hits).alias("turn"))
+    first = found.withColumn("r", F.row_number().over(Window.partitionBy("turn").orderBy(F.desc("degree"), "id"))).where(F.col("r") <= k).drop("r")
+    holds = reduce(lambda a, b: a | b, [name.contains(w.lower()) for w in keywords], F.lit(False))
+    later = rows.where(((name != "") & F.lit(question.lower()).contains(name)) | holds).orderBy("id").limit(2 * k).withColumn("turn", F.lit(len(keywords)))
+    order = F.struct("turn", F.when(F.col("turn") < len(keywords), -F.col("degree")).otherwise(0).alias("d"), "id")
+    once = first.unionByName(later).groupBy("id").agg(F.min(F.struct(order.alias("o"), "name", "type", "description", "degree")).alias("x"))
+    top = once.select("id", "x.*").orderBy("o").limit(k)
+    return top.select("id", "name", "type", "description", "degree", F.row_number().over(Window.orderBy("o")).cast("bigint").alias("place"))  # k rows
+
+
+def dense_list(chunks: DataFrame, question: str, k: int) -> DataFrame:
+    """``(chunk, score)`` of the ``k`` chunks whose vectors of term counts are nearest to the question's."""
+    rows = chunks.select(key("id").alias("chunk"), F.round(cosine(question, "text"), 9).alias("score"))
+    return rows.where("score > 0").orderBy(F.desc("score"), "chunk").limit(k)
+
+
+def community_scores(communities: DataFrame, high: list[str], low: list[str], question: str = "") -> DataFrame:
+    """``(id, score)``: 2 for every high-level and 0.5 for every low-level keyword in name, summary and themes, and 3 times
+    the cosine of question and summary."""
     themes = F.array_join(F.coalesce(F.from_json("themes", "array<string>"), F.array().cast("array<string>")), " ")
     text = F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("summary", F.lit("")), themes))
     score = reduce(lambda a, b: a + b, [F.when(text.contains(k.lower()), w).otherwise(0.0) for w, ks in ((2.0, high), (0.5, low)) for k in ks], F.lit(0.0))
-    return communities.select("id", score.alias("score"))
+    return communities.select("id", (score + 3 * cosine(question, "summary")).alias("score") if question else score.alias("score"))
 
 
 def best_communities(scored: DataFrame, k: int = 3) -> DataFrame:
@@ -110,6 +138,39 @@ def citations(ranked: DataFrame, chunks: DataFrame, notes: DataFrame, snippet: i
     return F.broadcast(ranked).join(c, "chunk").join(n, "note", "left").select("chunk", F.coalesce("title", "chunk").alias("title"), "snippet", "score")
 
 
+def entity_citations(matched: DataFrame, k: int = 3) -> DataFrame:
+    """``(id, title, snippet, score)`` of the first ``k`` nodes that a question means."""
+    said = F.coalesce("description", F.format_string("Entity: %s (%s)", "name", "type"))
+    return matched.where(F.col("place") <= k).select("id", F.col("name").alias("title"), said.alias("snippet"), F.lit(1.0).alias("score"))
+
+
+def context_block(matched: DataFrame, relations: DataFrame, communities: DataFrame, cited: DataFrame) -> DataFrame:
+    """``(context)``: one text of what an answer may build on: 6 entities, 6 relations, 3 communities, all excerpts.
+
+    ``matched`` as of :func:`named_nodes`, ``relations``: ``(id, source, predicate, target)``, ``communities``: ``(rank, name,
+    summary)``, ``cited``: ``(chunk, title, snippet, score)``; each has a few rows only.
+    """
+    def line(df: DataFrame, head: str, order: Column, text: Column, divider: str) -> DataFrame:
+        rows = df.agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))).alias("rows"))
+        return rows.select(F.when(F.size("rows") > 0, F.concat(F.lit(head), F.array_join(F.transform("rows", lambda x: x["t"]), divider))).alias("t"))
+
+    parts = [
+        line(matched.where("place <= 6"), "Entities: ", F.col("place"), F.format_string("%s (%s)", "name", "type"), ", "),
+        line(relations.orderBy("id").limit(6), "Relations: ", F.col("id"), F.format_string("%s %s %s", "source", "predicate", "target"), "; "),
+        line(communities.where("rank <= 3"), "Communities: ", F.col("rank"), F.format_string("%s: %s", "name", F.coalesce("summary", F.lit(""))), "\n"),
+        line(cited, "Excerpts:\n", F.struct(-F.col("score"), F.col("chunk")), F.format_string("[%s]: %s", "title", "snippet"), "\n"),
+    ]
+    every = reduce(DataFrame.unionByName, [p.withColumn("i", F.lit(i)) for i, p in enumerate(parts)])
+    return every.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), "\n").alias("context"))
+
+
+def agreement(one: DataFrame, two: DataFrame) -> DataFrame:
+    """``(n_one, n_two, overlap, jaccard)`` of two result lists ``(chunk)``, as for a search with a part left out."""
+    a, b = one.select("chunk", F.lit(1).alias("a")).distinct(), two.select("chunk", F.lit(1).alias("b")).distinct()
+    sums = a.join(b, "chunk", "full").agg(F.count("a").alias("n_one"), F.count("b").alias("n_two"), F.count(F.col("a") + F.col("b")).alias("overlap"), F.count("*").alias("n"))
+    return sums.select("n_one", "n_two", "overlap", F.round(F.when(F.col("n") > 0, F.col("overlap") / F.col("n")).otherwise(0.0), 3).alias("jaccard"))
+
+
 def internal_edges(view: DataFrame, communities: DataFrame) -> DataFrame:
     """``(community, id, source, predicate, target)``: edges with both ends in a community."""
     m = community_members(communities).select(F.col("id").alias("community"), "node").distinct()
@@ -120,10 +181,18 @@ def internal_edges(view: DataFrame, communities: DataFrame) -> DataFrame:
 def community_summaries(communities: DataFrame, nodes_latest: DataFrame, inside: DataFrame) -> DataFrame:
     """``(community, n_members, n_edges, themes, summary)``: the names of the first members and the first edges in words."""
     names = nodes_latest.select(key("id").alias("node"), "name")
-    members = community_members(communities).join(names, "node").groupBy(F.col("id").alias("community")).agg(F.count("*").alias("n_members"), F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("m"))
-    edges = inside.groupBy("community").agg(F.count("*").alias("n_edges"), F.slice(F.array_sort(F.collect_list(F.struct("id", F.concat_ws(" ", "source", F.lower("predicate"), "target").alias("t")))), 1, 5).alias("e"))
+
+    def firsts(df: DataFrame, order: str, text: Column, n: str, out: str) -> DataFrame:
+        """The number of rows of each community and its first five; no community's rows are gathered."""
+        rows = df.select("community", order, text.alias("t"))
+        place = F.row_number().over(Window.partitionBy("community").orderBy(order, "t"))
+        five = rows.withColumn("place", place).where("place <= 5").groupBy("community").agg(F.array_sort(F.collect_list(F.struct("place", "t"))).alias(out))
+        return rows.groupBy("community").agg(F.count("*").alias(n)).join(five, "community")
+
+    members = firsts(community_members(communities).join(names, "node").withColumnRenamed("id", "community"), "pos", F.col("name"), "n_members", "m")
+    edges = firsts(inside, "id", F.concat_ws(" ", "source", F.lower("predicate"), "target"), "n_edges", "e")
     rows = members.join(edges, "community", "left")
-    themes = F.array_join(F.transform(F.slice("m", 1, 5), lambda x: x["name"]), ", ")
+    themes = F.array_join(F.transform("m", lambda x: x["t"]), ", ")
     said = F.coalesce(F.array_join(F.transform("e", lambda x: x["t"]), "; "), F.lit("interconnected conceptual relationships"))
     return rows.select("community", "n_members", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), themes.alias("themes"), F.concat(F.lit("Thematic cluster focusing on "), themes, F.lit(". Key relationships include: "), said, F.lit(".")).alias("summary"))
 

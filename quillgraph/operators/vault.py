@@ -34,6 +34,31 @@ def upsert(old: DataFrame, new: DataFrame, by: str = "id") -> DataFrame:
     return old.join(new.select(by), by, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def rows_of(df: DataFrame, ids: DataFrame, by: str = "id") -> DataFrame:
+    """The rows of a list of ids, in any case and padding (a lookup of one is a list of one)."""
+    return df.join(ids.select(key(by).alias("_k")).distinct(), key(by) == F.col("_k"), "left_semi")
+
+
+def updated_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Notes with title and content of ``changes`` ``(id, title, raw_content)`` written over theirs; a null leaves the old."""
+    new = changes.select("id", F.col("title").alias("_t"), F.col("raw_content").alias("_c"))
+    return notes.join(new, "id", "left").withColumn("title", F.coalesce("_t", "title")).withColumn("raw_content", F.coalesce("_c", "raw_content")).drop("_t", "_c")
+
+
+def updated_chunks(chunks: DataFrame, changes: DataFrame) -> DataFrame:
+    """Chunks of changed notes ``(id, raw_content)``: each has the note's whole new text."""
+    new = changes.where("raw_content IS NOT NULL").select(key("id").alias("_k"), F.col("raw_content").alias("_c"))
+    return chunks.join(new, key("note_id") == F.col("_k"), "left").withColumn("text", F.coalesce("_c", "text")).drop("_k", "_c")
+
+
+def placed_nodes(nodes: DataFrame, layout: DataFrame) -> DataFrame:
+    """Nodes with the coordinates of ``layout`` ``(id, x, y)``; an id without a node becomes a node of the type NOTE."""
+    put = layout.select("id", "x", "y")
+    moved = nodes.join(put, "id", "left").withColumn("layout_x", F.coalesce("x", "layout_x")).withColumn("layout_y", F.coalesce("y", "layout_y")).drop("x", "y")
+    new = put.join(nodes.select("id"), "id", "left_anti").select("id", F.col("id").alias("name"), F.lit("NOTE").alias("type"), F.col("x").alias("layout_x"), F.col("y").alias("layout_y"))
+    return moved.unionByName(new, allowMissingColumns=True)
+
+
 def soft_delete(notes: DataFrame, ids: DataFrame, when: Column, by: str = "id") -> DataFrame:
     """Notes with ``deleted_at`` set for the given ids; an unknown id becomes a bare removed row (tombstone)."""
     gone = ids.select(F.regexp_replace(by, r"\.md$", "").alias(by)).distinct()
@@ -106,15 +131,44 @@ def active_communities(communities: DataFrame, visible: DataFrame) -> DataFrame:
     return community_members(communities).join(shown, "node", "left").groupBy("id", "level").agg(F.count("*").alias("n_members"), F.count("_on").alias("n_active")).where("n_active > 0")
 
 
+def _purged(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """``(id, provenance)``: rows that keep a chunk of their provenance, or never had one, with what is left of the list."""
+    left = provenance(df).join(gone, "chunk", "left_anti").groupBy("id").agg(F.to_json(F.array_sort(F.collect_list("chunk"))).alias("provenance"))
+    return surviving(df, gone).select("id").join(left, "id", "left").select("id", F.coalesce("provenance", F.lit("[]")).alias("provenance"))
+
+
+def purge(nodes: DataFrame, edges: DataFrame, communities: DataFrame, chunks: DataFrame, notes: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the removed notes and all that came from them alone.
+
+    ``notes`` and ``chunks``: the rows that stay; ``nodes``: ``(id, provenance, degree)``, degrees counted anew, a loop
+    once; ``edges``: ``(id, source, target, provenance)`` without those of a purged node or of purged chunks alone;
+    ``communities``: ``(id, node_ids)`` without purged nodes, emptied ones left out.  Ends and members that no row
+    describes stay.
+    """
+    gone = lookup(deleted_chunks(chunks, notes), label="gone")
+    left = _purged(nodes, gone)
+    lost = nodes.where("id IS NOT NULL").select("id").distinct().join(left.select("id"), "id", "left_anti").select(key("id").alias("node")).distinct()
+    lost = lookup(lost, label="lost")
+    at = lambda c: lost.withColumnRenamed("node", c)
+    kept = edge_view(edges).select("id", "source", "target").join(at("source"), "source", "left_anti").join(at("target"), "target", "left_anti").join(_purged(edges, gone), "id").select("id", "source", "target", "provenance")
+    counts = degrees(kept, loops_twice=False)
+    members = community_members(communities).join(lost, "node", "left_anti").groupBy("id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"])).alias("node_ids"))
+    return {
+        "notes": notes.join(deleted_notes(notes).withColumnRenamed("note", "_k"), key("id") == F.col("_k"), "left_anti"),
+        "chunks": chunks.join(gone.withColumnRenamed("chunk", "_k"), key("id") == F.col("_k"), "left_anti"),
+        "nodes": left.withColumn("node", key("id")).join(counts, "node", "left").select("id", "provenance", F.coalesce("degree", F.lit(0)).alias("degree")),
+        "edges": kept,
+        "communities": members,
+    }
+
+
 def purge_counts(nodes: DataFrame, edges: DataFrame, communities: DataFrame, chunks: DataFrame, notes: DataFrame) -> DataFrame:
     """One row of what a purge of the removed notes takes away: notes, chunks, nodes, edges and emptied communities."""
+    stays = purge(nodes, edges, communities, chunks, notes)
     gone = deleted_chunks(chunks, notes)
-    left = surviving(nodes, gone)
-    shown = active_edges(edges, nodes, chunks, notes)
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    lost_nodes = nodes.where("id IS NOT NULL").select("id").distinct().join(left.select("id"), "id", "left_anti")
-    lost_edges = edges.where("id IS NOT NULL").select("id").distinct().join(shown.select("id"), "id", "left_anti")
-    emptied = communities.select("id").distinct().join(active_communities(communities, left).select("id"), "id", "left_anti")
+    lost = lambda df, name: df.where("id IS NOT NULL").select("id").distinct().join(stays[name].select("id"), "id", "left_anti")
+    lost_nodes, lost_edges, emptied = lost(nodes, "nodes"), lost(edges, "edges"), lost(communities, "communities")
     parts = [count(deleted_notes(notes), "notes"), count(gone, "chunks"), count(lost_nodes, "nodes"), count(lost_edges, "edges"), count(emptied, "communities")]
     named = [p.select(F.lit(p.columns[0]).alias("what"), F.col(p.columns[0]).alias("n")) for p in parts]
     out = named[0]

@@ -129,8 +129,9 @@ def _topics_sql() -> str:
     for name in classify.TOPICS:
         single, phrases = classify.single_words(name), classify.phrases_of(name)
         more = f" + 2 * {_COUNT('|'.join(phrases))}" if phrases else ""
-        parts.append(f"SELECT doc_id AS id, '{name}' AS topic, ({_COUNT(classify.word_pattern(single))}{more})::DOUBLE AS score FROM src")
-    return f"src AS (SELECT doc_id, lower({_PLAIN}) AS low FROM documents WHERE text IS NOT NULL), raw AS ({' UNION ALL '.join(parts)}), tot AS (SELECT id, sum(score) AS total FROM raw GROUP BY id), tp AS (SELECT id, topic, score, round(score / total * 100, 1) AS percent FROM raw JOIN tot USING (id) WHERE score > 0 UNION ALL SELECT id, 'General', 1.0::DOUBLE, 100.0::DOUBLE FROM tot WHERE total = 0)"
+        shown = "array_to_string(list_concat([]::VARCHAR[], [" + ", ".join(f"CASE WHEN {'contains(low, ' + chr(39) + w + chr(39) + ')' if w in phrases else 'regexp_matches(low, ' + chr(39) + classify.word_pattern([w]) + chr(39) + ')'} THEN '{w}' END" for w in classify.TOPICS[name]) + "]), ', ')"
+        parts.append(f"SELECT doc_id AS id, '{name}' AS topic, ({_COUNT(classify.word_pattern(single))}{more})::DOUBLE AS score, {shown} AS matched FROM src")
+    return f"src AS (SELECT doc_id, lower({_PLAIN}) AS low FROM documents WHERE text IS NOT NULL), raw AS ({' UNION ALL '.join(parts)}), tot AS (SELECT id, sum(score) AS total FROM raw GROUP BY id), tp AS (SELECT id, topic, score, round(score / total * 100, 1) AS percent, matched FROM raw JOIN tot USING (id) WHERE score > 0 UNION ALL SELECT id, 'General', 1.0::DOUBLE, 100.0::DOUBLE, '' FROM tot WHERE total = 0)"
 
 
 _ANY = lambda ws: "(" + " OR ".join(f"contains(low, '{w}')" for w in ws) + ")"
@@ -143,7 +144,7 @@ _PREVIEW = _TRIM(r"regexp_replace(substr(coalesce(raw_content, ''), 1, 240), '[
 ORACLE = {
     "classify_topics": f"WITH {_topics_sql()} SELECT * FROM tp",
     "classify_tone": f"WITH {_TONE} SELECT * FROM tn",
-    "auto_tags": f"WITH {_topics_sql()}, {_TONE}, ch AS (SELECT id, replace(lower(topic), ' ', '_') AS tag, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS r, percent FROM tp) SELECT id, concat_ws(' ', tg, 'sentiment_' || sentiment, 'prio_' || priority) AS tags FROM (SELECT id, string_agg(tag, ' ' ORDER BY r) AS tg FROM ch WHERE r = 1 OR (r <= 3 AND percent >= 15) GROUP BY id) JOIN tn USING (id)",
+    "auto_tags": f"WITH {_topics_sql()}, {_TONE}, ch AS (SELECT id, replace(lower(topic), ' ', '_') AS tag, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS r, percent, list_slice(list_filter(string_split(matched, ', '), lambda w: w <> ''), 1, 2) AS ws FROM tp), al AS (SELECT id, r AS k, 0 AS j, tag FROM ch WHERE r = 1 OR (r <= 3 AND percent >= 15) UNION ALL SELECT id, 10, 0, 'sentiment_' || sentiment FROM tn UNION ALL SELECT id, 11, 0, 'prio_' || priority FROM tn UNION ALL SELECT id, 20 + r, unnest(range(len(ws))), replace(lower(unnest(ws)), ' ', '_') FROM ch), un AS (SELECT id, tag, min((k, j)) AS o FROM al GROUP BY id, tag) SELECT id, string_agg(tag, ' ' ORDER BY o) AS tags FROM (SELECT * FROM un QUALIFY row_number() OVER (PARTITION BY id ORDER BY o) <= 8) GROUP BY id",
     "prominent_terms": rf"WITH x AS (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM (SELECT doc_id, regexp_extract_all({_PLAIN}, '\b[A-Z][a-zA-Z0-9_-]{{2,}}\b', 0) AS l FROM documents)), c AS (SELECT doc_id, term, count(*) AS n, min(pos) AS pos FROM x GROUP BY doc_id, term), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM c) SELECT doc_id AS id, term, n, rank, term AS search_key FROM r WHERE rank <= 5 AND lower(term) NOT IN ('the', 'this', 'that', 'page', 'table')",
     "note_listing": f"{_W}, c AS (SELECT note, count(DISTINCT id) AS n_entities FROM (SELECT id, regexp_replace(chunk, '_chunk_[^_]*$', '') AS note FROM node_p) GROUP BY note) SELECT id, title, len(list_filter(string_split_regex(coalesce(raw_content, ''), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS n_words, length(coalesce(raw_content, '')) AS n_chars, {_PREVIEW} AS preview, len({_TAGS}) AS n_tags, coalesce(n_entities, 0) AS n_entities FROM note_l LEFT JOIN c ON c.note = lower(trim(note_l.id)) WHERE deleted_at IS NULL",
     "gallery_search": f"{_W} SELECT id FROM note_l WHERE deleted_at IS NULL AND (contains(lower(coalesce(title, '')), 'pipeline') OR contains(lower({_PREVIEW}), 'pipeline') OR len(list_filter({_TAGS}, lambda x: contains(lower(x), 'pipeline'))) > 0)",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import communities, lexical, links, retrieval, vault
 from quillgraph.operators.references import key
 from quillgraph.plans.text_queries import _POST
-from quillgraph.plans.vault_queries import _SEARCH, VIEWS
+from quillgraph.plans.vault_queries import VIEWS
 from quillgraph.session import cut
 from quillgraph.sources.tables import table as t
 
@@ -45,15 +45,25 @@ def bridges(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bridge_edges(_view(spark, d), _nodes(spark, d)).select("id", "c_source", "c_target")
 
 
+QUESTION, HIGH, LOW = "How does the Vector Index relate to graph query and community detection in a hybrid search?", ["vector", "graph"], ["chunking", "hybrid"]
+
+
+def question_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes that a question means."""
+    nodes = vault.latest(t(spark, d, "nodes"), "name", "type", "description", "degree", "ingested_at")
+    return retrieval.named_nodes(nodes, LOW, QUESTION, 25)
+
+
 def community_rank(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.best_communities(retrieval.community_scores(t(spark, d, "communities"), ["vector", "graph"], ["index", "query"]), 5)
+    best = retrieval.best_communities(retrieval.community_scores(t(spark, d, "communities"), HIGH, LOW, QUESTION), 5)
+    return best.select("id", F.round("score", 6).alias("score"), "rank")
 
 
 def chunk_graph_score(spark: SparkSession, d: str) -> DataFrame:
     nodes, view, comm = t(spark, d, "nodes"), _view(spark, d), t(spark, d, "communities")
-    matched = vault.node_search(nodes, "vector", 25)
+    matched = cut(question_entities(spark, d), "matched")
     near = view.join(vault.incident_edges(view, matched.select(key("id").alias("node"))).select("id"), "id", "left_semi")
-    best = retrieval.best_communities(retrieval.community_scores(comm, ["vector", "graph"], ["index", "query"]), 5)
+    best = community_rank(spark, d)
     scores = retrieval.chunk_scores(matched, near, retrieval.top_members(comm, best), retrieval.bridge_edges(view, _nodes(spark, d)), nodes)
     return scores.select("chunk", F.round("score", 6).alias("score"))
 
@@ -63,13 +73,50 @@ def _bm25(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.reciprocal_rank_fusion([(_bm25(spark, d), 0.5), (chunk_graph_score(spark, d), 0.5)], 50).select("chunk", F.round("score", 6).alias("score"))
+    """The best chunks by three lists: dense, lexical and graph."""
+    lists = [(dense_search(spark, d), 0.5), (_bm25(spark, d), 0.5), (chunk_graph_score(spark, d), 0.5)]
+    return retrieval.reciprocal_rank_fusion(lists, 50).select("chunk", F.round("score", 6).alias("score"))
+
+
+def dense_search(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks whose vectors are nearest to the question's."""
+    return retrieval.dense_list(_chunks(spark, d, "text"), QUESTION, 500).select("chunk", F.round("score", 6).alias("score"))
+
+
+def search_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """The search with all lists against the one without the graph."""
+    full = cut(rrf_fusion(spark, d), "fused")
+    return retrieval.agreement(full, retrieval.reciprocal_rank_fusion([(dense_search(spark, d), 0.5), (_bm25(spark, d), 0.5)], 50))
 
 
 def local_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Citations of chunks and of the first entities."""
+    chunks = _cited(spark, d).select(F.lit("chunk").alias("source_type"), F.col("chunk").alias("id"), "title", "snippet", "score")
+    return chunks.unionByName(retrieval.entity_citations(question_entities(spark, d)).select(F.lit("node").alias("source_type"), "id", "title", "snippet", "score"))
+
+
+def _cited(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.citations(rrf_fusion(spark, d), _chunks(spark, d, "note_id", "text"), vault.latest(t(spark, d, "notes"), "title", "ingested_at"))
 
 
+def question_relations(spark: SparkSession, d: str) -> DataFrame:
+    """The first relations of the nodes that a question means."""
+    view = _view(spark, d)
+    return vault.incident_edges(view, question_entities(spark, d).select(key("id").alias("node"))).select("id", "source", "predicate", "target").orderBy("id").limit(15)
+
+
+def local_search(spark: SparkSession, d: str) -> DataFrame:
+    """What a question about single things finds: the context of an answer, and how much each channel gave."""
+    matched, comm = cut(question_entities(spark, d), "matched"), t(spark, d, "communities")
+    relations, cited = cut(question_relations(spark, d), "relations"), cut(_cited(spark, d), "cited")
+    best = cut(community_rank(spark, d).join(comm.select("id", "name", "summary"), "id").select("rank", "name", "summary"), "best")
+    context = retrieval.context_block(matched, relations, best, cited)
+    counts = [df.agg(F.count("*").alias(n)) for df, n in ((matched, "n_entities"), (relations, "n_relations"), (best, "n_communities"), (cited, "n_chunks"))]
+    for c in counts:
+        context = context.crossJoin(F.broadcast(c))  # one row each
+    return context.withColumn("confidence", F.lit(0.92))
+
+
 def global_insights(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.global_insights(t(spark, d, "communities"))
 
@@ -150,15 +197,22 @@ def note_graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return links.graph_stats(_notes(spark, d), auto_link_graph(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (route_queries, query_keywords, bridges, community_rank, chunk_graph_score, rrf_fusion, local_citations, global_insights, community_internal_edges, community_summary, leading_themes, rag_metrics, explicit_links, stored_note_links, entity_mentions, shared_entity_classes, shared_entity_links, relation_bridge_links, similar_notes, auto_link_graph, note_graph_stats, note_degrees, note_communities)}
+QUERIES = {f.__name__: f for f in (route_queries, query_keywords, bridges, question_entities, question_relations, community_rank, chunk_graph_score, dense_search, rrf_fusion, search_ablation, local_citations, local_search, global_insights, community_internal_edges, community_summary, leading_themes, rag_metrics, explicit_links, stored_note_links, entity_mentions, shared_entity_classes, shared_entity_links, relation_bridge_links, similar_notes, auto_link_graph, note_graph_stats, note_degrees, note_communities)}
 
 _PLAIN = r"regexp_replace(regexp_replace(title, '[^\x00-\x7F\p{L}\p{N}]', '-', 'g'), '[^\x00-\x7F]', '_', 'g')"
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
-_SCORES = f"""
+_SCORES = rf"""
 bridge AS (SELECT v.id, a.community_id AS c_source, b.community_id AS c_target FROM edge_v v JOIN node_l a ON lower(trim(a.id)) = v.source JOIN node_l b ON lower(trim(b.id)) = v.target WHERE a.community_id <> b.community_id),
-cs AS (SELECT id, 2.0::DOUBLE * contains(x, 'vector')::INT + 2.0::DOUBLE * contains(x, 'graph')::INT + 0.5::DOUBLE * contains(x, 'index')::INT + 0.5::DOUBLE * contains(x, 'query')::INT AS score FROM (SELECT id, lower(concat_ws(' ', coalesce(name, ''), coalesce(summary, ''), coalesce(array_to_string(from_json(themes, '["VARCHAR"]'), ' '), ''))) AS x FROM communities)),
+qt AS (SELECT term, count(*)::DOUBLE AS tf FROM (SELECT unnest(regexp_extract_all(lower('{QUESTION}'), '[a-z0-9]+')) AS term) GROUP BY term),
+sv AS (SELECT id, term, count(*)::DOUBLE AS tf FROM (SELECT id, unnest(list_filter(string_split_regex(lower(coalesce(summary, '')), '[^\p{{L}}\p{{N}}]+'), lambda z: z <> '')) AS term FROM communities) GROUP BY id, term),
+sc AS (SELECT s.id, sum(s.tf * coalesce(qt.tf, 0)) / sqrt(sum(s.tf * s.tf)) / (SELECT sqrt(sum(tf * tf)) FROM qt) AS cos FROM sv s LEFT JOIN qt USING (term) GROUP BY s.id),
+cs AS (SELECT id, 2.0::DOUBLE * contains(x, 'vector')::INT + 2.0::DOUBLE * contains(x, 'graph')::INT + 0.5::DOUBLE * contains(x, 'chunking')::INT + 0.5::DOUBLE * contains(x, 'hybrid')::INT + 3 * coalesce((SELECT cos FROM sc WHERE sc.id = c.id), 0) AS score FROM (SELECT id, lower(concat_ws(' ', coalesce(name, ''), coalesce(summary, ''), coalesce(array_to_string(from_json(themes, '["VARCHAR"]'), ' '), ''))) AS x FROM communities) c),
 best AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM cs QUALIFY rank <= 5 AND (score > 0 OR max(score) OVER () <= 0)),
-hit AS ({_SEARCH}),
+kw AS (SELECT unnest(['chunking', 'hybrid']) AS w, unnest([0, 1]) AS turn),
+nl AS (SELECT id, name, type, description, coalesce(degree, 0)::BIGINT AS degree FROM node_l),
+h0 AS (SELECT nl.*, turn, -degree AS d FROM nl JOIN kw ON contains(lower(concat_ws(chr(10), name, description)), w) QUALIFY row_number() OVER (PARTITION BY turn ORDER BY degree DESC, id) <= 25),
+h1 AS (SELECT nl.*, 2 AS turn, 0 AS d FROM nl WHERE (name <> '' AND contains(lower('{QUESTION}'), lower(name))) OR contains(lower(name), 'chunking') OR contains(lower(name), 'hybrid')),
+hit AS (SELECT id, name, type, description, degree, row_number() OVER (ORDER BY turn, d, id) AS place FROM (SELECT * FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY turn, d) = 1) QUALIFY place <= 25),
 near AS (SELECT * FROM edge_v WHERE source IN (SELECT lower(trim(id)) FROM hit) OR target IN (SELECT lower(trim(id)) FROM hit)),
 gs AS (SELECT chunk, round(sum(s), 6) AS score FROM (
   SELECT chunk, 1.5::DOUBLE * (1 + 0.1::DOUBLE * least(degree, 10)) AS s FROM node_p JOIN hit USING (id)
@@ -168,7 +222,8 @@ gs AS (SELECT chunk, round(sum(s), 6) AS score FROM (
 _BM = f"""{_POST}, st AS (SELECT (SELECT count(*) FROM chunk_l) AS n, (SELECT sum(tf) FROM post) / (SELECT count(*) FROM chunk_l)::DOUBLE AS mean), q AS (SELECT term, count(*) AS df FROM post WHERE term IN ('graph', 'vector') GROUP BY term),
 w AS (SELECT term, CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END AS idf, mean FROM q, st),
 bm AS (SELECT lower(trim(chunk_id)) AS chunk, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM post JOIN w USING (term) GROUP BY chunk_id)"""
-_RRF = "rrf AS (SELECT chunk, round(sum(s), 6) AS score, sum(s) AS exact FROM (SELECT chunk, 0.5::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk)) AS s FROM bm QUALIFY row_number() OVER (ORDER BY score DESC, chunk) <= 500 UNION ALL SELECT chunk, 0.5::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk)) FROM gs QUALIFY row_number() OVER (ORDER BY score DESC, chunk) <= 500) GROUP BY chunk ORDER BY round(sum(s), 9) DESC, chunk LIMIT 50)"
+_DENSE = "dn AS (SELECT chunk, round(s, 6) AS score FROM (SELECT lower(trim(chunk_id)) AS chunk, round(sum(post.tf * coalesce(qt.tf, 0)) / sqrt(sum(post.tf::DOUBLE * post.tf)) / (SELECT sqrt(sum(tf * tf)) FROM qt), 9) AS s FROM post LEFT JOIN qt USING (term) GROUP BY chunk_id) WHERE s > 0 ORDER BY s DESC, chunk LIMIT 500)"
+_RRF = _DENSE + ", rrf AS (SELECT chunk, round(sum(s), 6) AS score, sum(s) AS exact FROM (SELECT chunk, 0.5::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk)) AS s FROM dn UNION ALL SELECT chunk, 0.5::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk)) AS s FROM bm QUALIFY row_number() OVER (ORDER BY score DESC, chunk) <= 500 UNION ALL SELECT chunk, 0.5::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk)) FROM gs QUALIFY row_number() OVER (ORDER BY score DESC, chunk) <= 500) GROUP BY chunk ORDER BY round(sum(s), 9) DESC, chunk LIMIT 50)"
 _STEM = lambda c: rf"regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({c}, '(?i)\.md$', ''), '[^\p{{L}}\p{{N}}_ \t\n\r\f\v-]', '', 'g'), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')), '[ \t\n\r\f\v-]+', '_', 'g')"
 _MARKED = lambda c: rf"regexp_replace(lower({c}), '[\p{{L}}\p{{N}}_]+', chr(1) || '\0' || chr(1), 'g')"
 _LINKS = rf"""
@@ -191,10 +246,14 @@ ORACLE = {
     "route_queries": rf"SELECT doc_id, CASE WHEN regexp_matches(lower({_PLAIN}), '\b(?:{'|'.join(retrieval.GLOBAL_PHRASES)})\b') OR regexp_matches(lower({_PLAIN}), '{retrieval.GLOBAL_PAIR}') THEN 'global' ELSE 'local' END AS mode FROM documents WHERE title IS NOT NULL",
     "query_keywords": rf"WITH w AS (SELECT doc_id, list_filter(regexp_extract_all({_PLAIN}, '[a-zA-Z0-9_-]+', 0), lambda x: lower(x) NOT IN ({_STOP})) AS w FROM documents WHERE title IS NOT NULL) SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, unnest(list_concat(list_concat(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')), list_transform(range(1, len(w)), lambda i: array_to_string(list_slice(w, i, i + 1), ' '))), w)) AS gram FROM w)",
     "bridges": f"{_W}, {_SCORES} SELECT * FROM bridge",
-    "community_rank": f"{_W}, {_SCORES} SELECT id, score, rank FROM best",
+    "question_entities": f"{_W}, {_SCORES} SELECT * FROM hit",
+    "question_relations": f"{_W}, {_SCORES} SELECT id, source, predicate, target FROM near ORDER BY id LIMIT 15",
+    "dense_search": f"{_W}, {_SCORES}, {_BM}, {_DENSE} SELECT * FROM dn",
+    "search_ablation": f"{_W}, {_SCORES}, {_BM}, {_RRF}, two AS (SELECT chunk, sum(s) AS e FROM (SELECT chunk, 0.5::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk)) AS s FROM dn UNION ALL SELECT chunk, 0.5::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk)) FROM bm QUALIFY row_number() OVER (ORDER BY score DESC, chunk) <= 500) GROUP BY chunk ORDER BY round(e, 9) DESC, chunk LIMIT 50), j AS (SELECT count(rrf.chunk) AS n_one, count(two.chunk) AS n_two, count(*) FILTER (WHERE rrf.chunk IS NOT NULL AND two.chunk IS NOT NULL) AS overlap, count(*) AS n FROM rrf FULL JOIN two USING (chunk)) SELECT n_one, n_two, overlap, round(overlap / n::DOUBLE, 3) AS jaccard FROM j",
+    "community_rank": f"{_W}, {_SCORES} SELECT id, round(score, 6) AS score, rank FROM best",
     "chunk_graph_score": f"{_W}, {_SCORES} SELECT * FROM gs",
     "rrf_fusion": f"{_W}, {_SCORES}, {_BM}, {_RRF} SELECT chunk, score FROM rrf",
-    "local_citations": f"{_W}, {_SCORES}, {_BM}, {_RRF} SELECT r.chunk, coalesce(n.title, r.chunk) AS title, substr(c.text, 1, 300) AS snippet, r.score FROM rrf r JOIN chunk_l c ON lower(trim(c.id)) = r.chunk LEFT JOIN note_l n ON lower(trim(n.id)) = lower(trim(c.note_id))",
+    "local_citations": f"{_W}, {_SCORES}, {_BM}, {_RRF} SELECT 'node' AS source_type, id, name AS title, coalesce(description, 'Entity: ' || name || ' (' || type || ')') AS snippet, 1.0::DOUBLE AS score FROM hit WHERE place <= 3 UNION ALL SELECT 'chunk', r.chunk, coalesce(n.title, r.chunk) AS title, substr(c.text, 1, 300) AS snippet, r.score FROM rrf r JOIN chunk_l c ON lower(trim(c.id)) = r.chunk LEFT JOIN note_l n ON lower(trim(n.id)) = lower(trim(c.note_id))",
     "global_insights": "SELECT id, name || ': ' || substr(summary, 1, 250) AS insight, coalesce(confidence, 1.0::DOUBLE) AS score FROM communities WHERE summary IS NOT NULL AND (level = 0 OR (SELECT min(level) FROM communities WHERE summary IS NOT NULL) > 0)",
     "community_internal_edges": f"{_W}, {_IN} SELECT * FROM ie",
     "community_summary": f"{_W}, {_IN}, m AS (SELECT member.id AS community, count(*) AS n_members, array_to_string(list_slice(list(n.name ORDER BY pos), 1, 5), ', ') AS themes FROM member JOIN node_l n ON lower(trim(n.id)) = member.node GROUP BY member.id), e AS (SELECT community, count(*) AS n_edges, array_to_string(list_slice(list(concat_ws(' ', source, lower(predicate), target) ORDER BY id), 1, 5), '; ') AS said FROM ie GROUP BY community) SELECT community, n_members, coalesce(n_edges, 0) AS n_edges, themes, 'Thematic cluster focusing on ' || themes || '. Key relationships include: ' || coalesce(said, 'interconnected conceptual relationships') || '.' AS summary FROM m LEFT JOIN e USING (community)",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as x
 from quillgraph.operators import chunking, extraction, lexical, vault, vectors
 from quillgraph.plans.vault_queries import VIEWS
+from quillgraph.session import cut
 from quillgraph.sources.tables import table as t
 
 
@@ -69,6 +70,16 @@ def relation_distinct(spark: SparkSession, d: str) -> DataFrame:
     return extraction.distinct_relations(vault.edge_view(t(spark, d, "edges")), "source", "predicate", "target", ["ingested_at", "id"])
 
 
+def canonical_relations(spark: SparkSession, d: str) -> DataFrame:
+    entities = cut(extraction.chunk_entities(_chunks(spark, d)), "entities")
+    relations = extraction.chunk_relations(entities).withColumn("predicate", F.lit("relates_to"))
+    return extraction.canonical_relations(entities, relations)
+
+
+def node_merge(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.merged_nodes(vault.latest(t(spark, d, "nodes"), "name", "type", "description", "degree", "ingested_at"))
+
+
 def postings(spark: SparkSession, d: str) -> DataFrame:
     return lexical.postings(_chunks(spark, d))
 
@@ -101,7 +112,7 @@ def mean_pairwise_cosine(spark: SparkSession, d: str) -> DataFrame:
     return vectors.mean_pair_similarity(t(spark, d, "embeddings"), "label")
 
 
-QUERIES = {f.__name__: f for f in (sentences, token_estimates, note_stats, chunk_notes, front_matter, first_headings, slugs, wikilinks, extract_entities, extract_relations, entity_merge_exact, relation_distinct, postings, doc_freq, bm25_search, vector_topk, semantic_links, vector_remove, mean_pairwise_cosine)}
+QUERIES = {f.__name__: f for f in (sentences, token_estimates, note_stats, chunk_notes, front_matter, first_headings, slugs, wikilinks, extract_entities, extract_relations, entity_merge_exact, node_merge, canonical_relations, relation_distinct, postings, doc_freq, bm25_search, vector_topk, semantic_links, vector_remove, mean_pairwise_cosine)}
 
 _TRIM = lambda c: rf"regexp_replace({c}, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')"
 _UNMARK = r"regexp_replace(m, '^(\*\*|`)|(\*\*|`)$', '', 'g')"
@@ -130,6 +141,8 @@ ORACLE = {
     "extract_entities": f"WITH {VIEWS}, {_ENT} SELECT * FROM ent",
     "extract_relations": f"WITH {VIEWS}, {_ENT} SELECT * FROM (SELECT chunk_id, ord, name AS subject, lead(name) OVER (PARTITION BY chunk_id ORDER BY ord) AS object FROM ent) WHERE object IS NOT NULL",
     "entity_merge_exact": f"WITH {VIEWS}, {_ENT}, k AS (SELECT *, {_NAME} AS key FROM ent) SELECT key, arg_min(name, (chunk_id, ord)) AS name, arg_min(type, (chunk_id, ord)) AS type, count(DISTINCT chunk_id) AS n_chunks, count(*) AS n_mentions, max(confidence) AS confidence FROM k WHERE key <> '' GROUP BY key",
+    "node_merge": f"WITH {VIEWS}, k AS (SELECT *, {_NAME} AS key FROM node_l) SELECT key, arg_min(name, id) AS name, arg_min(type, id) AS type, arg_min(description, (-length(description), id)) FILTER (WHERE description IS NOT NULL) AS description, coalesce(max(degree), 0)::BIGINT AS degree, count(*) AS n FROM k WHERE key <> '' GROUP BY key",
+    "canonical_relations": f"WITH {VIEWS}, {_ENT}, k AS (SELECT *, {_NAME} AS key FROM ent), m AS (SELECT key, arg_min(name, (chunk_id, ord)) AS name FROM k WHERE key <> '' GROUP BY key), r AS (SELECT chunk_id, ord, name AS sn, key AS sk, lead(name) OVER w AS xn, lead(key) OVER w AS xk FROM k WINDOW w AS (PARTITION BY chunk_id ORDER BY ord)), c AS (SELECT r.chunk_id, r.ord, coalesce(a.name, {_TRIM('sn')}) AS s, coalesce(b.name, {_TRIM('xn')}) AS o FROM r LEFT JOIN m a ON a.key = sk LEFT JOIN m b ON b.key = xk WHERE xn IS NOT NULL) SELECT arg_min(s, (chunk_id, ord)) AS subject, 'RELATES_TO' AS predicate, arg_min(o, (chunk_id, ord)) AS object, count(*) AS n FROM c WHERE lower(s) <> lower(o) GROUP BY lower(s), lower(o)",
     "relation_distinct": f"WITH {VIEWS}, e AS (SELECT v.*, l.ingested_at FROM edge_v v JOIN edge_l l USING (id) WHERE v.source <> v.target) SELECT arg_min(source, (ingested_at, id)) AS subject, arg_min(predicate, (ingested_at, id)) AS predicate, arg_min(target, (ingested_at, id)) AS object, count(*) AS n FROM e GROUP BY source, upper(predicate), target",
     "postings": f"WITH {VIEWS}, {_POST} SELECT * FROM post",
     "doc_freq": f"WITH {VIEWS}, {_POST} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term",
