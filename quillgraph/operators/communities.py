@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.session import cut, drop_cut
@@ -83,5 +83,33 @@ def split_large(pairs: DataFrame, labels: DataFrame, least: int, rounds: int = 6
 
 def label_table(labels: DataFrame) -> DataFrame:
     """``(community, size, first)``: each community's size and its first three members."""
-    return labels.groupBy("community").agg(F.count("*").alias("size"), F.array_join(F.slice(F.array_sort(F.collect_list("node")), 1, 3), ", ").alias("first"))
+    place = F.row_number().over(Window.partitionBy("community").orderBy("node"))
+    first = labels.withColumn("place", place).where("place <= 3").groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda x: x["node"]), ", ").alias("first"))
+    return labels.groupBy("community").agg(F.count("*").alias("size")).join(first, "community")
+
+
+def community_table(nodes: DataFrame, labels: DataFrame, parts: DataFrame) -> DataFrame:
+    """``(id, level, parent_id, name, size, confidence)``: communities named by their first three members.
+
+    ``labels``: ``(node, community)``, ``parts``: ``(node, community, part)`` of :func:`split_large`; the parts of a
+    community are its children where there are several.  Without any label all of ``nodes`` are one general community.
+    """
+    top = label_table(labels).select(F.col("community").alias("id"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent_id"), F.col("first").alias("name"), "size", F.lit(0.9).alias("confidence"))
+    several = parts.groupBy("community").agg(F.countDistinct("part").alias("n")).where("n > 1").select("community")
+    inner = parts.join(several, "community", "left_semi")
+    of = inner.select("community", "part").distinct()
+    below = label_table(inner.select("node", F.col("part").alias("community"))).withColumnRenamed("community", "part").join(of, "part")
+    below = below.select(F.concat(F.col("part"), F.lit("/1")).alias("id"), F.lit(1).alias("level"), F.col("community").alias("parent_id"), F.col("first").alias("name"), "size", F.lit(0.85).alias("confidence"))
+    found = top.unionByName(below)
+    if labels.isEmpty():
+        every = nodes.select("node").distinct().agg(F.count("*").alias("size")).where("size > 0")
+        return every.select(F.lit("general").alias("id"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent_id"), F.lit("General Community").alias("name"), "size", F.lit(0.9).alias("confidence"))
+    return found
+
+
+def with_summaries(communities: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Communities with summary and themes of ``summaries`` ``(community, themes, summary)`` written over theirs; name and
+    confidence stay."""
+    new = summaries.select(F.col("community").alias("id"), F.col("themes").alias("_t"), F.col("summary").alias("_s"))
+    return communities.join(new, "id", "left").withColumn("summary", F.coalesce("_s", "summary")).withColumn("themes", F.coalesce("_t", "themes")).drop("_t", "_s")
 

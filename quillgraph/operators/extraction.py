@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import ascii_words, normal_name, stripped
+from quillgraph.session import cut
 
 # Capitalised words that are no names.
 NO_NAMES = ["the", "this", "that", "there", "with", "from", "when"]
@@ -67,6 +68,16 @@ def canonical_relations(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return distinct_relations(rewritten, "subject", "predicate", "object", ["chunk_id", "ord"])
 
 
+def built_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``(key, name, type, n_chunks, degree)`` and edges ``(subject, predicate, object, n)`` drawn from chunks
+    ``(id, text)``: entities found and merged, their relations rewritten, degrees counted over the edges."""
+    entities = cut(chunk_entities(chunks), "entities")
+    edges = cut(canonical_relations(entities, chunk_relations(entities).withColumn("predicate", F.lit("RELATES_TO"))), "relations")
+    ends = edges.select(F.explode(F.array(F.lower("subject"), F.lower("object"))).alias("low")).groupBy("low").agg(F.count("*").alias("degree"))
+    nodes = merged_entities(entities).withColumn("low", F.lower("name")).join(ends, "low", "left")
+    return nodes.select("key", "name", "type", "n_chunks", F.coalesce("degree", F.lit(0)).alias("degree")), edges
+
+
 def distinct_relations(relations: DataFrame, subject: str, predicate: str, obj: str, order: list[str]) -> DataFrame:
     """The first of all relations that are equal in any case, without loops."""
     keyed = relations.where(F.lower(subject) != F.lower(obj)).withColumns({"_s": F.lower(subject), "_p": F.upper(predicate), "_o": F.lower(obj)})

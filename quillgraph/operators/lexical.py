@@ -8,6 +8,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.stem import stemmed_tokens, stems
 from quillgraph.functions.text import lexical_tokens
 
 K1, B = 1.2, 0.75
@@ -59,13 +60,14 @@ def _occurrences(term: str) -> Column:
     return F.size(F.filter("toks", lambda x: x == term))
 
 
-def bm25(chunks: DataFrame, terms: list[str], every: bool = True, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def bm25(chunks: DataFrame, terms: list[str], every: bool = True, id_col: str = "id", text_col: str = "text", stemmed: bool = False) -> DataFrame:
     """``(chunk_id, score)`` of the chunks that hold the terms (all, or any of them).
 
-    Only the asked terms are counted, inside the scan of the text: no postings are shuffled.
+    With ``stemmed``, words are compared without diacritics and by their stems.  Only the asked terms are counted, inside the scan of the text: no postings are shuffled.
     """
-    asked = sorted({t.lower() for t in terms})
-    toks = lexical_tokens(F.coalesce(F.col(text_col), F.lit("")))
+    asked = sorted({s for t in terms for s in stems(t)} if stemmed else {t.lower() for t in terms})
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    toks = stemmed_tokens(text) if stemmed else lexical_tokens(text)
     rows = chunks.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("chunk_id"), toks.alias("toks"))
     counted = rows.select("chunk_id", F.size("toks").alias("length"), *[_occurrences(t).alias(f"tf{i}") for i, t in enumerate(asked)])
     total = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(asked))])

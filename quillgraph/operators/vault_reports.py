@@ -67,6 +67,36 @@ def linked_data(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.to_json(F.struct(F.concat(F.lit(RESOURCE), "id").alias("@id"), "name", "type", "description")).alias("json"))
 
 
+def digest(nodes: DataFrame, view: DataFrame, communities: DataFrame) -> DataFrame:
+    """``(section, key, line)``: lines of a Markdown digest of nodes, edges and communities, in order of section and key."""
+    n = nodes.select(F.lit(1).alias("section"), F.col("id").alias("key"), F.format_string("- **%s** (`%s`): %s", "name", "type", F.coalesce("description", F.lit("No description"))).alias("line"))
+    e = view.select(F.lit(2).alias("section"), F.col("id").alias("key"), F.concat(F.lit("- "), "source", F.lit(" --["), "predicate", F.lit("]--> "), "target").alias("line"))
+    c = communities.select(F.lit(3).alias("section"), F.col("id").cast("string").alias("key"), F.concat(F.lit("### "), F.coalesce("name", F.concat(F.lit("Community "), F.col("id").cast("string"))), F.lit(" (Level "), F.col("level").cast("string"), F.lit(")"), F.coalesce(F.concat(F.lit("\n"), "summary"), F.lit(""))).alias("line"))
+    return n.unionByName(e).unionByName(c).where("line IS NOT NULL")
+
+
+def exported_notes(notes: DataFrame) -> DataFrame:
+    """``(filename, content, size_bytes)`` of notes as files."""
+    content = F.coalesce("raw_content", F.lit(""))
+    return notes.select(F.concat("id", F.lit(".md")).alias("filename"), content.alias("content"), F.octet_length(content).cast("bigint").alias("size_bytes"))
+
+
+def vector_metadata(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``(dimension, n_vectors, n_ids)`` of a table of vectors."""
+    return vectors.agg(F.max(F.size(vec_col)).cast("bigint").alias("dimension"), F.count(vec_col).alias("n_vectors"), F.countDistinct(id_col).alias("n_ids"))
+
+
+def cleared(turns: DataFrame, sessions: DataFrame, session: str) -> DataFrame:
+    """Conversations without those of the given sessions."""
+    return turns.join(sessions.select(session).distinct(), session, "left_anti")
+
+
+def nearest(nodes: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
+    """``(query_id, id, distance)``: the nearest node of each stated node within a radius; of equally near ones the first by id."""
+    found = neighbours_within(nodes, queries, radius)
+    return found.groupBy("query_id").agg(F.min(F.struct("distance", "id")).alias("x")).select("query_id", "x.id", "x.distance")
+
+
 def drawn_elements(nodes: DataFrame, view: DataFrame) -> DataFrame:
     """``(kind, id, json)``: elements of a drawn graph; a node has a position if it has both coordinates."""
     place = F.when(F.col("layout_x").isNotNull() & F.col("layout_y").isNotNull(), F.struct(F.col("layout_x").alias("x"), F.col("layout_y").alias("y")))

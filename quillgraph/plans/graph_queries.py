@@ -108,6 +108,12 @@ def community_levels(spark: SparkSession, d: str) -> DataFrame:
     return communities.split_large(pairs, communities.detect(pairs), 2)
 
 
+def community_table(spark: SparkSession, d: str) -> DataFrame:
+    pairs = cut(communities.weighted_pairs(_view(spark, d)), "pairs")
+    labels = cut(communities.detect(pairs), "labels")
+    return communities.community_table(_all(spark, d), labels, cut(communities.split_large(pairs, labels, 2), "parts"))
+
+
 def stored_modularity(spark: SparkSession, d: str) -> DataFrame:
     """Modularity of the stored communities over the edges among their nodes."""
     labels = vault.latest(t(spark, d, "nodes"), "community_id", "ingested_at").where("community_id IS NOT NULL").select(F.lower(F.trim("id")).alias("node"), F.col("community_id").alias("community"))
@@ -115,7 +121,7 @@ def stored_modularity(spark: SparkSession, d: str) -> DataFrame:
     return communities.modularity(pairs, labels)
 
 
-QUERIES = {f.__name__: f for f in (graph_density, top_relations, connected_components, component_sizes, pagerank, shortest_paths, ego_graph, betweenness_sample, hub_scores, graph_connectivity, path_narrative, suggested_questions, surprising_connections, undirected_collapse, community_detection, community_levels, stored_modularity)}
+QUERIES = {f.__name__: f for f in (graph_density, top_relations, connected_components, component_sizes, pagerank, shortest_paths, ego_graph, betweenness_sample, hub_scores, graph_connectivity, path_narrative, suggested_questions, surprising_connections, undirected_collapse, community_detection, community_levels, community_table, stored_modularity)}
 
 _W = f"WITH RECURSIVE {VIEWS}"
 _G = """

@@ -84,6 +84,23 @@ def export_elements(spark: SparkSession, d: str) -> DataFrame:
     return reports.drawn_elements(_nodes(spark, d), _view(spark, d))
 
 
+def export_digest(spark: SparkSession, d: str) -> DataFrame:
+    return reports.digest(_nodes(spark, d), _view(spark, d), t(spark, d, "communities"))
+
+
+def export_notes(spark: SparkSession, d: str) -> DataFrame:
+    return reports.exported_notes(_notes(spark, d))
+
+
+def vector_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return reports.vector_metadata(t(spark, d, "embeddings"))
+
+
+def layout_nearest(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _nodes(spark, d)
+    return reports.nearest(nodes, nodes.where(F.expr("try_cast(substr(id, 2) AS bigint)") % 50 == 0), 40.0)
+
+
 def normalize_layout(spark: SparkSession, d: str) -> DataFrame:
     return reports.normal_layout(_nodes(spark, d))
 
@@ -117,7 +134,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (classify_topics, classify_tone, auto_tags, prominent_terms, note_listing, gallery_search, content_keys, conversation_window, history_prompt, export_turtle, export_csv, export_jsonld, export_elements, normalize_layout, spiral_layout, layout_neighbours, node_style, edge_rest_lengths, event_windows, event_sessions)
+    for f in (classify_topics, classify_tone, auto_tags, prominent_terms, note_listing, gallery_search, content_keys, conversation_window, history_prompt, export_turtle, export_csv, export_jsonld, export_elements, export_digest, export_notes, vector_metadata, normalize_layout, spiral_layout, layout_neighbours, layout_nearest, node_style, edge_rest_lengths, event_windows, event_sessions)
 }
 
 _PLAIN = r"regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{N}]', '-', 'g'), '[^\x00-\x7F]', '_', 'g')"
@@ -153,6 +170,10 @@ ORACLE = {
     "history_prompt": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM events) SELECT user_id, count(*) AS n, string_agg(concat_ws(': ', upper(event_type[1]) || lower(event_type[2:]), props), chr(10) ORDER BY b DESC) AS history FROM r WHERE b <= 6 GROUP BY user_id",
     "export_turtle": f"{_W} SELECT 'r:' || replace(lower(trim(id)), ' ', '_') || ' a r:' || replace(upper(trim(type)), ' ', '_') || ' ; rdfs:label \"' || replace(replace(name, '\\', '\\\\'), '\"', '\\\"') || '\" .' AS line FROM node_l WHERE name IS NOT NULL AND type IS NOT NULL UNION ALL SELECT 'r:' || replace(source, ' ', '_') || ' p:' || replace(lower(predicate), ' ', '_') || ' r:' || replace(target, ' ', '_') || ' .' FROM edge_v WHERE source IS NOT NULL AND target IS NOT NULL",
     "export_csv": f"{_W} SELECT 'node' AS record_type, id, name AS source_or_name, type AS target_or_type, coalesce(description, '') AS relation_or_desc, 1.0::DOUBLE AS weight FROM node_l UNION ALL SELECT 'edge', id, source, target, predicate, weight FROM edge_v",
+    "export_digest": f"{_W} SELECT 1 AS section, id AS key, '- **' || name || '** (`' || type || '`): ' || coalesce(description, 'No description') AS line FROM node_l WHERE name IS NOT NULL AND type IS NOT NULL UNION ALL SELECT 2, id, '- ' || source || ' --[' || predicate || ']--> ' || target FROM edge_v WHERE source IS NOT NULL AND target IS NOT NULL AND predicate IS NOT NULL UNION ALL SELECT 3, id::VARCHAR, '### ' || coalesce(name, 'Community ' || id) || ' (Level ' || level || ')' || coalesce(chr(10) || summary, '') FROM communities",
+    "export_notes": f"{_W} SELECT id || '.md' AS filename, coalesce(raw_content, '') AS content, octet_length(encode(coalesce(raw_content, ''))) AS size_bytes FROM note_l WHERE deleted_at IS NULL",
+    "vector_metadata": "SELECT max(len(embedding)) AS dimension, count(embedding) AS n_vectors, count(DISTINCT vec_id) AS n_ids FROM embeddings",
+    "layout_nearest": f"{_W}, p AS (SELECT id, layout_x AS x, layout_y AS y FROM node_l WHERE layout_x IS NOT NULL AND layout_y IS NOT NULL), m AS (SELECT q.id AS query_id, p.id, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 4) AS distance FROM p, p q WHERE try_cast(q.id[2:] AS BIGINT) % 50 = 0 AND p.id <> q.id AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= 40) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) = 1",
     "normalize_layout": f"{_W}, p AS (SELECT id, layout_x, layout_y FROM node_l WHERE layout_x IS NOT NULL AND layout_y IS NOT NULL), b AS (SELECT min(layout_x) AS ax, max(layout_x) AS bx, min(layout_y) AS ay, max(layout_y) AS by_, greatest(max(layout_x) - min(layout_x), max(layout_y) - min(layout_y)) / 2 AS s FROM p) SELECT id, round(CASE WHEN s > 0 THEN (layout_x - (ax + bx) / 2) / s * 1000 ELSE 0 END, 2) AS x, round(CASE WHEN s > 0 THEN (layout_y - (ay + by_) / 2) / s * 1000 ELSE 0 END, 2) AS y FROM p, b",
     "layout_neighbours": f"{_W}, p AS (SELECT id, layout_x AS x, layout_y AS y FROM node_l WHERE layout_x IS NOT NULL AND layout_y IS NOT NULL) SELECT q.id AS query_id, p.id, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 4) AS distance FROM p, p q WHERE try_cast(q.id[2:] AS BIGINT) % 50 = 0 AND p.id <> q.id AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= 40",
     "node_style": f"{_W} SELECT id, round(3 + least(5.0::DOUBLE, ln(coalesce(degree, 0) + 1.0::DOUBLE)), 4) AS radius, coalesce(community_id % 12, length(name) % 12) AS shade FROM node_l",

@@ -129,6 +129,12 @@ def community_summary(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.community_summaries(t(spark, d, "communities"), _nodes(spark, d), community_internal_edges(spark, d))
 
 
+def community_writeback(spark: SparkSession, d: str) -> DataFrame:
+    """Communities with their new summaries written over the stored ones."""
+    made = communities.with_summaries(t(spark, d, "communities"), community_summary(spark, d))
+    return made.select("id", "name", "summary", "themes", "confidence")
+
+
 def leading_themes(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.leading_themes(t(spark, d, "communities"))
 
@@ -197,7 +203,7 @@ def note_graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return links.graph_stats(_notes(spark, d), auto_link_graph(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (route_queries, query_keywords, bridges, question_entities, question_relations, community_rank, chunk_graph_score, dense_search, rrf_fusion, search_ablation, local_citations, local_search, global_insights, community_internal_edges, community_summary, leading_themes, rag_metrics, explicit_links, stored_note_links, entity_mentions, shared_entity_classes, shared_entity_links, relation_bridge_links, similar_notes, auto_link_graph, note_graph_stats, note_degrees, note_communities)}
+QUERIES = {f.__name__: f for f in (route_queries, query_keywords, bridges, question_entities, question_relations, community_rank, chunk_graph_score, dense_search, rrf_fusion, search_ablation, local_citations, local_search, global_insights, community_internal_edges, community_summary, community_writeback, leading_themes, rag_metrics, explicit_links, stored_note_links, entity_mentions, shared_entity_classes, shared_entity_links, relation_bridge_links, similar_notes, auto_link_graph, note_graph_stats, note_degrees, note_communities)}
 
 _PLAIN = r"regexp_replace(regexp_replace(title, '[^\x00-\x7F\p{L}\p{N}]', '-', 'g'), '[^\x00-\x7F]', '_', 'g')"
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
@@ -257,6 +263,7 @@ ORACLE = {
     "global_insights": "SELECT id, name || ': ' || substr(summary, 1, 250) AS insight, coalesce(confidence, 1.0::DOUBLE) AS score FROM communities WHERE summary IS NOT NULL AND (level = 0 OR (SELECT min(level) FROM communities WHERE summary IS NOT NULL) > 0)",
     "community_internal_edges": f"{_W}, {_IN} SELECT * FROM ie",
     "community_summary": f"{_W}, {_IN}, m AS (SELECT member.id AS community, count(*) AS n_members, array_to_string(list_slice(list(n.name ORDER BY pos), 1, 5), ', ') AS themes FROM member JOIN node_l n ON lower(trim(n.id)) = member.node GROUP BY member.id), e AS (SELECT community, count(*) AS n_edges, array_to_string(list_slice(list(concat_ws(' ', source, lower(predicate), target) ORDER BY id), 1, 5), '; ') AS said FROM ie GROUP BY community) SELECT community, n_members, coalesce(n_edges, 0) AS n_edges, themes, 'Thematic cluster focusing on ' || themes || '. Key relationships include: ' || coalesce(said, 'interconnected conceptual relationships') || '.' AS summary FROM m LEFT JOIN e USING (community)",
+    "community_writeback": f"{_W}, {_IN}, m AS (SELECT member.id AS community, count(*) AS n_members, array_to_string(list_slice(list(n.name ORDER BY pos), 1, 5), ', ') AS themes FROM member JOIN node_l n ON lower(trim(n.id)) = member.node GROUP BY member.id), e AS (SELECT community, count(*) AS n_edges, array_to_string(list_slice(list(concat_ws(' ', source, lower(predicate), target) ORDER BY id), 1, 5), '; ') AS said FROM ie GROUP BY community), cm AS (SELECT community, n_members, coalesce(n_edges, 0) AS n_edges, themes, 'Thematic cluster focusing on ' || themes || '. Key relationships include: ' || coalesce(said, 'interconnected conceptual relationships') || '.' AS summary FROM m LEFT JOIN e USING (community)) SELECT c.id, c.name, coalesce(cm.summary, c.summary) AS summary, coalesce(cm.themes, c.themes) AS themes, c.confidence FROM communities c LEFT JOIN cm ON cm.community = c.id",
     "leading_themes": "SELECT theme, count(*) AS n, arg_min(id, (id, pos)) AS first_id FROM (SELECT id, unnest(l) AS theme, unnest(range(len(l))) AS pos FROM (SELECT id, from_json(themes, '[\"VARCHAR\"]') AS l FROM communities)) GROUP BY theme ORDER BY min((id, pos)), theme LIMIT 8",
     "rag_metrics": f"{_W}, {_LINKS}, n AS (SELECT lower(trim(id)) AS id, {_TOKS('title')} AS q, {_TOKS('''split_part(raw_content, '.', 1)''')} AS a, coalesce((SELECT list(text) FROM chunk_l c WHERE lower(trim(c.note_id)) = lower(trim(live.id)) AND text IS NOT NULL), []) AS c FROM live), s AS (SELECT id, len(list_filter(c, lambda t: list_has_any({_TOKS('t')}, q))) / greatest(len(c), 1)::DOUBLE AS p, least(1.0::DOUBLE, len(list_intersect(a, {_TOKS('''array_to_string(c, ' ')''')})) / greatest(1.0::DOUBLE, len(a) * 0.7::DOUBLE)) AS f, least(1.0::DOUBLE, len(list_intersect(q, a)) / greatest(1.0::DOUBLE, len(q) * 0.5::DOUBLE)) AS r FROM n) SELECT id, round(p, 3) AS context_precision, round(f, 3) AS faithfulness, round(r, 3) AS answer_relevance, round(p * 0.3::DOUBLE + f * 0.4::DOUBLE + r * 0.3::DOUBLE, 3) AS overall FROM s",
     "explicit_links": f"{_W}, {_LINKS} SELECT * FROM ex",

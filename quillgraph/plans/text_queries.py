@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as x
-from quillgraph.operators import chunking, extraction, lexical, vault, vectors
+from quillgraph.operators import chunking, embeddings, extraction, lexical, vault, vectors
 from quillgraph.plans.vault_queries import VIEWS
 from quillgraph.session import cut
 from quillgraph.sources.tables import table as t
@@ -93,6 +93,33 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("chunk_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(50)
 
 
+def fts_search(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of notes that are not removed, by stems."""
+    found = lexical.bm25(_chunks(spark, d), ["graphs", "queries"], every=True, stemmed=True)
+    gone = vault.deleted_chunks(t(spark, d, "chunks"), t(spark, d, "notes"))
+    shown = found.withColumn("chunk", F.lower(F.trim("chunk_id"))).join(gone, "chunk", "left_anti")
+    return shown.select("chunk_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(50)
+
+
+def community_search(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "communities").select("id", F.concat_ws(" ", "name", "summary", "themes").alias("text"))
+    return lexical.bm25(rows, ["vector", "graph", "index"], every=False).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+def node_texts(spark: SparkSession, d: str) -> DataFrame:
+    return embeddings.node_texts(vault.latest(t(spark, d, "nodes"), "name", "description", "ingested_at"))
+
+
+def note_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Mean word vectors of all notes, learned from the notes; words that occur twice at least."""
+    tokens = cut(embeddings.tokenised(_notes(spark, d), "id", "raw_content"), "tokens")
+    return embeddings.mean_vectors(tokens, embeddings.word_vectors(tokens, least=2))
+
+
+def built_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.built_graph(_chunks(spark, d))[0]
+
+
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "embeddings")
     return vectors.search(e, e.where("vec_id % 50 = 0"), 10).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
@@ -112,7 +139,7 @@ def mean_pairwise_cosine(spark: SparkSession, d: str) -> DataFrame:
     return vectors.mean_pair_similarity(t(spark, d, "embeddings"), "label")
 
 
-QUERIES = {f.__name__: f for f in (sentences, token_estimates, note_stats, chunk_notes, front_matter, first_headings, slugs, wikilinks, extract_entities, extract_relations, entity_merge_exact, node_merge, canonical_relations, relation_distinct, postings, doc_freq, bm25_search, vector_topk, semantic_links, vector_remove, mean_pairwise_cosine)}
+QUERIES = {f.__name__: f for f in (sentences, token_estimates, note_stats, chunk_notes, front_matter, first_headings, slugs, wikilinks, extract_entities, extract_relations, entity_merge_exact, node_merge, canonical_relations, relation_distinct, postings, doc_freq, bm25_search, fts_search, community_search, node_texts, note_vectors, built_nodes, vector_topk, semantic_links, vector_remove, mean_pairwise_cosine)}
 
 _TRIM = lambda c: rf"regexp_replace({c}, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')"
 _UNMARK = r"regexp_replace(m, '^(\*\*|`)|(\*\*|`)$', '', 'g')"
@@ -143,7 +170,10 @@ ORACLE = {
     "entity_merge_exact": f"WITH {VIEWS}, {_ENT}, k AS (SELECT *, {_NAME} AS key FROM ent) SELECT key, arg_min(name, (chunk_id, ord)) AS name, arg_min(type, (chunk_id, ord)) AS type, count(DISTINCT chunk_id) AS n_chunks, count(*) AS n_mentions, max(confidence) AS confidence FROM k WHERE key <> '' GROUP BY key",
     "node_merge": f"WITH {VIEWS}, k AS (SELECT *, {_NAME} AS key FROM node_l) SELECT key, arg_min(name, id) AS name, arg_min(type, id) AS type, arg_min(description, (-length(description), id)) FILTER (WHERE description IS NOT NULL) AS description, coalesce(max(degree), 0)::BIGINT AS degree, count(*) AS n FROM k WHERE key <> '' GROUP BY key",
     "canonical_relations": f"WITH {VIEWS}, {_ENT}, k AS (SELECT *, {_NAME} AS key FROM ent), m AS (SELECT key, arg_min(name, (chunk_id, ord)) AS name FROM k WHERE key <> '' GROUP BY key), r AS (SELECT chunk_id, ord, name AS sn, key AS sk, lead(name) OVER w AS xn, lead(key) OVER w AS xk FROM k WINDOW w AS (PARTITION BY chunk_id ORDER BY ord)), c AS (SELECT r.chunk_id, r.ord, coalesce(a.name, {_TRIM('sn')}) AS s, coalesce(b.name, {_TRIM('xn')}) AS o FROM r LEFT JOIN m a ON a.key = sk LEFT JOIN m b ON b.key = xk WHERE xn IS NOT NULL) SELECT arg_min(s, (chunk_id, ord)) AS subject, 'RELATES_TO' AS predicate, arg_min(o, (chunk_id, ord)) AS object, count(*) AS n FROM c WHERE lower(s) <> lower(o) GROUP BY lower(s), lower(o)",
+    "built_nodes": f"WITH {VIEWS}, {_ENT}, k AS (SELECT *, {_NAME} AS key FROM ent), m AS (SELECT key, arg_min(name, (chunk_id, ord)) AS name FROM k WHERE key <> '' GROUP BY key), r AS (SELECT chunk_id, ord, name AS sn, key AS sk, lead(name) OVER w AS xn, lead(key) OVER w AS xk FROM k WINDOW w AS (PARTITION BY chunk_id ORDER BY ord)), c AS (SELECT r.chunk_id, r.ord, coalesce(a.name, {_TRIM('sn')}) AS s, coalesce(b.name, {_TRIM('xn')}) AS o FROM r LEFT JOIN m a ON a.key = sk LEFT JOIN m b ON b.key = xk WHERE xn IS NOT NULL), rl AS (SELECT arg_min(s, (chunk_id, ord)) AS subject, 'RELATES_TO' AS predicate, arg_min(o, (chunk_id, ord)) AS object, count(*) AS n FROM c WHERE lower(s) <> lower(o) GROUP BY lower(s), lower(o)), dg AS (SELECT low, count(*) AS degree FROM (SELECT lower(subject) AS low FROM rl UNION ALL SELECT lower(object) FROM rl) GROUP BY low), mn AS (SELECT key, arg_min(name, (chunk_id, ord)) AS name, arg_min(type, (chunk_id, ord)) AS type, count(DISTINCT chunk_id) AS n_chunks FROM k WHERE key <> '' GROUP BY key) SELECT key, name, type, n_chunks, coalesce(degree, 0) AS degree FROM mn LEFT JOIN dg ON low = lower(name)",
     "relation_distinct": f"WITH {VIEWS}, e AS (SELECT v.*, l.ingested_at FROM edge_v v JOIN edge_l l USING (id) WHERE v.source <> v.target) SELECT arg_min(source, (ingested_at, id)) AS subject, arg_min(predicate, (ingested_at, id)) AS predicate, arg_min(target, (ingested_at, id)) AS object, count(*) AS n FROM e GROUP BY source, upper(predicate), target",
+    "node_texts": f"WITH {VIEWS} SELECT id, CASE WHEN trim(coalesce(description, '')) <> '' THEN name || ': ' || description ELSE name END AS text FROM node_l WHERE name IS NOT NULL",
+    "community_search": "WITH p AS (SELECT id, len(l) AS length, unnest(l) AS term FROM (SELECT id, list_filter(string_split_regex(lower(concat_ws(' ', name, summary, themes)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS l FROM communities)), f AS (SELECT id, term, length, count(*) AS tf FROM p GROUP BY ALL), st AS (SELECT (SELECT count(*) FROM communities) AS n, (SELECT sum(tf) FROM f) / (SELECT count(*) FROM communities)::DOUBLE AS mean), w AS (SELECT term, mean, CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END AS idf FROM (SELECT term, count(*) AS df FROM f WHERE term IN ('vector', 'graph', 'index') GROUP BY term), st) SELECT id AS chunk_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM f JOIN w USING (term) GROUP BY id",
     "postings": f"WITH {VIEWS}, {_POST} SELECT * FROM post",
     "doc_freq": f"WITH {VIEWS}, {_POST} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term",
     "bm25_search": f"WITH {VIEWS}, {_POST}, st AS (SELECT (SELECT count(*) FROM chunk_l) AS n, (SELECT sum(tf) FROM post) / (SELECT count(*) FROM chunk_l)::DOUBLE AS mean), q AS (SELECT term, count(*) AS df FROM post WHERE term IN ('graph', 'vector', 'query') GROUP BY term), w AS (SELECT term, CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END AS idf, mean FROM q, st) SELECT chunk_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM post JOIN w USING (term) GROUP BY chunk_id HAVING count(*) = 3 ORDER BY score DESC, chunk_id LIMIT 50",
