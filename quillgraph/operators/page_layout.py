@@ -5,11 +5,13 @@ Segments are ``(page_id, seg_id, text, confidence, x, y, w, h)``; a page is smal
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows: gap of tops in shares of the mean height; cells: gap of sides in shares of the mean height.
 ROW_GAP, CELL_GAP = 0.75, 1.5
+# What stands before an entry of a list.
+LIST_MARK = r"^\s*(?:[•●◦▪*-]|\d{1,3}[.)])\s+"
 
 
 def doubtful(segments: DataFrame, least: float = 60.0) -> DataFrame:
@@ -24,13 +26,31 @@ def confidence_buckets(segments: DataFrame) -> DataFrame:
     return segments.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(c >= 80).alias("high"), F.count_if((c >= 60) & (c < 80)).alias("medium"), F.count_if(c < 60).alias("low"), F.round(F.avg(c), 2).alias("mean"))
 
 
+def normal_boxes(segments: DataFrame, pages: DataFrame) -> DataFrame:
+    """Segments with their boxes in shares of the page, from ``pages`` ``(page_id, width, height)``; null where it has no size."""
+    share = lambda c, of: F.when(F.col(of) > 0, F.round(F.col(c) / F.col(of), 6))
+    met = segments.join(pages.select("page_id", "width", "height"), "page_id", "left")
+    return met.select(*segments.columns, share("x", "width").alias("nx"), share("y", "height").alias("ny"), share("w", "width").alias("nw"), share("h", "height").alias("nh"))
+
+
 def rows_and_cells(segments: DataFrame) -> DataFrame:
-    """Segments with their row and cell on the page: a new row where tops are further apart than ROW_GAP of the mean
-    height, a new cell where sides are further apart than CELL_GAP of it.  Boxes without size are left out."""
+    """Segments with their row and cell on the page: a new row where a top is further than ROW_GAP of the mean height from
+    the mean of the tops of the row so far, a new cell where sides are further apart than CELL_GAP of it.  Boxes without
+    size are left out."""
     page = Window.partitionBy("page_id")
     rows = segments.where("w > 0 AND h > 0").withColumn("mean_h", F.avg("h").over(page))
-    down = page.orderBy("y", "x", "seg_id")
-    rows = rows.withColumn("row", F.sum(F.when(F.col("y") - F.lag("y").over(down) > ROW_GAP * F.col("mean_h"), 1).otherwise(0)).over(down))
+    # the tops of a page are folded from above; each opens a row or joins the last one and moves its mean
+    tops = rows.groupBy("page_id", "mean_h").agg(F.array_sort(F.collect_list(F.struct("y", "x", "seg_id"))).alias("s"))
+    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        y = s["y"].cast("double")
+        far = (a["n"] == 0) | (F.abs(y - a["sum"] / F.greatest(a["n"], F.lit(1))) > ROW_GAP * F.col("mean_h"))
+        row = F.when(far, a["row"] + 1).otherwise(a["row"])
+        return F.struct(row.alias("row"), F.when(far, y).otherwise(a["sum"] + y).alias("sum"), F.when(far, 1).otherwise(a["n"] + 1).alias("n"), F.concat(a["out"], F.array(row)).alias("out"))
+
+    placed = tops.select("page_id", "s", F.aggregate("s", start, step)["out"].alias("r")).select("page_id", F.explode(F.arrays_zip("s", "r")).alias("z")).select("page_id", F.col("z.s.seg_id").alias("seg_id"), F.col("z.r").cast("bigint").alias("row"))
+    rows = rows.join(placed, ["page_id", "seg_id"])
     along = Window.partitionBy("page_id", "row").orderBy("x", "seg_id")
     gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(along)
     return rows.withColumn("cell", F.sum(F.when(gap >= CELL_GAP * F.col("mean_h"), 1).otherwise(0)).over(along)).drop("mean_h")
@@ -71,7 +91,9 @@ def markdown(segments: DataFrame) -> DataFrame:
     median = ordered.groupBy("page_id").agg(F.percentile("h", 0.5).alias("median"))
     w = Window.partitionBy("page_id").orderBy("place")
     rows = ordered.join(median, "page_id").withColumn("gap", F.col("y") - F.lag("y").over(w))
-    mark = F.when(F.col("h") >= 2 * F.col("median"), "# ").when(F.col("h") >= 1.5 * F.col("median"), "## ").otherwise("")
-    opens = F.when(F.col("gap").isNull(), "").when((mark != "") | (F.col("gap") > 2.2 * F.col("median")) | (F.col("gap") < 0), "\n\n").otherwise("\n")
-    line = F.concat(opens, mark, F.col("text"))
+    head = F.when(F.col("h") >= 2 * F.col("median"), "# ").when(F.col("h") >= 1.5 * F.col("median"), "## ").otherwise("")
+    bullet = F.col("text").rlike(LIST_MARK)
+    mark = F.when((head == "") & bullet, "- ").otherwise(head)
+    opens = F.when(F.col("gap").isNull(), "").when((head != "") | (F.col("gap") > 2.2 * F.col("median")) | (F.col("gap") < 0), "\n\n").otherwise("\n")
+    line = F.concat(opens, mark, F.when((head == "") & bullet, F.regexp_replace("text", LIST_MARK, "")).otherwise(F.col("text")))
     return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda s: s["line"]), "").alias("text"))
