@@ -13,6 +13,10 @@ def weighted_pairs(view: DataFrame) -> DataFrame:
     return view.where("source <> target").groupBy(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).agg(F.sum("weight").alias("w"))
 
 
+#: Rounds end when fewer than this share of the nodes has moved.
+SETTLED = 0.005
+
+
 def move_nodes(pairs: DataFrame, rounds: int = 10, resolution: float = 1.0) -> DataFrame:
     """``(node, community)``; communities are named by one of their nodes.  Rows with ``u = v`` are weights inside a node.
 
@@ -22,7 +26,7 @@ def move_nodes(pairs: DataFrame, rounds: int = 10, resolution: float = 1.0) -> D
     ends = pairs.select(F.explode(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))).alias("e")).select("e.u", "e.v", "e.w")
     both = cut(ends.where("u <> v"), "cm-edges")
     degree = cut(ends.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")), "cm-degree")
-    total = degree.agg(F.sum("k")).first()[0]
+    total, n = degree.agg(F.sum("k"), F.count("*")).first()
     if not total:
         return degree.select("node", F.col("node").alias("community"))
     labels = cut(degree.select("node", F.col("node").alias("community"), "k"), "cm")
@@ -35,12 +39,13 @@ def move_nodes(pairs: DataFrame, rounds: int = 10, resolution: float = 1.0) -> D
         may = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
         moved = labels.join(best, "node", "left").select("node", F.when(may & (F.col("b.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12), F.col("b.community")).otherwise(F.col("community")).alias("community"), "k", F.col("community").alias("before"))
         moved = cut(moved, "cm")
-        changed = moved.where("community <> before").limit(1).count()
+        changed = moved.where("community <> before").count()
         drop_cut(labels)
         labels = moved.drop("before")
         labels._quill_path = moved._quill_path  # noqa: SLF001
-        if turn > 2 and not changed:
+        if turn > 2 and changed <= SETTLED * n:
             break
+    drop_cut(both)
     return labels.select("node", "community")
 
 

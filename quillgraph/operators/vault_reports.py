@@ -117,7 +117,8 @@ def normal_layout(nodes: DataFrame, size: float = 1000.0) -> DataFrame:
 def spiral_layout(degrees: DataFrame, leaf: int = 2, inner: float = 320.0, outer: float = 1000.0) -> DataFrame:
     """``(node, x, y)``: nodes of degree under ``leaf`` on a sunflower spiral between two radii.
 
-    The place of a node is its rank by node key, counted per range of keys first, so no single task sorts all nodes.
+    The place of a node is its rank in an order of 256 parts by a hash of the key, and of keys within them; the parts are
+    counted first, so no single task sorts all nodes.
     """
     leaves = degrees.where(F.col("degree") < leaf).select("node", F.pmod(F.xxhash64("node"), F.lit(256)).alias("part"))
     before = leaves.groupBy("part").agg(F.count("*").alias("c"))
