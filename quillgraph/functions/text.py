@@ -155,8 +155,6 @@ def retagged(column: str | Column, tags: str | Column) -> Column:
 
 
 def unfenced(column: str | Column) -> Column:
-    """A text without the regions between ``---`` lines and without those lines."""
-    lines = F.split(_c(column), "\n")
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("kept"))
-    step = lambda s, line: F.struct(F.when(F.trim(line) == "---", ~s["inside"]).otherwise(s["inside"]).alias("inside"), F.when((F.trim(line) == "---") | s["inside"], s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"))
-    return F.aggregate(lines, start, step, lambda s: F.array_join(s["kept"], "\n"))
+    """A text without the regions between ``---`` lines and without those lines; a region that never ends goes on to the end."""
+    pieces = F.split(F.concat(F.lit("\n"), _c(column)), r"\n *--- *(?=\n|\z)")  # every second piece lies inside
+    return F.substr(F.array_join(F.filter(pieces, lambda p, i: i % 2 == 0), ""), F.lit(2))

@@ -22,6 +22,14 @@ def note_listing(notes: DataFrame, prov: DataFrame) -> DataFrame:
     return rows.join(counts, "note", "left").select("id", "title", "n_words", "n_chars", "preview", "n_tags", F.coalesce("n_entities", F.lit(0)).alias("n_entities"))
 
 
+def note_entities(notes: DataFrame, nodes: DataFrame, prov: DataFrame) -> DataFrame:
+    """``(id, title, entity_id, entity_name, entity_type)``: the nodes drawn from each note, once each."""
+    drawn = prov.select(F.regexp_replace("chunk", r"_chunk_[^_]*$", "").alias("note"), F.col("id").alias("entity_id")).distinct()
+    named = nodes.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), F.col("type").alias("entity_type"))
+    own = notes.select("id", key("id").alias("note"), "title")
+    return own.join(drawn, "note").join(named, "entity_id").select("id", "title", "entity_id", "entity_name", "entity_type")
+
+
 def gallery_search(notes: DataFrame, text: str) -> DataFrame:
     """``(id)`` of notes whose title, preview or tags hold the text, in any case."""
     low = text.lower()
