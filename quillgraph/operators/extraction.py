@@ -85,7 +85,7 @@ def distinct_relations(relations: DataFrame, subject: str, predicate: str, obj:
     return first.select(F.col("x")[subject].alias("subject"), F.col("x")[predicate].alias("predicate"), F.col("x")[obj].alias("object"), "n")
 
 
-ANSWER = "struct<entities:array<struct<name:string,type:string,description:string,confidence:string>>,relations:array<struct<subject:string,predicate:string,object:string,description:string,confidence:string>>>"
+ANSWER = "entities array<struct<name:string,type:string,description:string,confidence:string>>, relations array<struct<subject:string,predicate:string,object:string,description:string,confidence:string>>"
 
 
 def parse_answers(answers: DataFrame, id_col: str = "chunk_id", text_col: str = "answer") -> tuple[DataFrame, DataFrame]:
@@ -95,7 +95,7 @@ def parse_answers(answers: DataFrame, id_col: str = "chunk_id", text_col: str =
     ``CONCEPT``, ``RELATES_TO``, 0.95 and 0.90; an answer that is no JSON gives nothing.
     """
     inner = F.regexp_extract(F.col(text_col), r"(?s)(\{.*\})", 1)
-    parsed = answers.select(F.col(id_col).alias("chunk_id"), F.from_json(inner, ANSWER[7:-1].replace("entities:", "entities ", 1).replace(",relations:", ", relations ", 1)).alias("a"))
+    parsed = answers.select(F.col(id_col).alias("chunk_id"), F.from_json(inner, ANSWER).alias("a"))
     code = lambda c, default: F.regexp_replace(F.upper(stripped(F.when(F.coalesce(stripped(F.col(c)), F.lit("")) == "", default).otherwise(F.col(c)))), r"\s", "_")
     entities = parsed.select("chunk_id", F.posexplode("a.entities").alias("ord", "e")).select("chunk_id", "ord", stripped("e.name").alias("name"), code("e.type", "CONCEPT").alias("type"), "e.description", F.coalesce(F.expr("try_cast(e.confidence AS double)"), F.lit(0.95)).alias("confidence")).where("name <> ''")
     relations = parsed.select("chunk_id", F.posexplode("a.relations").alias("ord", "r")).select("chunk_id", "ord", stripped("r.subject").alias("subject"), code("r.predicate", "RELATES_TO").alias("predicate"), stripped("r.object").alias("object"), "r.description", F.coalesce(F.expr("try_cast(r.confidence AS double)"), F.lit(0.90)).alias("confidence")).where("subject <> '' AND object <> ''")

@@ -39,18 +39,20 @@ def rows_and_cells(segments: DataFrame) -> DataFrame:
     size are left out."""
     page = Window.partitionBy("page_id")
     rows = segments.where("w > 0 AND h > 0").withColumn("mean_h", F.avg("h").over(page))
-    # the tops of a page are folded from above; each opens a row or joins the last one and moves its mean
-    tops = rows.groupBy("page_id", "mean_h").agg(F.array_sort(F.collect_list(F.struct("y", "x", "seg_id"))).alias("s"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    # the different tops of a page are folded from above (equal ones share a row); each opens a row or joins the last one
+    # and moves its mean
+    met = rows.groupBy("page_id", "mean_h", "y").agg(F.count("*").alias("k"))
+    tops = met.groupBy("page_id", "mean_h").agg(F.array_sort(F.collect_list(F.struct("y", "k"))).alias("s"))
+    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        y = s["y"].cast("double")
+        y, k = s["y"].cast("double"), s["k"]
         far = (a["n"] == 0) | (F.abs(y - a["sum"] / F.greatest(a["n"], F.lit(1))) > ROW_GAP * F.col("mean_h"))
         row = F.when(far, a["row"] + 1).otherwise(a["row"])
-        return F.struct(row.alias("row"), F.when(far, y).otherwise(a["sum"] + y).alias("sum"), F.when(far, 1).otherwise(a["n"] + 1).alias("n"), F.concat(a["out"], F.array(row)).alias("out"))
+        return F.struct(row.alias("row"), F.when(far, y * k).otherwise(a["sum"] + y * k).alias("sum"), F.when(far, k).otherwise(a["n"] + k).alias("n"), F.concat(a["out"], F.array(row)).alias("out"))
 
-    placed = tops.select("page_id", "s", F.aggregate("s", start, step)["out"].alias("r")).select("page_id", F.explode(F.arrays_zip("s", "r")).alias("z")).select("page_id", F.col("z.s.seg_id").alias("seg_id"), F.col("z.r").cast("bigint").alias("row"))
-    rows = rows.join(placed, ["page_id", "seg_id"])
+    placed = tops.select("page_id", "s", F.aggregate("s", start, step)["out"].alias("r")).select("page_id", F.explode(F.arrays_zip("s", "r")).alias("z")).select("page_id", F.col("z.s.y").alias("y"), F.col("z.r").cast("bigint").alias("row"))
+    rows = rows.join(placed, ["page_id", "y"])
     along = Window.partitionBy("page_id", "row").orderBy("x", "seg_id")
     gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(along)
     return rows.withColumn("cell", F.sum(F.when(gap >= CELL_GAP * F.col("mean_h"), 1).otherwise(0)).over(along)).drop("mean_h")

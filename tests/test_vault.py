@@ -64,3 +64,26 @@ def test_node_search_and_incident(spark):
     assert [r.id for r in vault.node_search(nodes, "vector", 2).collect()] == ["n2", "n1"]
     view = vault.edge_view(build(spark, False)[1])
     assert ids(vault.incident_edges(view, spark.createDataFrame([("p",), ("s",)], "node string"))) == {"e1", "e2"}
+
+
+def test_unfenced_regions(spark):
+    from quillgraph.functions.text import unfenced
+
+    cases = {"": "", "---": "", "---\na\n---\nb": "b", "\n---\na\n---": "", "a\n ---  \nb": "a", "a\n---\n---\nb\n": "a\nb\n", "a --- b": "a --- b", "---\r\na": "---\r\na", "x\n---": "x"}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "t string, want string")
+    got = df.select("want", unfenced("t").alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_entities_and_topic_of_notes(spark):
+    from quillgraph.operators import classify
+    from quillgraph.operators.vault_reports import note_entities
+
+    notes = spark.createDataFrame([("N1", "One", "x"), ("n2", None, "y")], "id string, title string, entity_id string")
+    nodes = spark.createDataFrame([("e1", "Ada", "PERSON"), ("e2", None, None)], "id string, name string, type string")
+    prov = spark.createDataFrame([("e1", "n1_chunk_0"), ("e1", "n1_chunk_1"), ("e2", "n1_chunk_0"), ("e9", "n1_chunk_0"), ("e1", "n7_chunk_0")], "id string, chunk string")
+    rows = {tuple(r) for r in note_entities(notes.drop("entity_id"), nodes, prov).collect()}
+    assert rows == {("N1", "One", "e1", "Ada", "PERSON"), ("N1", "One", "e2", None, None)}
+    assert note_entities(notes.limit(0).drop("entity_id"), nodes, prov).count() == 0
+    scores = spark.createDataFrame([(1, "B", 2.0, 50.0), (1, "A", 2.0, 50.0), (2, "C", 1.0, 100.0)], "id int, topic string, score double, percent double")
+    assert {tuple(r) for r in classify.leading_topic(scores).collect()} == {(1, "A", 50.0), (2, "C", 100.0)}
