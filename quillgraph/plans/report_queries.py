@@ -158,7 +158,11 @@ FROM (SELECT *, round((p - n) / greatest(1, p + n)::DOUBLE, 2) AS s FROM (SELECT
 _W = f"WITH {VIEWS}"
 _TAGS = r"list_filter(list_transform(string_split(regexp_replace(coalesce(tags, ''), '[\[\]\"'']', '', 'g'), ','), lambda s: trim(s)), lambda s: s <> '')"
 _PREVIEW = _TRIM(r"regexp_replace(substr(coalesce(raw_content, ''), 1, 240), '[ \t\n\r\f\v]+', ' ', 'g')") + " || CASE WHEN length(coalesce(raw_content, '')) > 240 THEN '...' ELSE '' END"
+_FIELD = lambda name, value: f"CASE WHEN {value} IS NOT NULL THEN '\"{name}\":' || to_json({value})::VARCHAR END"
+_OBJECT = lambda **fields: "'{' || concat_ws(',', " + ", ".join(_FIELD(k, v) for k, v in fields.items()) + ") || '}'"
 ORACLE = {
+    "export_jsonld": f"{_W} SELECT id, {_OBJECT(**{'@id': f"('{reports.RESOURCE}' || id)", 'name': 'name', 'type': 'type', 'description': 'description'})} AS json FROM node_l",
+    "export_elements": f"{_W} SELECT 'node' AS kind, id, '{{\"data\":' || {_OBJECT(id='id', label='name', type='type', degree='coalesce(degree, 0)')} || coalesce(',\"position\":{{\"x\":' || to_json(layout_x)::VARCHAR || ',\"y\":' || to_json(layout_y)::VARCHAR || '}}', '') || '}}' AS json FROM node_l UNION ALL SELECT 'edge', id, '{{\"data\":' || {_OBJECT(id='id', source='source', target='target', label='predicate', weight='weight')} || '}}' FROM edge_v",
     "classify_topics": f"WITH {_topics_sql()} SELECT * FROM tp",
     "classify_tone": f"WITH {_TONE} SELECT * FROM tn",
     "auto_tags": f"WITH {_topics_sql()}, {_TONE}, ch AS (SELECT id, replace(lower(topic), ' ', '_') AS tag, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS r, percent, list_slice(list_filter(string_split(matched, ', '), lambda w: w <> ''), 1, 2) AS ws FROM tp), al AS (SELECT id, r AS k, 0 AS j, tag FROM ch WHERE r = 1 OR (r <= 3 AND percent >= 15) UNION ALL SELECT id, 10, 0, 'sentiment_' || sentiment FROM tn UNION ALL SELECT id, 11, 0, 'prio_' || priority FROM tn UNION ALL SELECT id, 20 + r, unnest(range(len(ws))), replace(lower(unnest(ws)), ' ', '_') FROM ch), un AS (SELECT id, tag, min((k, j)) AS o FROM al GROUP BY id, tag) SELECT id, string_agg(tag, ' ' ORDER BY o) AS tags FROM (SELECT * FROM un QUALIFY row_number() OVER (PARTITION BY id ORDER BY o) <= 8) GROUP BY id",
