@@ -40,20 +40,22 @@ def rows_of(df: DataFrame, ids: DataFrame, by: str = "id") -> DataFrame:
 
 
 def updated_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
-    """Notes with title and content of ``changes`` ``(id, title, raw_content)`` written over theirs; a null leaves the old."""
-    new = changes.select("id", F.col("title").alias("_t"), F.col("raw_content").alias("_c"))
+    """Notes with title and content of ``changes`` ``(id, title, raw_content)`` written over theirs; a null leaves the old.
+    Of several values for an id the greatest counts."""
+    new = changes.groupBy("id").agg(F.max("title").alias("_t"), F.max("raw_content").alias("_c"))
     return notes.join(new, "id", "left").withColumn("title", F.coalesce("_t", "title")).withColumn("raw_content", F.coalesce("_c", "raw_content")).drop("_t", "_c")
 
 
 def updated_chunks(chunks: DataFrame, changes: DataFrame) -> DataFrame:
-    """Chunks of changed notes ``(id, raw_content)``: each has the note's whole new text."""
-    new = changes.where("raw_content IS NOT NULL").select(key("id").alias("_k"), F.col("raw_content").alias("_c"))
+    """Chunks of changed notes ``(id, raw_content)``: each has the note's whole new text (of several the greatest)."""
+    new = changes.where("raw_content IS NOT NULL").groupBy(key("id").alias("_k")).agg(F.max("raw_content").alias("_c"))
     return chunks.join(new, key("note_id") == F.col("_k"), "left").withColumn("text", F.coalesce("_c", "text")).drop("_k", "_c")
 
 
 def placed_nodes(nodes: DataFrame, layout: DataFrame) -> DataFrame:
-    """Nodes with the coordinates of ``layout`` ``(id, x, y)``; an id without a node becomes a node of the type NOTE."""
-    put = layout.select("id", "x", "y")
+    """Nodes with the coordinates of ``layout`` ``(id, x, y)``; an id without a node becomes a node of the type NOTE.
+    Of several places for an id the greatest counts."""
+    put = layout.groupBy("id").agg(F.max(F.struct("x", "y")).alias("p")).select("id", "p.x", "p.y")
     moved = nodes.join(put, "id", "left").withColumn("layout_x", F.coalesce("x", "layout_x")).withColumn("layout_y", F.coalesce("y", "layout_y")).drop("x", "y")
     new = put.join(nodes.select("id"), "id", "left_anti").select("id", F.col("id").alias("name"), F.lit("NOTE").alias("type"), F.col("x").alias("layout_x"), F.col("y").alias("layout_y"))
     return moved.unionByName(new, allowMissingColumns=True)

@@ -87,3 +87,14 @@ def test_entities_and_topic_of_notes(spark):
     assert note_entities(notes.limit(0).drop("entity_id"), nodes, prov).count() == 0
     scores = spark.createDataFrame([(1, "B", 2.0, 50.0), (1, "A", 2.0, 50.0), (2, "C", 1.0, 100.0)], "id int, topic string, score double, percent double")
     assert {tuple(r) for r in classify.leading_topic(scores).collect()} == {(1, "A", 50.0), (2, "C", 100.0)}
+
+
+def test_repeated_changes_do_not_multiply_rows(spark):
+    notes = spark.createDataFrame([("a", "A", "old"), ("b", None, "kept")], "id string, title string, raw_content string")
+    changes = spark.createDataFrame([("a", None, "new"), ("a", None, "new"), ("a", None, None), ("z", "Z", "z"), (None, "N", "n")], "id string, title string, raw_content string")
+    assert sorted(tuple(r) for r in vault.updated_notes(notes, changes).select("id", "title", "raw_content").collect()) == [("a", "A", "new"), ("b", None, "kept")]
+    chunks = spark.createDataFrame([("a_chunk_0", " A ", "x"), ("q", None, "y")], "id string, note_id string, text string")
+    assert sorted(tuple(r) for r in vault.updated_chunks(chunks, changes).select("id", "text").collect()) == [("a_chunk_0", "new"), ("q", "y")]
+    nodes = spark.createDataFrame([("a", "A", "PERSON", 1.0, 1.0)], "id string, name string, type string, layout_x double, layout_y double")
+    layout = spark.createDataFrame([("a", 2.0, 2.0), ("a", 2.0, 2.0), ("m", 0.0, 0.0), ("m", 0.0, 0.0)], "id string, x double, y double")
+    assert sorted(tuple(r) for r in vault.placed_nodes(nodes, layout).select("id", "type", "layout_x").collect()) == [("a", "PERSON", 2.0), ("m", "NOTE", 0.0)]
