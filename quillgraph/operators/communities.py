@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillgraph.session import cut, drop_cut
@@ -20,30 +20,33 @@ SETTLED = 0.005
 def move_nodes(pairs: DataFrame, rounds: int = 10, resolution: float = 1.0) -> DataFrame:
     """``(node, community)``; communities are named by one of their nodes.  Rows with ``u = v`` are weights inside a node.
 
-    In every round each node weighs its neighbours' communities: w(node, c) - resolution * k(node) * k(c) / 2m.  Half of
-    the nodes, chosen by a hash of node and round, may move at once, so neighbours do not swap places for ever.
+    In every round each node weighs its neighbours' communities and its own: w(node, c) - resolution * k(node) * k(c) / 2m,
+    k(c) without the node itself.  Half of the nodes, chosen by a hash of node and round, may move at once, so neighbours do
+    not swap places for ever.  A node's own community comes as a row of weight 0, and k(node) lies on its edges, so a round
+    joins the edges with the labels once and the sums with the communities' sizes.  The result is a cut table.
     """
     ends = pairs.select(F.explode(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))).alias("e")).select("e.u", "e.v", "e.w")
-    both = cut(ends.where("u <> v"), "cm-edges")
     degree = cut(ends.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")), "cm-degree")
     total, n = degree.agg(F.sum("k"), F.count("*")).first()
     if not total:
         return degree.select("node", F.col("node").alias("community"))
-    labels = cut(degree.select("node", F.col("node").alias("community"), "k"), "cm")
+    both = cut(ends.where("u <> v").join(degree.select(F.col("node").alias("u"), "k"), "u"), "cm-edges")
+    labels, old = degree.select("node", F.col("node").alias("community"), "k"), degree
     for turn in range(rounds):
         size = labels.groupBy("community").agg(F.sum("k").alias("kc"))
-        to = both.join(labels.select(F.col("node").alias("v"), "community"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("w"))
-        own = labels.select("node", F.col("community").alias("own"), "k")
-        gain = to.join(size, "community").join(own, "node").withColumn("gain", F.col("w") - resolution * F.col("k") * (F.col("kc") - F.when(F.col("own") == F.col("community"), F.col("k")).otherwise(0.0)) / total)
-        best = gain.groupBy("node").agg(F.max(F.struct("gain", "community")).alias("b"), F.max(F.when(F.col("own") == F.col("community"), F.col("gain"))).alias("stay"))
+        near = both.join(labels.select(F.col("node").alias("v"), "community"), "v").select(F.col("u").alias("node"), "community", "w", "k", F.lit(False).alias("own"))
+        here = labels.select("node", "community", F.lit(0.0).alias("w"), "k", F.lit(True).alias("own"))
+        to = near.unionByName(here).groupBy("node", "community").agg(F.sum("w").alias("w"), F.max("k").alias("k"), F.max("own").alias("own"))
+        gain = to.join(size, "community").withColumn("gain", F.col("w") - resolution * F.col("k") * (F.col("kc") - F.when(F.col("own"), F.col("k")).otherwise(0.0)) / total)
+        best = gain.groupBy("node").agg(F.max(F.struct("gain", "community")).alias("b"), F.max(F.when(F.col("own"), F.struct("community", "gain"))).alias("stay"), F.max("k").alias("k"))
         may = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-        moved = labels.join(best, "node", "left").select("node", F.when(may & (F.col("b.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12), F.col("b.community")).otherwise(F.col("community")).alias("community"), "k", F.col("community").alias("before"))
-        moved = cut(moved, "cm")
-        changed = moved.where("community <> before").count()
-        drop_cut(labels)
-        labels = moved.drop("before")
-        labels._quill_path = moved._quill_path  # noqa: SLF001
-        if turn > 2 and changed <= SETTLED * n:
+        goes = may & (F.col("b.gain") > F.col("stay.gain") + 1e-12)
+        moved = best.select("node", F.when(goes, F.col("b.community")).otherwise(F.col("stay.community")).alias("community"), "k", goes.alias("goes"))
+        seen = Observation()
+        table = cut(moved.observe(seen, F.count_if("goes").alias("changed")), "cm")
+        drop_cut(old)
+        labels, old = table.drop("goes"), table
+        if turn > 2 and seen.get["changed"] <= SETTLED * n:
             break
     drop_cut(both)
     return labels.select("node", "community")
@@ -51,14 +54,14 @@ def move_nodes(pairs: DataFrame, rounds: int = 10, resolution: float = 1.0) -> D
 
 def detect(pairs: DataFrame, levels: int = 3, rounds: int = 10, resolution: float = 1.0) -> DataFrame:
     """``(node, community)`` by moving nodes, then whole communities as nodes of a smaller graph, and so on."""
-    labels = cut(move_nodes(pairs, rounds, resolution), "cm-level")
+    labels = move_nodes(pairs, rounds, resolution)
     graph = pairs
     for _ in range(levels - 1):
         step = labels if graph is pairs else upper
         a, b = step.select(F.col("node").alias("u"), F.col("community").alias("cu")), step.select(F.col("node").alias("v"), F.col("community").alias("cv"))
         graph = cut(graph.join(a, "u").join(b, "v").groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w")), "cm-graph")
-        upper = cut(move_nodes(graph, rounds, resolution), "cm-level")
-        if not upper.where("node <> community").limit(1).count():
+        upper = move_nodes(graph, rounds, resolution)
+        if upper.where("node <> community").isEmpty():
             break
         labels = cut(labels.join(upper.select(F.col("node").alias("community"), F.col("community").alias("top")), "community", "left").select("node", F.coalesce("top", "community").alias("community")), "cm-level")
     return labels
