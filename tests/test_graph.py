@@ -222,3 +222,15 @@ def test_vector_search(spark):
 
 def test_catalogue():
     assert set(catalogue.ORACLE) <= set(catalogue.QUERIES) and len(catalogue.QUERIES) > 60
+
+
+def test_moves_of_nodes_with_loops_without_weight_and_without_rows(spark):
+    def moved(rows):
+        pairs = spark.createDataFrame(rows, "u string, v string, w double")
+        return dict(map(tuple, communities.move_nodes(pairs, 5).collect()))
+
+    assert moved([]) == {}
+    assert moved([("a", "a", 1.0)]) == {"a": "a"}
+    assert moved([("a", "b", 0.0)]) == {"a": "a", "b": "b"}
+    found = moved([("a", "b", 1.0), ("c", "d", 2.0), ("a", "a", 1.0)])
+    assert found["a"] == found["b"] != found["c"] == found["d"]
