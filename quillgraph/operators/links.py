@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import clean_stem, lexical_tokens, stripped, wikilinks
 from quillgraph.operators.pairs import pairs_within
 from quillgraph.operators.references import key
+from quillgraph.session import cut, lookup
 
 #: Names of fewer characters are not looked for in texts; weight of a link by a shared entity, and of a relation without weight.
 LEAST_NAME, SHARED_WEIGHT, PLAIN_WEIGHT = 4, 0.85, 0.8
 #: Least cosine similarity of two notes that are linked by their texts.
 SIMILAR = 0.70
-#: The mark that is put around the words of a text, so that whole words are found by a plain search.
-_MARK = "\x01"
+#: Names of up to so many words are found in texts by equality, longer ones meet by a part of so many words.
+GRAM = 3
+#: A letter of a word; the mark that is put around the words of a text, so that whole words are found by a plain search.
+_WORD, _MARK = r"[\p{L}\p{N}_]", "\x01"
 
 
 def aliases(notes: DataFrame) -> DataFrame:
@@ -52,26 +55,44 @@ def entity_notes(prov: DataFrame, chunks: DataFrame, notes: DataFrame) -> DataFr
 
 def _marked(column: str | Column) -> Column:
     """A text in lower case with a mark on both sides of every word."""
-    return F.regexp_replace(F.lower(column), r"[\p{L}\p{N}_]+", f"{_MARK}$0{_MARK}")
+    return F.regexp_replace(F.lower(column), rf"{_WORD}+", f"{_MARK}$0{_MARK}")
+
+
+def _phrases(column: str | Column, words: int) -> Column:
+    """All runs of so many words of a text in lower case, with what stands between the words; runs may overlap."""
+    return F.regexp_extract_all(column, F.lit(rf"(?<!{_WORD})(?=(" + rf"[^\p{{L}}\p{{N}}_]++".join([rf"{_WORD}++"] * words) + "))"), 1)
 
 
 def mentions(nodes: DataFrame, notes: DataFrame) -> DataFrame:
     """``(entity, note)``: notes in whose title or content an entity's name stands as whole words, in any case.
 
-    Names under four characters and ``untitled...`` are not looked for.  Names and notes meet by an equality join on the
-    name's rarest word, then the whole name is looked up in the text.  Null names and texts match nothing.
+    Names under four characters and ``untitled...`` are not looked for.  Names and notes meet by an equality join: on the
+    whole name, if it is a run of up to GRAM words, else on its rarest run of GRAM words, and then the whole name is
+    looked up in the text; a name without words meets every text.  Equal names are looked for once.  Null names and
+    texts match nothing.
     """
-    names = nodes.select(key("id").alias("entity"), stripped("name").alias("name")).where(F.length("name") >= LEAST_NAME).where(~F.lower("name").startswith("untitled"))
-    names = names.select("entity", _marked("name").alias("sought"), F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"([\p{L}\p{N}_]+)"), 1)).alias("words")).distinct()
-    texts = notes.select(key("id").alias("note"), F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("raw_content", F.lit(""))).alias("text"))
-    held = texts.select("note", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("word"))
-    asked = names.select("entity", "sought", F.explode("words").alias("word"))
-    held = held.join(asked.select("word").distinct(), "word", "left_semi")
-    counts = held.groupBy("word").agg(F.count("*").alias("n"))
-    # a name with a word that no note has is in no note
-    rare = asked.join(counts, "word", "left").groupBy("entity", "sought").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).where("r.n > 0").select("entity", "sought", "r.word")
-    pairs = rare.join(held, "word").select("entity", "sought", "note")
-    return pairs.join(texts.select("note", _marked("text").alias("text")), "note").where(F.contains("text", "sought")).select("entity", "note").distinct()
+    named = nodes.select(key("id").alias("entity"), stripped("name").alias("name")).where(F.length("name") >= LEAST_NAME).where(~F.lower("name").startswith("untitled")).select("entity", F.lower("name").alias("name")).distinct()
+    k = F.size(F.regexp_extract_all("name", F.lit(rf"({_WORD}+)"), 1))
+    plain = F.col("name").rlike(rf"^{_WORD}.*{_WORD}$|^{_WORD}$") & (k <= GRAM)
+    names = cut(named.select("name").distinct().withColumn("k", k).withColumn("plain", F.coalesce(plain, F.lit(False))), "names")
+    texts = notes.select(key("id").alias("note"), F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("raw_content", F.lit("")))).alias("text"))
+    asked = names.where("plain").select("name", F.col("name").alias("phrase"))
+    longer = reduce(DataFrame.unionByName, [names.where(~F.col("plain") & (F.least("k", F.lit(GRAM)) == n)).select("name", F.explode(_phrases("name", n)).alias("phrase")) for n in range(1, GRAM + 1)]).distinct()
+    sought = lookup(asked.select("phrase").union(longer.select("phrase")).distinct(), label="phrases")
+    grams = F.array_distinct(F.concat(*(_phrases("text", n) for n in range(1, GRAM + 1))))
+    held = cut(texts.select("note", F.explode(grams).alias("phrase")).join(sought, "phrase", "left_semi"), "note-phrases")
+    counts = held.groupBy("phrase").agg(F.count("*").alias("n"))
+    # a name with a run of words that no note has is in no note
+    rare = longer.join(counts, "phrase", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "phrase")).alias("r")).where("r.n > 0").select("name", "r.phrase")
+    marked = texts.select("note", _marked("text").alias("text"))
+    maybe = rare.join(held, "phrase").select("name", _marked("name").alias("sought"), "note")
+    wordless = lookup(names.where("k = 0").select("name"), label="wordless")
+    found = [
+        asked.join(held, "phrase").select("name", "note"),
+        maybe.join(marked, "note").where(F.contains("text", "sought")).select("name", "note"),
+        marked.join(wordless, F.contains("text", "name")).select("name", "note"),
+    ]
+    return named.join(reduce(DataFrame.unionByName, found), "name").select("entity", "note").distinct()
 
 
 def shared_entity_links(held: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import heapq
 import random
+import re
 from collections import defaultdict, deque
 from datetime import datetime as dt
 
@@ -176,6 +177,21 @@ def test_links_of_all_stages(spark):
     assert {(r.note, r["class"]) for r in links.shared_entity_classes(held).collect()} == {("c", "c"), ("d", "c"), ("e", "e")}
 
 
+def test_mentions_equal_a_plain_search(spark):
+    rng = random.Random(21)
+    words = ["graph", "node", "edge", "map", "α1"]
+    names = [sep.join(rng.choices(words, k=k)) for k in (1, 2, 3, 4, 5) for sep in (" ", "-", ", ") for _ in range(6)]
+    names += ["====", "(graph)", "c++ node", ".node edge map graph", "graph node edge map graph.", "Edge  Map", "no such word", "nograph", "gra", None]
+    nodes = spark.createDataFrame([(f"N{i}", n) for i, n in enumerate(names)], "id string, name string")
+    texts = [rng.choice(["", ". ", "("]).join([" ".join(rng.choices(words, k=4)), "-".join(rng.choices(words, k=3)), ", ".join(rng.choices(words, k=5))]) for _ in range(40)]
+    texts += ["a ==== b", "see (Graph).", "use C++ Node", "a.node edge map graph", "x .node edge map graph", "nographs", None]
+    notes = spark.createDataFrame([(f"t{i}", None, x) for i, x in enumerate(texts)], "id string, title string, raw_content string")
+    mark = lambda x: re.sub(r"\w+", "\1\\g<0>\1", x.lower())
+    want = {(f"n{i}", f"t{j}") for i, n in enumerate(names) if n and len(n) >= 4 for j, x in enumerate(texts) if mark(n) in mark(" " + (x or ""))}
+    got = [tuple(r) for r in links.mentions(nodes, notes).collect()]
+    assert set(got) == want and len(got) == len(want) > 200 and {("n90", f"t{len(texts) - 7}"), ("n93", f"t{len(texts) - 3}")} <= want
+
+
 def test_similar_pairs_are_exact(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(60)]
