@@ -3,20 +3,30 @@ entities, similar texts.  Each pair of notes is linked once, by the first stage
 
 from __future__ import annotations
 
+import math
+import pickle
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import clean_stem, lexical_tokens, stripped, wikilinks
 from quillgraph.operators.pairs import pairs_within
 from quillgraph.operators.references import key
-from quillgraph.session import cut, lookup
+from quillgraph.session import BROADCAST_KEYS, cut, lookup
 
 #: Names of fewer characters are not looked for in texts; weight of a link by a shared entity, and of a relation without weight.
 LEAST_NAME, SHARED_WEIGHT, PLAIN_WEIGHT = 4, 0.85, 0.8
 #: Least cosine similarity of two notes that are linked by their texts.
 SIMILAR = 0.70
+#: Vectors of a block (more where there are many) and codes of a block on average; cells of a product that a task holds; two
+#: blocks are multiplied as matrices at a code that more than this share of the pairs of their vectors have.
+LEAST_ROWS, MOST_ROWS, MOST_CODES, MOST_CELLS, DENSE = 4096, 16384, 1 << 22, 1 << 24, 0.004
 #: Names of up to so many words are found in texts by equality, longer ones meet by a part of so many words.
 GRAM = 3
 #: A letter of a word; the mark that is put around the words of a text, so that whole words are found by a plain search.
@@ -134,18 +144,130 @@ def term_vectors(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rated.select("id", "term", "df", (F.col("w") / norm).alias("w"))
 
 
+def _counted(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, terms, tf)``: the different terms of all texts of an id and how often each occurs.  Only ids that occur more
+    than once are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            words = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            size = max(1, len(words.dictionary))
+            both, tf = np.unique(row * size + words.indices.to_numpy(), return_counts=True)
+            starts = pa.array(np.searchsorted(both, np.arange(len(lists) + 1) * size).astype(np.int32))
+            terms = words.dictionary.take(pa.array(both % size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(starts, terms), pa.ListArray.from_arrays(starts, pa.array(tf.astype(np.int32)))], names=["id", "terms", "tf"])
+
+    rows = texts.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), lexical_tokens(F.coalesce(text_col, F.lit(""))).alias("tokens"))
+    again = lookup(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), label="repeated-ids")
+    merged = rows.join(again, "id", "left_semi").groupBy("id").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    return rows.join(again, "id", "left_anti").unionByName(merged).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, terms array<string>, tf array<int>")
+
+
+def similar_texts(texts: DataFrame, id_col: str, text_col: str, least: float = SIMILAR) -> DataFrame:
+    """:func:`similar_pairs` of the texts' :func:`term_vectors`, without a row for each text and term."""
+    counted = cut(_counted(texts, id_col, text_col), "note-terms")
+    df = cut(counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df")), "note-terms-df")
+    if df.count() > BROADCAST_KEYS:
+        return similar_pairs(cut(term_vectors(texts, id_col, text_col), "note-vectors"), least)
+    known, n = df.toPandas(), counted.count()
+    sent = counted.sparkSession.sparkContext.broadcast((known["term"].tolist(), np.log(n / known["df"].to_numpy())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = sent.value
+        terms = pa.array(terms, pa.string())
+        for batch in batches:
+            lists, tf = batch.column(1), batch.column(2).flatten().to_numpy()
+            code = pc.index_in(lists.flatten(), value_set=terms).to_numpy()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            w = tf * idf[code]
+            norm, kept = np.sqrt(np.bincount(row, w * w, len(lists))), w > 0
+            starts = pa.array(np.searchsorted(row[kept], np.arange(len(lists) + 1)).astype(np.int32))
+            made = [pa.ListArray.from_arrays(starts, pa.array(x[kept])) for x in (code.astype(np.int64), tf.astype(np.float64), idf[code])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array(norm)], names=["id", "code", "value", "scale", "norm"])
+
+    kind = counted.schema["id"].dataType.simpleString()
+    return _met_in_blocks(counted.mapInArrow(run, f"id {kind}, code array<bigint>, value array<double>, scale array<double>, norm double"), least)
+
+
 def similar_pairs(vectors: DataFrame, least: float = SIMILAR) -> DataFrame:
     """``(a, b, similarity)``, ``a < b``: all pairs of :func:`term_vectors` whose cosine is ``least`` or more, exactly.
 
-    A vector's terms are ordered from the rarest.  Where the rest after some term is shorter than ``least``, two vectors
-    that agree only there cannot be so similar; so pairs meet by their leading terms alone and are then added up.
+    Vectors are put into blocks, and each two blocks are multiplied by one task.  Terms are told apart by a hash of 64 bits.
+    """
+    packed = vectors.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("code"), "w")).alias("x"))
+    return _met_in_blocks(packed.select("id", "x.code", F.col("x.w").alias("value"), F.transform("x", lambda _: F.lit(1.0)).alias("scale"), F.lit(1.0).alias("norm")), least)
+
+
+def _met_in_blocks(rows: DataFrame, least: float) -> DataFrame:
+    """``(a, b, similarity)`` of rows ``(id, code, value, scale, norm)``: a vector has value * scale / norm at each code.
+
+    Between two blocks, the codes that many of their vectors have are multiplied as matrices, the others one by one.
     """
-    by = Window.partitionBy("id").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
-    leading = vectors.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(by))).where(F.col("rest") >= least - 1e-9).select("term", "id")
-    pairs = pairs_within(leading, ["term"], "id").select("a", "b").distinct()
-    one, two = vectors.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), vectors.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    added = pairs.join(one, "a").join(two, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
-    return added.where(F.col("similarity") >= least)
+    n, size = rows.select(F.count("*"), F.sum(F.size("code"))).first()
+    n_blocks = max(1, math.ceil(n / min(MOST_ROWS, max(LEAST_ROWS, 2 ** math.ceil(math.log2(max(1, n) / 16))))), math.ceil((size or 0) / MOST_CODES))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def pack(table: pa.Table) -> pa.Table:
+        column = lambda name: table.column(name).combine_chunks()
+        lists = column("code")
+        codes, first, at = np.unique(lists.flatten().to_numpy(), return_index=True, return_inverse=True)
+        scale = column("scale").flatten().to_numpy()[first]
+        made = (lists.value_lengths().to_numpy(), codes, scale, at.astype(np.int32), column("value").flatten().to_numpy(), column("norm").to_numpy())
+        return pa.table({"p": pa.array([table.column("p")[0].as_py()], pa.int32()), "ids": pa.array([column("id").to_pylist()], pa.list_(column("id").type)), "data": pa.array([zlib.compress(pickle.dumps(made), 1)], pa.binary())})
+
+    def unpacked(data: bytes) -> tuple:
+        lengths, codes, scale, at, value, norm = pickle.loads(zlib.decompress(data))
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        order = np.argsort(at, kind="stable")
+        starts = np.append(0, np.cumsum(np.bincount(at, minlength=len(codes))))
+        return codes, starts, row[order], (value * scale[at] / norm[row])[order], len(lengths)
+
+    def products(x: tuple, y: tuple, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+        frequent = (x[1][i + 1] - x[1][i]) * (y[1][j + 1] - y[1][j]) > DENSE * x[4] * y[4]
+        dense = []
+        for z, k in ((x, i[frequent]), (y, j[frequent])):
+            m = np.zeros((z[4], len(k)))
+            for c, t in enumerate(k):
+                m[z[2][z[1][t] : z[1][t + 1]], c] = z[3][z[1][t] : z[1][t + 1]]
+            dense.append(m)
+        i, j = i[~frequent], j[~frequent]
+        step = max(1, MOST_CELLS // max(1, y[4]))
+        for at in range(0, x[4], step):
+            s = dense[0][at : at + step] @ dense[1].T
+            for t, u in zip(i, j):
+                r = x[2][x[1][t] : x[1][t + 1]]
+                lo, hi = np.searchsorted(r, (at, at + step)) + x[1][t]
+                if hi > lo:
+                    s[np.ix_(x[2][lo:hi] - at, y[2][y[1][u] : y[1][u + 1]])] += np.outer(x[3][lo:hi], y[3][y[1][u] : y[1][u + 1]])
+            a, b = np.nonzero(s >= least)
+            if same:
+                upper = a + at < b
+                a, b = a[upper], b[upper]
+            yield a + at, b, s[a, b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                p, q, side = (batch.column(c)[k].as_py() for c in range(3))
+                now = (pa.concat_arrays([batch.column(3)[k].values]), unpacked(batch.column(4)[k].as_py()))
+                if p != q and side == 0:
+                    left = now
+                    continue
+                one = now if p == q else left
+                for a, b, s in products(one[1], now[1], p == q):
+                    x, y = one[0].take(pa.array(a)), now[0].take(pa.array(b))
+                    swap = pc.greater(x, y)
+                    yield pa.RecordBatch.from_arrays([pc.if_else(swap, y, x), pc.if_else(swap, x, y), pa.array(s)], names=["a", "b", "similarity"])
+
+    blocks = cut(rows.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("p").applyInArrow(pack, f"p int, ids array<{kind}>, data binary"), "note-blocks")
+    left = blocks.select("p", F.explode(F.sequence("p", F.lit(n_blocks - 1))).alias("q"), F.lit(0).alias("side"), "ids", "data")
+    right = blocks.where("p > 0").select(F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("q"), F.lit(1).alias("side"), F.col("p").alias("_p"), "ids", "data").select(F.col("q").alias("p"), F.col("_p").alias("q"), "side", "ids", "data")
+    met = left.unionByName(right).repartition(n_blocks * (n_blocks + 1) // 2, "p", "q").sortWithinPartitions("p", "q", "side")
+    return met.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
 def note_graph(explicit: DataFrame, stored: DataFrame, shared: DataFrame, related: DataFrame, similar: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def shared_entity_classes(spark: SparkSession, d: str) -> DataFrame:
 def similar_notes(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of notes whose texts are similar."""
     texts = _notes(spark, d, "title", "raw_content").select(key("id").alias("id"), F.concat_ws(" ", "title", "raw_content").alias("text"))
-    return links.similar_pairs(cut(links.term_vectors(texts, "id", "text"), "note-terms")).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return links.similar_texts(texts, "id", "text").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def shared_entity_links(spark: SparkSession, d: str) -> DataFrame:

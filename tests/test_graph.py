@@ -205,6 +205,26 @@ def test_similar_pairs_are_exact(spark):
     assert {(r.a, r.b) for r in links.similar_pairs(rows).collect()} == want and len(want) > 20
 
 
+def test_similar_texts_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(links, "LEAST_ROWS", 16)
+    monkeypatch.setattr(links, "MOST_CELLS", 100)
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(60)] + ["every", "", None]
+    rows = [(f"n{i:02}", x) for i, x in enumerate(texts + [f"{t} {rng.choice(words)}" for t in texts[:30]])] + [("n05", "w1 w2 w3 w3"), (None, "w1")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    vectors = defaultdict(dict)
+    for r in links.term_vectors(df, "id", "text").collect():
+        vectors[r.id][r.term] = r.w
+    dot = lambda a, b: sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items())
+    want = {(a, b): dot(a, b) for a in vectors for b in vectors if a < b and dot(a, b) >= 0.7}
+    for dense in (0.0, 0.05, 2.0):
+        monkeypatch.setattr(links, "DENSE", dense)
+        got = links.similar_texts(df, "id", "text").collect()
+        assert {(r.a, r.b): pytest.approx(r.similarity) for r in got} == want and len(got) == len(want) > 20
+    assert links.similar_texts(df.where("id IS NULL"), "id", "text").count() == 0
+
+
 def test_rank_fusion(spark):
     make = lambda rows: spark.createDataFrame(rows, "chunk string, score double")
     got = retrieval.reciprocal_rank_fusion([(make([("x", 2.0), ("y", 1.0)]), 0.5), (make([("y", 2.0), ("z", 1.0)]), 0.5), (make([("z", 1.0)]), 0.5)], 3).collect()
