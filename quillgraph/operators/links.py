@@ -280,8 +280,8 @@ def note_graph(explicit: DataFrame, stored: DataFrame, shared: DataFrame, relate
         similar.select("a", "b", F.lit(5).alias("stage"), F.round("similarity", 3).alias("weight")),
     ]
     every = reduce(DataFrame.unionByName, parts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "stage", "weight").where("a <> b")
-    staged = every.groupBy("a", "b", "stage").agg(F.max("weight").alias("weight"))
-    return staged.groupBy("a", "b").agg(F.min(F.struct("stage", "weight")).alias("x")).select("a", "b", F.col("x.stage").cast("bigint").alias("stage"), "x.weight")
+    first = every.groupBy("a", "b").agg(F.min(F.struct("stage", (-F.col("weight")).alias("less"))).alias("x"))
+    return first.select("a", "b", F.col("x.stage").cast("bigint").alias("stage"), (-F.col("x.less")).alias("weight"))
 
 
 def note_degrees(notes: DataFrame, links: DataFrame) -> DataFrame:
