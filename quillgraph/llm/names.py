@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
@@ -40,8 +40,6 @@ ESTABLISHED = 3
 MISSPELT, DEVIATIONS = 0.03, 3
 #: The hand-made table of short forms is read whole up to so many entries; a larger one is refused.
 MOST_VOCABULARY = 200_000
-#: Families of more given names propose no short forms of their own, but count for those that others propose.
-LARGE_FAMILY = 50
 
 # Titles and particles that are no part of a name, words that name the form of a body, and spellings of types.
 TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "miss", "sir", "herr", "frau", "mme", "mlle", "mx", "phd", "md", "jr", "sr"}
@@ -343,20 +341,25 @@ def learned_short_names(rows: DataFrame, given: DataFrame) -> DataFrame:
     """``(short, long)`` of given names with those that the names themselves show: a shorter given name most of whose
     families also hold one certain longer given name, far more often than chance would have it.
 
-    Families of up to LARGE_FAMILY given names propose pairs, all families are counted for them.  The two names have two
-    letters in common at least.
+    A longer name that most of a shorter one's n families hold, two at least, misses so few of them that any
+    n - max(2, n / 2) + 1 of them have it.  So each name's smallest families, that many, propose all its pairs, and all
+    families are counted for them, whatever their size.  The two names have two letters in common at least.
     """
     held = cut(rows.where("kind = 'person' AND p2 IS NOT NULL").select(F.col("p1").alias("family"), F.col("p2").alias("g")).distinct(), "p5-given")
-    families = held.groupBy("family").agg(F.count("*").alias("c")).where(F.col("c").between(2, LARGE_FAMILY))
     total = held.select("family").distinct().count()
-    size = held.groupBy("g").agg(F.count("*").alias("n"))
-    some = held.join(families, "family", "left_semi")
-    proposed = some.join(some.withColumnRenamed("g", "long"), "family").where("length(g) < length(long)").groupBy("g", "long").agg(F.count("*").alias("few")).where("few >= 2").select("g", "long")
+    size = cut(held.groupBy("g").agg(F.count("*").alias("n")), "p5-given-sizes")
+    # the bounds below leave no pair with more families than this
+    able = held.join(size.where((F.col("n") >= 2) & (8 * F.col("n") <= total)), "g")
+    families = held.groupBy("family").agg(F.count("*").alias("c"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("c", "family"))
+    some = able.join(families, "family").withColumn("place", place).where(F.col("place") <= F.col("n") - F.greatest(F.lit(2), F.ceil(F.col("n") / 2)) + 1).select("family", "g", "n")
+    longer = able.where(F.col("n") >= ESTABLISHED).select("family", F.col("g").alias("long"), F.col("n").alias("m"))
+    letters = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+    met = some.join(longer, "family").where("length(g) < length(long) AND 2 * m >= n")
+    proposed = met.select("g", "long").distinct().where(F.size(F.array_intersect(letters("g"), letters("long"))) >= 2)
     pairs = proposed.join(held, "g").join(held.withColumnRenamed("g", "long"), ["family", "long"]).groupBy("g", "long").agg(F.count("*").alias("c"))
-    rated = pairs.join(size, "g").join(size.select(F.col("g").alias("long"), F.col("n").alias("m")), "long").where(F.col("m") >= ESTABLISHED).where(F.col("c") * 2 >= F.col("n")).where(F.col("c") * total >= 8 * F.col("n") * F.col("m"))
-    letters = lambda c: F.split(c, "")
-    alike = rated.where(F.size(F.array_intersect(F.filter(letters("g"), lambda x: x != ""), F.filter(letters("long"), lambda x: x != ""))) >= 2)
-    return given.unionByName(alike.select(F.col("g").alias("short"), "long")).distinct()
+    rated = pairs.where("c >= 2").join(size, "g").join(size.select(F.col("g").alias("long"), F.col("n").alias("m")), "long").where(F.col("m") >= ESTABLISHED).where(F.col("c") * 2 >= F.col("n")).where(F.col("c") * total >= 8 * F.col("n") * F.col("m"))
+    return given.unionByName(rated.select(F.col("g").alias("short"), "long")).distinct()
 
 
 def units(nodes: DataFrame, short_bodies: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -133,3 +133,18 @@ def test_divided_words_give_the_same(spark, monkeypatch):
     whole = pairs(spark, rows)
     monkeypatch.setattr(names, "HOT_NAMES", 2)
     assert pairs(spark, rows) == whole and {("h0-Goran", "t1"), ("o1", "o2"), ("c0", "c3")} <= whole
+
+
+def test_short_names_are_learned_from_large_families(spark):
+    rng = random.Random(8)
+    large = [(f"big{i}", n) for i in range(4) for n in ["alexander", "sandro", *(f"x{i}y{j}" for j in range(60))] if (i, n) != (3, "alexander")]
+    small = [(f"fam{i}", rng.choice(["maria", "otto", "gerda", "wilhelmina", "mina", "ott"])) for i in range(60)]
+    rows = [("person", *x) for x in large + small] + [("person", f"fam{i}", n) for i in range(6) for n in ("bert", "hubert")]
+    held = {}
+    for _, f, g in rows:
+        held.setdefault(g, set()).add(f)
+    total = len({f for _, f, _ in rows})
+    want = {(g, w) for g, x in held.items() for w, y in held.items() if len(g) < len(w) and len(y) >= 3 and len(x & y) >= 2 and 2 * len(x & y) >= len(x) and len(x & y) * total >= 8 * len(x) * len(y) and len(set(g) & set(w)) >= 2}
+    found = names.learned_short_names(spark.createDataFrame(rows, "kind string, p1 string, p2 string"), spark.createDataFrame([("bob", "robert")], "short string, long string"))
+    assert {tuple(r) for r in found.collect()} == want | {("bob", "robert")}
+    assert {("sandro", "alexander"), ("bert", "hubert")} <= want
