@@ -31,10 +31,9 @@ BUCKET = 32
 #: Two vectors of one cluster, whose similarity is at least SURE, share no bucket in PASSES passes with at most this
 #: probability; there are at least so many passes.
 SURE, MISS, PASSES = 0.78, 1e-3, 2
-#: Rows of a bucket that are compared with each other, and links that each of them keeps: its best ones.  What this leaves
-#: out is met in the next pass, when the rows have merged with their best ones.
-PART, KEPT = 512, 4
-#: Buckets of more rows are divided among tasks.
+#: Rows of a bucket that are compared at once, and links that are handed on at once.
+PART, LINKS = 512, 1 << 18
+#: Buckets of more rows are divided among tasks; each two parts of such a bucket meet in one task.
 HOT = 16 * PART
 
 
@@ -128,58 +127,82 @@ def _matrix(column: pa.Array, kind: str = "<f4") -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, DIMENSIONS).astype(np.float32)
 
 
-def _best_links(ids: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The KEPT best partners of each row, from the threshold on."""
-    sims = x @ x.T
-    np.fill_diagonal(sims, -2.0)
-    if len(ids) > KEPT + 1:
-        floor = np.partition(sims, len(ids) - KEPT, axis=1)[:, len(ids) - KEPT]
-        i, j = np.nonzero((sims >= threshold) & (sims >= floor[:, None]))
-    else:
-        i, j = np.nonzero(sims >= threshold)
-    if len(i) > 2 * KEPT * len(ids):  # ties, as among equal vectors
-        first = np.concatenate(([0], np.cumsum(np.bincount(i, minlength=len(ids)))))[i]
-        some = np.arange(len(i)) - first < KEPT
-        i, j = i[some], j[some]
-    return ids[i], ids[j], sims[i, j]
-
-
 def similarity_graph(points: DataFrame, n: int, turn: int = 0, threshold: float = THRESHOLD) -> DataFrame:
-    """``(a, b, s)``, ``a < b``: links of points ``(id, n, v)`` that share a bucket, each once; ``s`` is their mean similarity."""
+    """``(a, b, s)``, ``a < b``: links of points ``(id, n, v)`` that share a bucket, each once; ``s`` is their mean similarity.
+
+    All pairs of a bucket are compared, and all that reach the threshold are links, whatever the size of the bucket.
+    """
     keyed = cut(bucket_keys(points, n, turn), "p2-keys")
     rows = keyed.select("id", "v", F.explode("keys").alias("bucket"))
     hot = rows.groupBy("bucket").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
-    mix = F.xxhash64("id", F.lit(turn))
-    parted = rows.join(lookup(hot, label="p2-hot"), "bucket", "left").select("bucket", F.when(F.col("parts").isNotNull(), F.pmod(mix, F.col("parts"))).otherwise(0).cast("int").alias("part"), mix.alias("mix"), "id", "v")
+    parts = F.coalesce("parts", F.lit(1))
+    placed = rows.join(lookup(hot, label="p2-hot"), "bucket", "left").select("bucket", "id", "v", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("own"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("own", q).alias("p"), F.greatest("own", q).alias("q"), (q < F.col("own")).alias("right")))
+    parted = placed.select("bucket", F.explode(meets).alias("m"), "id", "v").select("bucket", "m.p", "m.q", "m.right", "id", "v")
+
+    def blocks(s: int, e: int, right: np.ndarray, within: bool) -> Iterator[tuple[int, int, int, int]]:
+        """Ranges of rows that meet: within a part, or the rows of one part with those of another."""
+        half = e if within else s + int(np.count_nonzero(~right[s:e]))
+        for i in range(s, half, PART):
+            for j in range(i if within else half, e, PART):
+                yield i, min(i + PART, half), j, min(j + PART, e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def compared(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
-            """The links of the whole groups at the beginning, and the rows of the last group, which may go on."""
-            b, p = np.asarray(table.column(0)), np.asarray(table.column(1))
-            starts = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (p[1:] != p[:-1]))))
+        def compared(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
+            """The links of the whole groups at the beginning, then the rows of the last group, which may go on."""
+            b, p, q, right = (np.asarray(table.column(c)) for c in range(4))
+            starts = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
             ends = np.append(starts[1:], len(b))
             rest = len(b)
             if not last:
-                done = (ends[-1] - starts[-1]) // PART * PART  # a long group is compared in parts of PART rows
-                rest = starts[-1] + done
-                ends[-1] = rest
-            ids = np.array(table.column(2).to_pylist(), object)
-            x = _matrix(table.column(3).combine_chunks(), "<f2")
-            found = [_best_links(ids[at : min(at + PART, e)], x[at : min(at + PART, e)], threshold) for s, e in zip(starts.tolist(), ends.tolist()) if e - s > 1 for at in range(s, e, PART)]
-            a, c, sim = (np.concatenate(k) if found else np.zeros(0) for k in zip(*found)) if found else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(list(a), pa.string()), pa.array(list(c), pa.string()), pa.array(np.asarray(sim, np.float64))], names=["a", "b", "s"]), table.slice(rest)
+                rest = starts[-1]
+                starts, ends = starts[:-1], ends[:-1]
+            ids = table.column(4).combine_chunks()
+            x = _matrix(table.column(5).combine_chunks(), "<f2") if rest else None
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def made() -> pa.RecordBatch:
+                i, j, sim = (np.concatenate(k) for k in zip(*found))
+                found.clear()
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(sim.astype(np.float64))], names=["a", "b", "s"])
+
+            held = 0
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                if e - s < 2:
+                    continue
+                for i0, i1, j0, j1 in blocks(s, e, right, p[s] == q[s]):
+                    sims = x[i0:i1] @ x[j0:j1].T
+                    i, j = np.nonzero(sims >= threshold)
+                    if i0 == j0:
+                        upper = i < j
+                        i, j = i[upper], j[upper]
+                    if len(i):
+                        found.append((i + i0, j + j0, sims[i, j]))
+                        held += len(i)
+                    if held > LINKS:
+                        yield made()
+                        held = 0
+            if found:
+                yield made()
+            if not last:
+                yield table.slice(rest)
 
+        held: list[pa.RecordBatch] = []
+        size = more = 0
         for batch in batches:
             if batch.num_rows:
-                made, left = compared(pa.Table.from_batches([*held, batch]), False)
-                held = left.to_batches()
-                yield made
+                held.append(batch)
+                size += batch.num_rows
+                if size >= more:  # a group that goes on is looked at again when it has doubled
+                    for out in compared(pa.Table.from_batches(held), False):
+                        if isinstance(out, pa.Table):
+                            held, size, more = out.to_batches(), out.num_rows, 2 * out.num_rows
+                        else:
+                            yield out
         if held:
-            yield compared(pa.Table.from_batches(held), True)[0]
+            yield from compared(pa.Table.from_batches(held), True)
 
-    links = parted.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "mix").select("bucket", "part", "id", "v").mapInArrow(run, "a string, b string, s double")
+    links = parted.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "right").mapInArrow(run, "a string, b string, s double")
     return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("s").alias("s"))
 
 
@@ -252,11 +275,15 @@ def cluster(nodes: DataFrame, threshold: float = THRESHOLD, max_passes: int = 20
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten()).reshape(-1, DIMENSIONS).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ones(len(x), np.int64)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "n", "v"])
+            n = np.asarray(batch.column(1))
+            x = (np.asarray(batch.column(2).flatten()).reshape(-1, DIMENSIONS) * n[:, None]).astype("<f4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "n", "v"])
 
-    points = cut(vectors.select("id", "v").mapInArrow(packed, "id string, n bigint, v binary"), "p2-points")
-    rounds: list[DataFrame] = []
+    # equal vectors are the most similar ones, so they merge first, and a vector with many copies has no link for each two
+    first = vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    points = cut(first.select("id", "n", "v").mapInArrow(packed, "id string, n bigint, v binary"), "p2-points")
+    copies = cut(vectors.join(first.where("n > 1").select("v", F.col("id").alias("parent")), "v").where("id <> parent").select(F.col("id").alias("child"), "parent"), "p2-merges")
+    rounds: list[DataFrame] = [] if copies.isEmpty() else [copies]
     for turn in range(max_passes):
         points, more = reciprocal_merge(points, similarity_graph(points, points.count(), turn, threshold), threshold)
         rounds += more

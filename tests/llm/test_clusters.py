@@ -114,6 +114,16 @@ def test_equals_sequential_average_linkage_without_a_gap(spark):
     assert len(one & two) >= 0.9 * len(one | two) and len(two) > 50
 
 
+def test_all_links_of_a_large_bucket(spark, monkeypatch):
+    """No partner is left out, neither beyond the best ones nor in another part of the bucket."""
+    monkeypatch.setattr(clusters, "HOT", 300)
+    rng = np.random.default_rng(8)
+    x = made(rng, 1, [700], 0.2)
+    rows = [(f"n{i:03}", 1, (v / np.linalg.norm(v)).astype("<f4").tobytes()) for i, v in enumerate(x)]
+    graph = clusters.similarity_graph(spark.createDataFrame(rows, "id string, n bigint, v binary"), len(rows))
+    assert graph.count() == 700 * 699 // 2
+
+
 def test_empty(spark):
     vectors, labels = clusters.cluster(frame(spark, []))
     assert labels.count() == 0 and clusters.describe(vectors, labels).count() == 0
