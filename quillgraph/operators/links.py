@@ -165,12 +165,17 @@ def _counted(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(again, "id", "left_anti").unionByName(merged).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, terms array<string>, tf array<int>")
 
 
-def similar_texts(texts: DataFrame, id_col: str, text_col: str, least: float = SIMILAR) -> DataFrame:
-    """:func:`similar_pairs` of the texts' :func:`term_vectors`, without a row for each text and term."""
+def similar_texts(texts: DataFrame, id_col: str, text_col: str, least: float = SIMILAR, others: DataFrame | None = None) -> DataFrame:
+    """:func:`similar_pairs` of the texts' :func:`term_vectors`, without a row for each text and term.
+
+    With ``others``, see :func:`linked_counts`.
+    """
     counted = cut(_counted(texts, id_col, text_col), "note-terms")
     df = cut(counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df")), "note-terms-df")
     if df.count() > BROADCAST_KEYS:
-        return similar_pairs(cut(term_vectors(texts, id_col, text_col), "note-vectors"), least)
+        packed = _packed(cut(term_vectors(texts, id_col, text_col), "note-vectors"))
+        every = counted.select("id").join(packed, "id", "left").select("id", *(F.coalesce(c, F.array().cast(packed.schema[c].dataType)).alias(c) for c in ("code", "value", "scale")), F.lit(1.0).alias("norm"))
+        return _met_in_blocks(every, least, others)
     known, n = df.toPandas(), counted.count()
     sent = counted.sparkSession.sparkContext.broadcast((known["term"].tolist(), np.log(n / known["df"].to_numpy())))
 
@@ -188,7 +193,21 @@ def similar_texts(texts: DataFrame, id_col: str, text_col: str, least: float = S
             yield pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array(norm)], names=["id", "code", "value", "scale", "norm"])
 
     kind = counted.schema["id"].dataType.simpleString()
-    return _met_in_blocks(counted.mapInArrow(run, f"id {kind}, code array<bigint>, value array<double>, scale array<double>, norm double"), least)
+    return _met_in_blocks(counted.mapInArrow(run, f"id {kind}, code array<bigint>, value array<double>, scale array<double>, norm double"), least, others)
+
+
+def linked_counts(texts: DataFrame, id_col: str, text_col: str, others: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """``(note, n)``: to how many texts each one is linked, by similarity or by a pair ``(a, b)`` of ``others``; one row for
+    each note that has a link.  Similar pairs are counted where they are found and never written or shuffled: the other pairs
+    come there, and a pair that both have counts once.  The ends of ``others`` are ids of ``texts``.
+    """
+    return similar_texts(texts, id_col, text_col, least, others).groupBy("note").agg(F.sum("n").alias("n"))
+
+
+def _packed(vectors: DataFrame) -> DataFrame:
+    """Rows of :func:`_met_in_blocks` of :func:`term_vectors`; terms are told apart by a hash of 64 bits."""
+    packed = vectors.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("code"), "w")).alias("x"))
+    return packed.select("id", "x.code", F.col("x.w").alias("value"), F.transform("x", lambda _: F.lit(1.0)).alias("scale"), F.lit(1.0).alias("norm"))
 
 
 def similar_pairs(vectors: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -196,12 +215,11 @@ def similar_pairs(vectors: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     Vectors are put into blocks, and each two blocks are multiplied by one task.  Terms are told apart by a hash of 64 bits.
     """
-    packed = vectors.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("code"), "w")).alias("x"))
-    return _met_in_blocks(packed.select("id", "x.code", F.col("x.w").alias("value"), F.transform("x", lambda _: F.lit(1.0)).alias("scale"), F.lit(1.0).alias("norm")), least)
+    return _met_in_blocks(_packed(vectors), least)
 
 
-def _met_in_blocks(rows: DataFrame, least: float) -> DataFrame:
-    """``(a, b, similarity)`` of rows ``(id, code, value, scale, norm)``: a vector has value * scale / norm at each code.
+def _met_in_blocks(rows: DataFrame, least: float, others: DataFrame | None = None) -> DataFrame:
+    """``(a, b, similarity)``, or ``(note, n)`` of each two blocks if there are ``others``, of rows ``(id, code, value, scale, norm)``: a vector has value * scale / norm at each code.
 
     Between two blocks, the codes that many of their vectors have are multiplied as matrices, the others one by one.
     """
@@ -263,10 +281,63 @@ def _met_in_blocks(rows: DataFrame, least: float) -> DataFrame:
                     swap = pc.greater(x, y)
                     yield pa.RecordBatch.from_arrays([pc.if_else(swap, y, x), pc.if_else(swap, x, y), pa.array(s)], names=["a", "b", "similarity"])
 
+    def counted(x: pa.Array, y: pa.Array, bits: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+        step = max(1, MOST_CELLS // max(1, len(y)))
+        down, across = np.zeros(len(y), np.int64), np.zeros(len(x), np.int64)
+        for at in range(0, len(x), step):
+            m = np.unpackbits(bits[at : at + step], axis=1, count=len(y))
+            down += m.sum(axis=0, dtype=np.int64)
+            across[at : at + step] = m.sum(axis=1, dtype=np.int64)
+        for ids, n in ([(x, across + down)] if same else [(x, across), (y, down)]):
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.array(n[some])], names=["note", "n"])
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bit for each pair of two blocks' texts: the similar ones, then the others as they come."""
+        left = state = None
+        for batch in batches:
+            side = np.asarray(batch.column(2))
+            k = 0
+            while k < batch.num_rows:
+                p, q = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                if side[k] < 2:
+                    now = (pa.concat_arrays([batch.column(3)[k].values]), unpacked(batch.column(4)[k].as_py()))
+                    if side[k] == 0 and state:
+                        yield from counted(*state)
+                        state = None
+                    if p != q and side[k] == 0:
+                        left = now
+                    else:
+                        one = now if p == q else left
+                        bits = np.zeros((len(one[0]), (len(now[0]) + 7) // 8), np.uint8)
+                        for a, b, _ in products(one[1], now[1], p == q):
+                            np.bitwise_or.at(bits, (a, b >> 3), (128 >> (b & 7)).astype(np.uint8))
+                        state = (one[0], now[0], bits, p == q)
+                    k += 1
+                    continue
+                ends = np.flatnonzero((side[k:] < 2) | (np.asarray(batch.column(0))[k:] != p) | (np.asarray(batch.column(1))[k:] != q))
+                n = int(ends[0]) if len(ends) else batch.num_rows - k
+                a, b = (pc.index_in(batch.column(5 + c).slice(k, n), value_set=state[c]).to_numpy(zero_copy_only=False) for c in range(2))
+                if np.isnan(a.astype(float)).any() or np.isnan(b.astype(float)).any():
+                    raise ValueError("a link has an end that is no text")
+                if p == q:
+                    a, b = np.minimum(a, b), np.maximum(a, b)
+                np.bitwise_or.at(state[2], (a.astype(np.int64), b.astype(np.int64) >> 3), (128 >> (b.astype(np.int64) & 7)).astype(np.uint8))
+                k += n
+        if state:
+            yield from counted(*state)
+
     blocks = cut(rows.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("p").applyInArrow(pack, f"p int, ids array<{kind}>, data binary"), "note-blocks")
     left = blocks.select("p", F.explode(F.sequence("p", F.lit(n_blocks - 1))).alias("q"), F.lit(0).alias("side"), "ids", "data")
     right = blocks.where("p > 0").select(F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("q"), F.lit(1).alias("side"), F.col("p").alias("_p"), "ids", "data").select(F.col("q").alias("p"), F.col("_p").alias("q"), "side", "ids", "data")
-    met = left.unionByName(right).repartition(n_blocks * (n_blocks + 1) // 2, "p", "q").sortWithinPartitions("p", "q", "side")
+    both = left.unionByName(right)
+    if others is not None:
+        place = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
+        turned = others.where("a <> b").withColumn("x", F.struct(place("a").alias("p"), F.col("a").alias("id"))).withColumn("y", F.struct(place("b").alias("p"), F.col("b").alias("id")))
+        placed = turned.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).select(F.col("x.p").alias("p"), F.col("y.p").alias("q"), F.lit(2).alias("side"), F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        met = both.unionByName(placed, allowMissingColumns=True).repartition(n_blocks * (n_blocks + 1) // 2, "p", "q").sortWithinPartitions("p", "q", "side")
+        return met.select("p", "q", "side", "ids", "data", "a", "b").mapInArrow(united, f"note {kind}, n bigint")
+    met = both.repartition(n_blocks * (n_blocks + 1) // 2, "p", "q").sortWithinPartitions("p", "q", "side")
     return met.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
@@ -284,10 +355,20 @@ def note_graph(explicit: DataFrame, stored: DataFrame, shared: DataFrame, relate
     return first.select("a", "b", F.col("x.stage").cast("bigint").alias("stage"), (-F.col("x.less")).alias("weight"))
 
 
+def link_pairs(explicit: DataFrame, stored: DataFrame, shared: DataFrame, related: DataFrame) -> DataFrame:
+    """``(a, b)``: linked pairs of the first four stages, some of them several times."""
+    parts = [explicit.select(key("a").alias("a"), key("b").alias("b")), *(x.select("a", "b") for x in (stored, shared, related))]
+    return reduce(DataFrame.unionByName, parts).where("a <> b")
+
+
+def with_degrees(notes: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(note, degree)`` of all notes by ``(note, n)`` of those with links, 0 for those without a link."""
+    return notes.select(key("id").alias("note")).distinct().join(counts, "note", "left").select("note", F.coalesce("n", F.lit(0)).alias("degree"))
+
+
 def note_degrees(notes: DataFrame, links: DataFrame) -> DataFrame:
     """``(note, degree)`` of all notes, 0 for those without a link."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("note")).groupBy("note").agg(F.count("*").alias("degree"))
-    return notes.select(key("id").alias("note")).distinct().join(ends, "note", "left").select("note", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return with_degrees(notes, links.select(F.explode(F.array("a", "b")).alias("note")).groupBy("note").agg(F.count("*").alias("n")))
 
 
 def linked_notes(notes: DataFrame, degree: DataFrame) -> DataFrame:
@@ -295,8 +376,10 @@ def linked_notes(notes: DataFrame, degree: DataFrame) -> DataFrame:
     return notes.select("id", "title", key("id").alias("note")).join(degree, "note").select("id", "title", "degree")
 
 
-def graph_stats(n_notes: DataFrame, links: DataFrame) -> DataFrame:
-    """``(notes, links, density, avg_degree)`` of an undirected graph, zeroes where it is empty."""
-    both = n_notes.agg(F.count("*").alias("notes")).crossJoin(links.agg(F.count("*").alias("links")))  # one row each
+def graph_stats(n_notes: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(notes, links, density, avg_degree)`` of an undirected graph by ``(note, n)`` of the notes with links, zeroes where
+    it is empty."""
+    n_links = counts.agg((F.coalesce(F.sum("n"), F.lit(0)) / 2).cast("bigint").alias("links"))
+    both = n_notes.agg(F.count("*").alias("notes")).crossJoin(n_links)  # one row each
     n, m = F.col("notes"), F.col("links")
     return both.select("notes", "links", F.round(F.when(n > 1, 2 * m / (n * (n - 1))).otherwise(0.0), 6).alias("density"), F.round(F.when(n > 0, 2 * m / n).otherwise(0.0), 4).alias("avg_degree"))

@@ -168,10 +168,13 @@ def shared_entity_classes(spark: SparkSession, d: str) -> DataFrame:
     return links.shared_entity_classes(_held(spark, d))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return _notes(spark, d, "title", "raw_content").select(key("id").alias("id"), F.concat_ws(" ", "title", "raw_content").alias("text"))
+
+
 def similar_notes(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of notes whose texts are similar."""
-    texts = _notes(spark, d, "title", "raw_content").select(key("id").alias("id"), F.concat_ws(" ", "title", "raw_content").alias("text"))
-    return links.similar_texts(texts, "id", "text").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return links.similar_texts(_texts(spark, d), "id", "text").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def shared_entity_links(spark: SparkSession, d: str) -> DataFrame:
@@ -182,9 +185,19 @@ def relation_bridge_links(spark: SparkSession, d: str) -> DataFrame:
     return links.relation_links(_view(spark, d), _held(spark, d))
 
 
-def auto_link_graph(spark: SparkSession, d: str) -> DataFrame:
+def _first_stages(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Links of all stages but the last one."""
     held, view = cut(_held(spark, d), "held"), cut(_view(spark, d), "view")
-    return links.note_graph(explicit_links(spark, d), links.stored_links(view, _notes(spark, d)), links.shared_entity_links(held), links.relation_links(view, held), similar_notes(spark, d))
+    return [explicit_links(spark, d), links.stored_links(view, _notes(spark, d)), links.shared_entity_links(held), links.relation_links(view, held)]
+
+
+def auto_link_graph(spark: SparkSession, d: str) -> DataFrame:
+    return links.note_graph(*_first_stages(spark, d), similar_notes(spark, d))
+
+
+def _linked_counts(spark: SparkSession, d: str) -> DataFrame:
+    """``(note, n)`` of the notes with links of any stage, without a row for each link by similarity."""
+    return links.linked_counts(_texts(spark, d), "id", "text", links.link_pairs(*_first_stages(spark, d)))
 
 
 def note_degrees(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +213,7 @@ def note_communities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def note_graph_stats(spark: SparkSession, d: str) -> DataFrame:
-    return links.graph_stats(_notes(spark, d), auto_link_graph(spark, d))
+    return links.graph_stats(_notes(spark, d), _linked_counts(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (route_queries, query_keywords, bridges, question_entities, question_relations, community_rank, chunk_graph_score, dense_search, rrf_fusion, search_ablation, local_citations, local_search, global_insights, community_internal_edges, community_summary, community_writeback, leading_themes, rag_metrics, explicit_links, stored_note_links, entity_mentions, shared_entity_classes, shared_entity_links, relation_bridge_links, similar_notes, auto_link_graph, note_graph_stats, note_degrees, note_communities)}

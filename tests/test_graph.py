@@ -177,6 +177,26 @@ def test_links_of_all_stages(spark):
     assert {(r.note, r["class"]) for r in links.shared_entity_classes(held).collect()} == {("c", "c"), ("d", "c"), ("e", "e")}
 
 
+def test_linked_counts_equal_counts_of_pairs(spark, monkeypatch):
+    """Similar pairs and others, some of them both, over several blocks: each counts once, for both ends."""
+    monkeypatch.setattr(links, "LEAST_ROWS", 16)
+    rng = random.Random(22)
+    texts = spark.createDataFrame([(f"t{i}", None if i % 13 == 0 else " ".join(rng.choices(f"a{i % 5} b{i % 5} c{i % 5} x y z".split(), k=9))) for i in range(90)], "id string, text string")
+    similar = {(r.a, r.b) for r in links.similar_texts(texts, "id", "text").collect()}
+    some = [tuple(rng.sample(range(90), 2)) for _ in range(150)]
+    others = [(f"t{i}", f"t{j}") for i, j in some] + [(b, a) for a, b in sorted(similar)[:40]] + [("t3", "t3"), ("t0", "t13")]
+    want = {}
+    for a, b in similar | {(min(x), max(x)) for x in others if x[0] != x[1]}:
+        want[a], want[b] = want.get(a, 0) + 1, want.get(b, 0) + 1
+    counts = links.linked_counts(texts, "id", "text", spark.createDataFrame(others, "a string, b string"))
+    assert len(similar) > 100 and {r.note: r.n for r in counts.collect()} == want
+    monkeypatch.setattr(links, "BROADCAST_KEYS", 3)
+    assert {r.note: r.n for r in links.linked_counts(texts, "id", "text", spark.createDataFrame(others, "a string, b string")).collect()} == want
+    none = spark.createDataFrame([], "a string, b string")
+    stats = links.graph_stats(texts, links.linked_counts(texts.where("id = 'x'"), "id", "text", none)).first()
+    assert (stats.notes, stats.links, stats.avg_degree) == (90, 0, 0.0)
+
+
 def test_mentions_equal_a_plain_search(spark):
     rng = random.Random(21)
     words = ["graph", "node", "edge", "map", "α1"]
