@@ -202,7 +202,7 @@ def _linked_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def note_degrees(spark: SparkSession, d: str) -> DataFrame:
     notes = _notes(spark, d, "title")
-    return links.linked_notes(notes, links.note_degrees(notes, auto_link_graph(spark, d)))
+    return links.linked_notes(notes, links.with_degrees(notes, _linked_counts(spark, d)))
 
 
 def note_communities(spark: SparkSession, d: str) -> DataFrame:
