@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from quillgraph.session import cut, drop_cut
+from quillgraph.session import BROADCAST_KEYS, cut, drop_cut
 
 
 def weighted_pairs(view: DataFrame) -> DataFrame:
@@ -15,6 +19,8 @@ def weighted_pairs(view: DataFrame) -> DataFrame:
 
 #: Rounds end when fewer than this share of the nodes has moved.
 SETTLED = 0.005
+#: Edges of a list that a task weighs at once.
+LISTED = 1 << 18
 
 
 def move_nodes(pairs: DataFrame, rounds: int = 10, resolution: float = 1.0) -> DataFrame:
@@ -23,13 +29,16 @@ def move_nodes(pairs: DataFrame, rounds: int = 10, resolution: float = 1.0) -> D
     In every round each node weighs its neighbours' communities and its own: w(node, c) - resolution * k(node) * k(c) / 2m,
     k(c) without the node itself.  Half of the nodes, chosen by a hash of node and round, may move at once, so neighbours do
     not swap places for ever.  A node's own community comes as a row of weight 0, and k(node) lies on its edges, so a round
-    joins the edges with the labels once and the sums with the communities' sizes.  The result is a cut table.
+    joins the edges with the labels once and the sums with the communities' sizes.  The labels of up to BROADCAST_KEYS nodes
+    are sent to the edges instead (:func:`_move_listed`).  The result is a cut table.
     """
     ends = pairs.select(F.explode(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))).alias("e")).select("e.u", "e.v", "e.w")
     degree = cut(ends.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")), "cm-degree")
     total, n = degree.agg(F.sum("k"), F.count("*")).first()
     if not total:
         return degree.select("node", F.col("node").alias("community"))
+    if n <= BROADCAST_KEYS:
+        return _move_listed(pairs, degree, total, n, rounds, resolution)
     both = cut(ends.where("u <> v").join(degree.select(F.col("node").alias("u"), "k"), "u"), "cm-edges")
     labels, old = degree.select("node", F.col("node").alias("community"), "k"), degree
     for turn in range(rounds):
@@ -52,6 +61,74 @@ def move_nodes(pairs: DataFrame, rounds: int = 10, resolution: float = 1.0) -> D
     return labels.select("node", "community")
 
 
+def _move_listed(pairs: DataFrame, degree: DataFrame, total: float, n: int, rounds: int, resolution: float) -> DataFrame:
+    """:func:`move_nodes` over lists of edges, written once; in each round they get all labels and give each node's move."""
+    bits = sum(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) * (1 << turn) for turn in range(rounds))
+    numbered = F.row_number().over(Window.orderBy("node")) - 1  # BROADCAST_KEYS rows at most
+    codes = cut(degree.select("node", "k", numbered.alias("code"), bits.alias("bits")), "cm-codes")
+    a, b = (F.broadcast(codes.select(F.col("node").alias(c), F.col("code").alias(f"c{c}"))) for c in ("u", "v"))
+    coded = pairs.where("u <> v").join(a, "u").join(b, "v").select(F.explode(F.array(F.struct(F.col("cu").alias("u"), F.col("cv").alias("v"), "w"), F.struct(F.col("cv").alias("u"), F.col("cu").alias("v"), "w"))).alias("e")).select("e.u", "e.v", "e.w")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(x: pa.Table) -> pa.RecordBatch:
+            columns = [x.column(c).combine_chunks() for c in range(3)]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=["u", "v", "w"])
+
+        held: list[pa.RecordBatch] = []
+        size = more = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size > max(LISTED, more):
+                x = pa.Table.from_batches(held)
+                rest = int(np.searchsorted(np.asarray(x.column(0)), x.column(0)[-1].as_py()))  # the last node may go on
+                if rest:
+                    yield row(x.slice(0, rest))
+                held, size = x.slice(rest).to_batches(), x.num_rows - rest
+                more = 2 * size
+        if size:
+            yield row(pa.Table.from_batches(held))
+
+    lists = cut(coded.repartition("u").sortWithinPartitions("u").mapInArrow(packed, "u array<int>, v array<int>, w array<double>"), "cm-lists")
+    known = codes.select("code", "k", "bits").orderBy("code").toPandas()
+    k, may, labels = known["k"].to_numpy(), known["bits"].to_numpy(), np.arange(n, dtype=np.int32)
+    spark = pairs.sparkSession
+    for turn in range(rounds):
+        sent = spark.sparkContext.broadcast((labels, k, np.bincount(labels, k, n), (may >> turn) & 1 == 0))
+
+        def moves(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            labels, k, kc, may = sent.value
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    u, v, w = (batch.column(c)[i].values.to_numpy() for c in range(3))
+                    first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+                    nodes = u[first].astype(np.int64)
+                    place = np.repeat(np.arange(len(nodes)), np.diff(np.append(first, len(u))))
+                    both = np.concatenate((place, np.arange(len(nodes)))) * n + np.concatenate((labels[v], labels[nodes]))
+                    met, at = np.unique(both, return_inverse=True)
+                    x, c = met // n, met % n
+                    near = np.bincount(at, np.concatenate((w, np.zeros(len(nodes)))), len(met))
+                    mine = nodes[x]
+                    own = labels[mine] == c
+                    gain = near - resolution * k[mine] * (kc[c] - np.where(own, k[mine], 0.0)) / total
+                    order = np.lexsort((c, gain, x))
+                    best = order[np.append(np.flatnonzero(np.diff(x[order])), len(order) - 1)]
+                    goes = may[nodes] & (gain[best] > gain[own] + 1e-12)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[goes].astype(np.int32)), pa.array(c[best][goes].astype(np.int32))], names=["code", "community"])
+
+        moved = lists.mapInArrow(moves, "code int, community int").toPandas()
+        sent.unpersist()
+        labels = labels.copy()
+        labels[moved["code"].to_numpy()] = moved["community"].to_numpy()
+        if turn > 2 and len(moved) <= SETTLED * n:
+            break
+    of = spark.createDataFrame(pa.table({"code": pa.array(np.arange(n, dtype=np.int32)), "to": pa.array(labels)}))
+    named = codes.select("node", "code").join(F.broadcast(of), "code").join(F.broadcast(codes.select(F.col("code").alias("to"), F.col("node").alias("community"))), "to")
+    found = cut(named.select("node", "community"), "cm")
+    drop_cut(lists)
+    return found
+
+
 def detect(pairs: DataFrame, levels: int = 3, rounds: int = 10, resolution: float = 1.0) -> DataFrame:
     """``(node, community)`` by moving nodes, then whole communities as nodes of a smaller graph, and so on."""
     labels = move_nodes(pairs, rounds, resolution)

@@ -145,6 +145,20 @@ def test_communities_find_planted_groups(spark):
     assert labels.count() == pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct().count()
 
 
+def test_moves_over_lists_equal_moves_by_joins(spark, monkeypatch):
+    """Labels sent to lists of edges give the same moves as joins, and no edge is shuffled in a round."""
+    rng = random.Random(9)
+    rows = [(f"n{i:02}", f"n{j:02}", rng.choice([0.5, 1.0, 2.0])) for i in range(60) for j in range(i, 60) if rng.random() < (0.5 if i % 4 == j % 4 else 0.04)] + [("x", "x", 1.0)]
+    pairs = spark.createDataFrame(rows, "u string, v string, w double")
+    jobs = []
+    plain, listed = communities.cut, {r.node: r.community for r in communities.move_nodes(pairs).collect()}
+    monkeypatch.setattr(communities, "cut", lambda df, label="cut": jobs.append(label) or plain(df, label))
+    communities.move_nodes(pairs)
+    assert jobs.count("cm") == 1
+    monkeypatch.setattr(communities, "BROADCAST_KEYS", 3)
+    assert listed == {r.node: r.community for r in communities.move_nodes(pairs).collect()} and len(set(listed.values())) < 20
+
+
 @pytest.mark.parametrize("block", [1, 3, 100])
 def test_pairs_within_groups(spark, block):
     held = spark.createDataFrame([("x", f"n{i}") for i in range(12)] + [("y", "n1"), ("y", "n2"), ("z", "n3"), (None, "n4")], "entity string, note string")
