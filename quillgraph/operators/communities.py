@@ -67,7 +67,7 @@ def _move_listed(pairs: DataFrame, degree: DataFrame, total: float, n: int, roun
     numbered = F.row_number().over(Window.orderBy("node")) - 1  # BROADCAST_KEYS rows at most
     codes = cut(degree.select("node", "k", numbered.alias("code"), bits.alias("bits")), "cm-codes")
     a, b = (F.broadcast(codes.select(F.col("node").alias(c), F.col("code").alias(f"c{c}"))) for c in ("u", "v"))
-    coded = pairs.where("u <> v").join(a, "u").join(b, "v").select(F.explode(F.array(F.struct(F.col("cu").alias("u"), F.col("cv").alias("v"), "w"), F.struct(F.col("cv").alias("u"), F.col("cu").alias("v"), "w"))).alias("e")).select("e.u", "e.v", "e.w")
+    coded = pairs.where("u <> v AND w IS NOT NULL").join(a, "u").join(b, "v").select(F.explode(F.array(F.struct(F.col("cu").alias("u"), F.col("cv").alias("v"), "w"), F.struct(F.col("cv").alias("u"), F.col("cu").alias("v"), "w"))).alias("e")).select("e.u", "e.v", "e.w")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(x: pa.Table) -> pa.RecordBatch:
