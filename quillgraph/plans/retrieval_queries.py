@@ -182,7 +182,7 @@ def shared_entity_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relation_bridge_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.relation_links(_view(spark, d), _held(spark, d))
+    return links.relation_links(_view(spark, d), cut(_held(spark, d), "held"))
 
 
 def _first_stages(spark: SparkSession, d: str) -> list[DataFrame]:

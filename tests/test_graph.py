@@ -304,3 +304,20 @@ def test_moves_of_nodes_with_loops_without_weight_and_without_rows(spark):
     assert moved([("a", "b", 0.0)]) == {"a": "a", "b": "b"}
     found = moved([("a", "b", 1.0), ("c", "d", 2.0), ("a", "a", 1.0)])
     assert found["a"] == found["b"] != found["c"] == found["d"]
+
+
+@pytest.mark.parametrize("query, want", [("relation_bridge_links", {("t1", "t2", 0.5), ("t1", "t3", 0.5), ("t2", "t3", 0.5)})])
+def test_notes_of_entities_are_found_once(spark, tmp_path, query, want):
+    """What joins the notes of entities with themselves reads them from a table and no text anew."""
+    at = dt(2024, 1, 1)
+    tables = {
+        "notes": ([("t1", "One", "on graph theory", None, at), ("t2", "Two", "x", None, at), ("t3", "Graph Theory", "y", None, at)], "id string, title string, raw_content string, deleted_at timestamp, ingested_at timestamp"),
+        "chunks": ([("t2_chunk_0", "t2", "x", at), ("t3_chunk_0", "t3", "y", at)], "id string, note_id string, text string, ingested_at timestamp"),
+        "nodes": ([("n1", "graph theory", "[]", at), ("n2", "nowhere", '["t2_chunk_0", "t3_chunk_0"]', at)], "id string, name string, provenance string, ingested_at timestamp"),
+        "edges": ([("e1", "n1", "n2", "R", 0.5, 1.0, "[]", at)], "id string, source string, target string, predicate string, weight double, confidence double, provenance string, ingested_at timestamp"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = catalogue.QUERIES[query](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == want
+    assert "raw_content" not in got._jdf.queryExecution().optimizedPlan().toString()
