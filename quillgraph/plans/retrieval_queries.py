@@ -178,7 +178,7 @@ def similar_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shared_entity_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.shared_entity_links(_held(spark, d))
+    return links.shared_entity_links(cut(_held(spark, d), "held"))
 
 
 def relation_bridge_links(spark: SparkSession, d: str) -> DataFrame:

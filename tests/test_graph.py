@@ -306,7 +306,7 @@ def test_moves_of_nodes_with_loops_without_weight_and_without_rows(spark):
     assert found["a"] == found["b"] != found["c"] == found["d"]
 
 
-@pytest.mark.parametrize("query, want", [("relation_bridge_links", {("t1", "t2", 0.5), ("t1", "t3", 0.5), ("t2", "t3", 0.5)})])
+@pytest.mark.parametrize("query, want", [("relation_bridge_links", {("t1", "t2", 0.5), ("t1", "t3", 0.5), ("t2", "t3", 0.5)}), ("shared_entity_links", {("t1", "t3", 1), ("t2", "t3", 1)})])
 def test_notes_of_entities_are_found_once(spark, tmp_path, query, want):
     """What joins the notes of entities with themselves reads them from a table and no text anew."""
     at = dt(2024, 1, 1)
